@@ -72,7 +72,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    weight_col: str | None = None,
+    quality: DataFrame | None = None,
     weights: Sequence[float] = (5, 2, 1),
     share: float = 1.5,
     cap: float = 2.0,
@@ -81,20 +81,21 @@ def mix(
 ) -> DataFrame:
     """Per row of df: id_col, text_md5, source, size, source_size, target, taken.
 
-    taken counts words with repeats; taken // size is the number of whole
+    quality: rows of (doc_id, quality) that weigh the sampling, see
+    with_quality. taken counts words with repeats; taken // size is the number of whole
     copies, and the remainder the words of a last, partial copy.
     """
-    weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
-    weight = F.when((weight > 0) & ~F.isnan(weight), weight).otherwise(1.0)
-    key = -F.log(uniform(F.col(id_col), seed)) / weight
     sizes = df.select(
         F.col(id_col).alias("id"),
         F.md5(F.col(text_col).cast("binary")).alias("text_md5"),
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("skey"),
         word_count(F.col(text_col)).alias("size"),
-        key.alias("key"),
-    ).withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    )
+    # Counted before the join, so that no text is shuffled.
+    sizes = sizes.withColumn("weight", F.lit(1.0)) if quality is None else with_quality(sizes, quality)
+    weight = F.when((F.col("weight") > 0) & ~F.isnan("weight"), F.col("weight")).otherwise(1.0)
+    sizes = sizes.withColumn("key", -F.log(uniform(F.col("id"), seed)) / weight).drop("weight").withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
     sizes = materialize(sizes, "mix-sizes")
     sums = sizes.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,20 +115,16 @@ def mix(
     )
 
 
-def with_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds mix_weight: 2 where a label says good quality, 0.5 where it says
-    bad, 1 where there is none or it is null."""
-    best = labels.groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("quality").alias("_quality"))
-    weight = F.when(F.col("_quality") >= 1, 2.0).when(F.col("_quality") < 1, 0.5).otherwise(1.0)
-    joined = df.join(best, F.col(id_col) == F.col("_label_id"), "left")
-    return joined.withColumn("mix_weight", weight).drop("_label_id", "_quality")
+def with_quality(sizes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds weight: 2 where a label says good quality, 0.5 where it says bad, 1
+    where there is none or it is null. Several labels of one id: the best."""
+    best = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("best"))
+    weight = F.when(F.col("best") >= 1, 2.0).when(F.col("best") < 1, 0.5).otherwise(1.0)
+    return sizes.join(best, F.col("id") == F.col("label_id"), "left").withColumn("weight", weight).drop("label_id", "best")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The ids join the labels, not the texts: sizes are counted before.
-    labels = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mix(with_quality(docs, labels), weight_col="mix_weight")
+    mixed = mix(table(spark, sf_dir, "documents"), quality=table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
