@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import chats, language_id, mixing, packing, secret_scan
+from docloom.llm import chats, language_id, media, mixing, packing, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media_columns": media.op1_media_columns,
         "op2_language_profiles": language_id.op2_language_profiles,
         "op3_secret_ownership": secret_scan.op3_secret_ownership,
+        "op4_toxic_sentences": toxicity.op4_toxic_sentences,
         "op8_source_mix": mixing.op8_source_mix,
         "op9_pattern_packing": packing.op9_pattern_packing,
         "op10_chat_snapshots": chats.op10_chat_snapshots,
