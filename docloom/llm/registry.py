@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import chats, language_id, media, mixing, near_dedup, packing, secret_scan, toxicity
+from docloom.llm import chats, embedding_dedup, language_id, media, mixing, near_dedup, packing, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_profiles": language_id.op2_language_profiles,
         "op3_secret_ownership": secret_scan.op3_secret_ownership,
         "op4_toxic_sentences": toxicity.op4_toxic_sentences,
+        "op5_subspace_pigeonhole": embedding_dedup.op5_subspace_pigeonhole,
         "op6_dart_minhash": near_dedup.op6_dart_minhash,
         "op8_source_mix": mixing.op8_source_mix,
         "op9_pattern_packing": packing.op9_pattern_packing,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_secret_ownership": secret_scan.OP3_SQL,
+        "op5_subspace_pigeonhole": embedding_dedup.OP5_SQL,
         "op8_source_mix": mixing.OP8_SQL,
         "op10_chat_snapshots": chats.OP10_SQL,
     }
