@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import chats, embedding_dedup, language_id, media, mixing, near_dedup, packing, secret_scan, toxicity
+from docloom.llm import chats, embedding_dedup, html_extract, language_id, media, mixing, near_dedup, packing, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxic_sentences": toxicity.op4_toxic_sentences,
         "op5_subspace_pigeonhole": embedding_dedup.op5_subspace_pigeonhole,
         "op6_dart_minhash": near_dedup.op6_dart_minhash,
+        "op7_page_templates": html_extract.op7_page_templates,
         "op8_source_mix": mixing.op8_source_mix,
         "op9_pattern_packing": packing.op9_pattern_packing,
         "op10_chat_snapshots": chats.op10_chat_snapshots,
