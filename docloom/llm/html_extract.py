@@ -62,6 +62,10 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 NAME = re.compile(r"[a-z0-9]+")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
+# An element that can be the main slot: a container, not below one that is
+# declared content.
+SLOT = r"^E:(?!.*(?:^E:|>)(?:article|main)(?:\.[^>]*)?>)(?:.*>)?(?:html|body|main|article|section|div|td|center)(?:\.[^>]*)?$"
+
 SUPPORT = 0.8
 LEAST_PAGES = 10
 SLOT_SHARE = 0.7
@@ -230,7 +234,7 @@ def equivalence_classes(statistics: DataFrame, support: float = SUPPORT, least_p
 def host_plans(classes: DataFrame, slot_share: float = SLOT_SHARE) -> DataFrame:
     """host, main (the path of the main slot, '' for the whole page), texts
     (the text tokens of its template)."""
-    slots = F.filter("tokens", lambda t: t["token"].startswith("E:") & (t["chars"] >= F.col("host_chars") * slot_share) & (F.col("host_chars") > 0))
+    slots = F.filter("tokens", lambda t: t["token"].rlike(SLOT) & (t["chars"] >= F.col("host_chars") * slot_share) & (F.col("host_chars") > 0))
     deepest = F.array_max(F.transform(slots, lambda t: F.struct(t["depth"].alias("depth"), t["chars"].alias("chars"), t["token"].alias("token"))))
     main = F.max(F.when(F.col("is_root"), F.substring(deepest["token"], 3, 1_000_000)))
     texts = F.transform(F.filter("tokens", lambda t: t["token"].startswith("T:")), lambda t: t["token"])
