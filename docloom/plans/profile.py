@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from docloom.functions.temporal import NO_REGISTRY
+
 
 @dataclass(frozen=True)
 class TagRule:
@@ -271,11 +273,24 @@ class Profile:
     tags: tuple[TagGroup, ...] = POLICY_TAGS
     issues: tuple[Issue, ...] = POLICY_ISSUES
     selection: dict[str, Selection] = field(default_factory=lambda: POLICY_SELECTION)
+    #: Closing lines: when a current notice is missing, and otherwise.
+    notice: str = "Chưa có thông báo của học kỳ hiện tại; chưa thể kết luận về thời hạn."
+    disclaimer: str = "Hãy đối chiếu trường hợp của mình với các căn cứ trên."
+    current_term: tuple[str, ...] = NO_REGISTRY
 
 
 POLICY = Profile()
 
 
+def profile_from_config(config: dict) -> Profile:
+    """The profile of a domain configuration, with defaults for what it lacks."""
+    return Profile(
+        issues=from_config(config), notice=config.get("current_semester_missing_notice_message", POLICY.notice), disclaimer=config.get("fallback_scope_disclaimer", POLICY.disclaimer),
+        current_term=tuple(config.get("current_semester_keywords", POLICY.current_term)),
+    )
+
+
+
 def from_config(config: dict) -> tuple[Issue, ...]:
     """Issues of a domain configuration (the parsed JSON)."""
     found = []
