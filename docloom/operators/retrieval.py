@@ -139,7 +139,8 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, bonus: DataFrame | None =
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     weighed = weighed.select("filter_id", "token", "chunk_id", (idf * norm).alias("w"))
     keyed = queries.select(*KEY, F.xxhash64(*[F.coalesce(F.col(f), F.lit("\\0")) for f in FILTERS]).alias("filter_id"))
-    scores = asked.join(keyed, KEY).join(weighed, ["filter_id", "token"]).groupBy(*KEY, "chunk_id").agg(F.sum(F.col("qn") * F.col("w")).alias("score"))
+    scores = asked.join(keyed, KEY).join(weighed, ["filter_id", "token"]).groupBy(*KEY, "chunk_id").agg(F.round(F.sum(F.col("qn") * F.col("w")), 9).alias("score"))
+    # Rounded, so that equal texts tie whatever the order of summation.
     return _only_filtered(_bonus(scores, queries, bonus), chunks, queries, bonus).where("score > 0")
 
 
