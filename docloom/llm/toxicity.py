@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from array import array
 from dataclasses import dataclass, field
 
@@ -36,13 +37,14 @@ from pyspark.sql import functions as F
 from docloom.llm.batches import map_rows, strings
 from docloom.llm.common import fold, table
 
-MAX_ROWS = 10_000
+MAX_ROWS = 6_000
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\s|$)|\n|[.!?])*|[.!?\n]+")
 
 
 PREFIXES = (4, 5, 6, 7)
+COUNTER_BITS = 22
 CACHE = 200_000
 
 
@@ -50,6 +52,10 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
 
 
+def counter(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << COUNTER_BITS) - 1)
+
+
 @dataclass
 class Model:
     bias: float = 0.0
@@ -94,33 +100,39 @@ def fit(texts: list[str], labels: list[int], min_docs: int = 5, steps: int = 150
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(constant=float(y.mean()) if len(y) else 0.0)
-    bags = [[set(WORD.findall(m.group())) for m in SENTENCE.finditer(t.lower())] or [set()] for t in texts]
-    # Words by number; the features of a word once, however often it comes.
+    # Words by number; the features of a word once, however often it comes. In
+    # how many documents a feature is, is counted by hash: what is rare need not
+    # be held. Two features of one hash can only let a rare one in.
     number: dict[str, int] = {}
-    seen: dict[str, int] = {}
-    doc_of, sent_of, word_of, n = array("q"), array("q"), array("q"), 0
-    for d, bag in enumerate(bags):
-        for s in bag:
+    seen = np.zeros(1 << COUNTER_BITS, dtype=np.int32)
+    doc_of, sent_of, word_of, n = array("i"), array("i"), array("i"), 0
+    for d, text in enumerate(texts):
+        words_here: set[str] = set()
+        for m in SENTENCE.finditer(text.lower()) if text else ():
+            s = set(WORD.findall(m.group()))
+            words_here |= s
             doc_of.append(d)
             word_of.extend(number.setdefault(w, len(number)) for w in sorted(s))
             sent_of.extend([n] * len(s))
             n += 1
-        for f in {f for w in set().union(*bag) for f in features(w)}:
-            seen[f] = seen.get(f, 0) + 1
-    vocabulary = {f: i for i, f in enumerate(sorted(f for f, k in seen.items() if k >= min_docs))}
-    type_of, feature_of = array("q"), array("q")
+        if not text:
+            doc_of.append(d)
+            n += 1
+        seen[np.fromiter({counter(f) for w in words_here for f in features(w)}, np.int64)] += 1
+    vocabulary: dict[str, int] = {}
+    type_of, feature_of = array("i"), array("i")
     for w, i in number.items():
-        own = [vocabulary[f] for f in features(w) if f in vocabulary]
+        own = [vocabulary.setdefault(f, len(vocabulary)) for f in features(w) if seen[counter(f)] >= min_docs]
         type_of.extend([i] * len(own))
         feature_of.extend(own)
-    docs, sents, words, types, feats = (np.frombuffer(x, dtype=np.int64) if len(x) else np.zeros(0, np.int64) for x in (doc_of, sent_of, word_of, type_of, feature_of))
-    v, m, n_types = len(vocabulary), len(y), len(number)
-    w, b = np.zeros(v), math.log(max(y.mean(), 1e-3) / (n / m))
+    docs, sents, words, types, feats = (np.frombuffer(x, dtype=np.int32) if len(x) else np.zeros(0, np.int32) for x in (doc_of, sent_of, word_of, type_of, feature_of))
+    v, k, n_types = len(vocabulary), len(y), len(number)
+    w, b = np.zeros(v), math.log(max(y.mean(), 1e-3) / (n / k))
     second = np.zeros(v + 1)
     for t in range(steps):
         scores = np.bincount(types, weights=w[feats], minlength=n_types)
         p = sigmoid(b + np.bincount(sents, weights=scores[words], minlength=n))
-        quiet = np.bincount(docs, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=m)
+        quiet = np.bincount(docs, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=k)
         score = np.clip(-np.expm1(quiet), 1e-9, 1 - 1e-12)
         # d loss / d logit of a sentence: p (score - y) / score
         pull = p * ((score - y) / score)[docs]
