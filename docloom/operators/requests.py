@@ -23,7 +23,7 @@ def validate_requests(requests: DataFrame, max_length: int = 2000, max_top_k: in
 def window_counts(events: DataFrame, client: str, ts: str, seconds: int) -> DataFrame:
     """events with in_window: events of the client in the last `seconds`, itself
     included; one exactly that old has expired. Counts all events."""
-    order = Window.partitionBy(client).orderBy(F.unix_micros(F.col(ts))).rangeBetween(-seconds * 1_000_000 + 1, 0)
+    order = Window.partitionBy(client).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return events.withColumn("in_window", F.count("*").over(order))
 
 
@@ -33,7 +33,7 @@ def admit(events: DataFrame, client: str, ts: str, key: str, limit: int = 30, se
     not count. Sequential for each client: rows come in order and only the
     admitted times of one client's window are held, whatever its number of
     events."""
-    fields = events.select(F.col(client).alias("client"), F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(F.col(ts)).alias("at"))
+    fields = events.select(F.col(client).alias("client"), F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
     kinds = {f.name: f.dataType.simpleString() for f in fields.schema.fields}
     span = seconds * 1_000_000
 

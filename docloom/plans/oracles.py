@@ -193,11 +193,11 @@ pri AS (
       WHEN 'german' THEN CASE WHEN area = 'german' THEN 10 ELSE -30 END + CASE WHEN contains(title, 'sch') THEN 30 ELSE 0 END ELSE 0 END AS bonus
   FROM cand),
 us AS (SELECT *, score + bonus AS final, priority >= 0 AND score + bonus > 0 AS useful FROM pri),
-us2 AS (SELECT *, bool_or(useful) OVER (PARTITION BY question_id, issue_idx) AS some FROM us),
+us2 AS (SELECT *, bool_or(useful) OVER (PARTITION BY question_id, issue_idx) AS has_some FROM us),
 sel0 AS (
-  SELECT question_id, issue_idx, issue_type, query, chunk_id, priority, CASE WHEN some THEN final ELSE score END AS score,
-    row_number() OVER (PARTITION BY question_id, issue_idx ORDER BY CASE WHEN some THEN priority ELSE 0 END DESC, CASE WHEN some THEN final ELSE score END DESC, doc_id) AS rank
-  FROM us2 WHERE useful OR NOT some),
+  SELECT question_id, issue_idx, issue_type, query, chunk_id, priority, CASE WHEN has_some THEN final ELSE score END AS score,
+    row_number() OVER (PARTITION BY question_id, issue_idx ORDER BY CASE WHEN has_some THEN priority ELSE 0 END DESC, CASE WHEN has_some THEN final ELSE score END DESC, doc_id) AS rank
+  FROM us2 WHERE useful OR NOT has_some),
 sel AS (SELECT * FROM sel0 WHERE rank <= 3)"""
 
 # Which documents hold which passage.
@@ -234,12 +234,12 @@ PASSED = "issue_types_pass AND first_chunk_pass AND chunk_any_pass AND answer_co
 
 def _event_admission() -> str:
     return """
-WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 r AS (
-  SELECT user_id, n, event_id, true AS admitted, [at] AS held FROM e WHERE n = 1
+  SELECT user_id, n, event_id, true AS admitted, [us] AS held FROM e WHERE n = 1
   UNION ALL
-  SELECT e.user_id, e.n, e.event_id, len(list_filter(r.held, lambda t: t > e.at - 86400000000)) < 2,
-    CASE WHEN len(list_filter(r.held, lambda t: t > e.at - 86400000000)) < 2 THEN list_append(list_filter(r.held, lambda t: t > e.at - 86400000000), e.at) ELSE list_filter(r.held, lambda t: t > e.at - 86400000000) END
+  SELECT e.user_id, e.n, e.event_id, len(list_filter(r.held, lambda t: t > e.us - 86400000000)) < 2,
+    CASE WHEN len(list_filter(r.held, lambda t: t > e.us - 86400000000)) < 2 THEN list_append(list_filter(r.held, lambda t: t > e.us - 86400000000), e.us) ELSE list_filter(r.held, lambda t: t > e.us - 86400000000) END
   FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
 SELECT event_id, admitted FROM r"""
 
@@ -300,8 +300,8 @@ def oracle_sql() -> dict[str, str]:
         "select_sources": f"WITH {SOURCES} SELECT question_id, issue_type, chunk_id, priority, score, rank FROM sel",
         "prune_sources": f"""WITH {SOURCES},
             kp AS (SELECT *, CASE issue_type WHEN 'english' THEN (priority >= 2 AND contains(query, 'tion')) OR priority >= 3 WHEN 'german' THEN priority >= 2 ELSE true END AS keep FROM sel),
-            k2 AS (SELECT *, bool_or(keep) OVER (PARTITION BY question_id, issue_idx) AS some FROM kp)
-            SELECT question_id, issue_type, chunk_id, score, row_number() OVER (PARTITION BY question_id, issue_idx ORDER BY rank) AS rank FROM k2 WHERE keep OR (NOT some AND rank = 1)""",
+            k2 AS (SELECT *, bool_or(keep) OVER (PARTITION BY question_id, issue_idx) AS has_some FROM kp)
+            SELECT question_id, issue_type, chunk_id, score, row_number() OVER (PARTITION BY question_id, issue_idx ORDER BY rank) AS rank FROM k2 WHERE keep OR (NOT has_some AND rank = 1)""",
         "multi_issue_union": f"""WITH {SOURCES}, o AS (SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY issue_idx, rank) AS n FROM sel)
             SELECT question_id, issue_type, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY issue_idx, rank) AS position FROM o WHERE n = 1""",
         "raw_ranking": f"""WITH {SOURCES}, o AS (SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY issue_idx, rank) AS n FROM cand),

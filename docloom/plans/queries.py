@@ -91,13 +91,16 @@ def page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relevant_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question_id, chunk_id) of documents that hold a passage, token by token.
-    Both sides meet on the first five tokens; then the whole passage is tested."""
+    Both sides meet on the longest token of the passage; then all of it is
+    tested."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), text.tokens(F.col("text")).alias("q")).where("size(q) >= 5")
-    items = items.select("question_id", F.array_join("q", " ").alias("phrase"), F.array_join(F.slice("q", 1, 5), " ").alias("head"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), text.tokens(F.col("text")).alias("t")).where("size(t) >= 5")
-    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - 4), lambda i: F.array_join(F.slice("t", i, 5), " ")))
-    docs = docs.select("chunk_id", F.explode(heads).alias("head"), F.array_join("t", " ").alias("body"))
-    found = docs.join(items, "head").where(F.concat(F.lit(" "), "body", F.lit(" ")).contains(F.concat(F.lit(" "), "phrase", F.lit(" "))))
+    longest = F.array_max(F.transform("q", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    items = items.select("question_id", F.array_join("q", " ").alias("phrase"), longest.alias("head"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), text.tokens(F.col("text")).alias("t"))
+    # Only (document, token) is exploded; the text joins the few that match.
+    heads = docs.select("chunk_id", F.explode(F.array_distinct("t")).alias("head")).join(items, "head")
+    docs = heads.join(docs.select("chunk_id", F.array_join("t", " ").alias("body")), "chunk_id")
+    found = docs.where(F.concat(F.lit(" "), "body", F.lit(" ")).contains(F.concat(F.lit(" "), "phrase", F.lit(" "))))
     return found.select("question_id", "chunk_id").distinct()
 
 
@@ -129,7 +132,7 @@ def ranked_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The area of a chunk is told by the issue type that asks for it.
     names = F.create_map(*[F.lit(x) for i in ISSUES if i.policy_area for x in (i.policy_area, i.issue_type)])
     found = found.withColumn("policy_area", F.transform("policy_area", lambda a: F.coalesce(F.element_at(names, a), a)))
-    return asked.withColumn("plan", F.concat_ws("|", "issue_type", "query")).join(found, "plan").select("question_id", "issue_idx", "issue_type", "query", "chunk_id", "doc_id", "section_number", "section_title", "policy_area", "score", "rank")
+    return asked.withColumn("plan", F.concat_ws("|", "issue_type", "query")).drop("policy_area").join(found, "plan").select("question_id", "issue_idx", "issue_type", "query", "chunk_id", "doc_id", "section_number", "section_title", "policy_area", "score", "rank")
 
 
 # --- queries -----------------------------------------------------------------
