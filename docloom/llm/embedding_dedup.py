@@ -147,13 +147,13 @@ def _tile_links(blocks: int, cosine: float):
     return run
 
 
-def vector_links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def vector_links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, tile: int | None = None) -> DataFrame:
     """(a, b, links) from vectors (vec_id, label, copies, vector): rows with
     a <> b are a spanning set of the links, rows with a = b numbers of linked
     vectors, to be summed."""
     celled = materialize(_cells(vectors, blocks, cosine), "vector-cells")
     flat = celled.select("vec_id", "label", "copies", "vector", F.size("vector").alias("dim"), F.posexplode("cells").alias("block", "cell"))
-    counts = materialize(flat.groupBy("label", "dim", "block", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks")), "cell-counts")
+    counts = materialize(flat.groupBy("label", "dim", "block", "cell").agg(F.ceil(F.count("*") / (tile or TILE)).cast("int").alias("chunks")), "cell-counts")
     upper = counts.select("label", "dim", "block", (F.col("cell") - 1).alias("cell"), F.col("chunks").alias("upper_chunks"))
     lower = counts.select("label", "dim", "block", (F.col("cell") + 1).alias("cell"), F.col("chunks").alias("lower_chunks"))
     keys = ["label", "dim", "block", "cell"]
