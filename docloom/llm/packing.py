@@ -185,10 +185,10 @@ def plan_patterns(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
     patterns = enumerate_patterns(left)
     fitted = fit_counts(patterns, left)
     plan: list[tuple[int, tuple[int, ...]]] = []
-    # Rounding carries the fractions on, so that many small counts keep their
-    # total; then no more than what is left of each length.
+    # Rounded down: what a fraction of a repeat would pack is packed better with
+    # all that is left.
     order = np.lexsort((patterns[:, 2], patterns[:, 1], patterns[:, 0])) if len(patterns) else np.zeros(0, int)
-    whole = np.diff(np.floor(np.concatenate([[0.0], np.cumsum(fitted[order])]) + 0.5)).astype(int)
+    whole = np.floor(fitted[order] + 1e-6).astype(int)
     for k, n in zip(order, whole, strict=True):
         if n > 0:
             lengths = tuple(int(v) for v in patterns[k] if v)
