@@ -97,23 +97,29 @@ def _short_phrase_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 def lexical_scores(chunks: DataFrame, queries: DataFrame, bonus: DataFrame | None = None) -> DataFrame:
     """(keys, chunk_id, score > 0): weighted token counts, repeats in the query
     count again, plus bonuses for the whole phrase in title or text."""
+    filtered = any(f in queries.columns for f in FILTERS)
     queries = with_filters(queries)
     asked = query_tokens(queries)
-    hits = asked.join(term_table(chunks), "token").groupBy(*KEY, "chunk_id").agg(F.sum(F.col("qn") * F.col("weight")).alias("hits"))
-    # A phrase of three tokens or more shares its inner tokens with the chunk.
-    candidates = hits.join(_short_phrase_chunks(chunks, queries), [*KEY, "chunk_id"], "full").select(*KEY, "chunk_id", F.coalesce("hits", F.lit(0.0)).alias("hits"))
-    texts = chunks.select("chunk_id", F.array_join(tokens(F.col("section_title")), " ").alias("title"), F.array_join(tokens(F.col("text")), " ").alias("body"), *[f for f in dict.fromkeys(FILTERS.values()) if f in chunks.columns])
-    phrases = queries.select(*KEY, F.array_join(tokens(F.col("query")), " ").alias("phrase"), *_filters(queries))
-    joined = candidates.join(phrases, KEY).join(texts, "chunk_id").where(passes(texts))
-    score = F.col("hits") + F.when(F.col("title").contains(F.col("phrase")), TITLE_PHRASE).otherwise(0.0) + F.when(F.col("body").contains(F.col("phrase")), TEXT_PHRASE).otherwise(0.0)
-    scored = joined.select(*KEY, "chunk_id", score.alias("score"))
-    return _only_filtered(_bonus(scored, queries, bonus), chunks, queries, bonus).where("score > 0")
-
-
-def _only_filtered(scores: DataFrame, chunks: DataFrame, queries: DataFrame, bonus: DataFrame | None) -> DataFrame:
-    """What a bonus added must exist and pass the filters, too."""
-    if bonus is None:
-        return scores
+    hits = asked.join(term_table(chunks), "token").groupBy(*KEY, "chunk_id").agg(F.sum(F.col("qn") * F.col("weight")).alias("hits"), F.count("*").alias("matched"))
+    # A phrase stands in a chunk only if all of its tokens but the first and the
+    # last, which may be parts of others, do; so texts meet few queries.
+    words = tokens(F.col("query"))
+    phrases = queries.select(*KEY, F.array_join(words, " ").alias("phrase"), F.size(F.array_distinct(words)).alias("distinct"))
+    maybe = hits.join(phrases.select(*KEY, "distinct"), KEY).where(F.col("matched") >= F.col("distinct") - 2).select(*KEY, "chunk_id")
+    maybe = maybe.unionByName(_short_phrase_chunks(chunks, queries)).distinct()
+    texts = chunks.select("chunk_id", F.array_join(tokens(F.col("section_title")), " ").alias("title"), F.array_join(tokens(F.col("text")), " ").alias("body"))
+    tested = maybe.join(phrases, KEY).join(texts, "chunk_id")
+    extra = F.when(F.col("title").contains(F.col("phrase")), TITLE_PHRASE).otherwise(0.0) + F.when(F.col("body").contains(F.col("phrase")), TEXT_PHRASE).otherwise(0.0)
+    tested = tested.select(*KEY, "chunk_id", extra.alias("extra")).where("extra > 0")
+    both = hits.select(*KEY, "chunk_id", "hits").join(tested, [*KEY, "chunk_id"], "full")
+    scored = both.select(*KEY, "chunk_id", (F.coalesce("hits", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0))).alias("score"))
+    scored = _bonus(scored, queries, bonus)
+    # What a bonus adds must exist and pass the filters, too.
+    return (_only_filtered(scored, chunks, queries) if filtered or bonus is not None else scored).where("score > 0")
+
+
+def _only_filtered(scores: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Scores of known chunks that pass their query's filters."""
     tags = chunks.select("chunk_id", *[f for f in dict.fromkeys(FILTERS.values()) if f in chunks.columns])
     return scores.join(queries.select(*KEY, *_filters(queries)), KEY).join(tags, "chunk_id").where(passes(tags)).select(*KEY, "chunk_id", "score")
 
@@ -141,7 +147,8 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, bonus: DataFrame | None =
     keyed = queries.select(*KEY, F.xxhash64(*[F.coalesce(F.col(f), F.lit("\\0")) for f in FILTERS]).alias("filter_id"))
     scores = asked.join(keyed, KEY).join(weighed, ["filter_id", "token"]).groupBy(*KEY, "chunk_id").agg(F.round(F.sum(F.col("qn") * F.col("w")), 9).alias("score"))
     # Rounded, so that equal texts tie whatever the order of summation.
-    return _only_filtered(_bonus(scores, queries, bonus), chunks, queries, bonus).where("score > 0")
+    scores = _bonus(scores, queries, bonus)
+    return (scores if bonus is None else _only_filtered(scores, chunks, queries)).where("score > 0")
 
 
 def top_k(scores: DataFrame, chunks: DataFrame, k: int = 5, partition: list[str] | None = None) -> DataFrame:
