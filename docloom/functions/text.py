@@ -26,8 +26,10 @@ def fold_table() -> tuple[str, str]:
 def normalize_text(text: Column) -> Column:
     """Lower case without marks; null is empty."""
     source, target = fold_table()
-    bare = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), source, target), "\\p{Mn}", "")
-    return F.lower(bare)
+    t = F.coalesce(text, F.lit(""))
+    bare = F.regexp_replace(F.translate(t, source, target), "\\p{Mn}", "")
+    # Most text has nothing to fold, and a look is cheaper than a table.
+    return F.lower(F.when(t.rlike("[^\\x00-\\x7F]"), bare).otherwise(t))
 
 
 def normalize_literal(text: str) -> str:
