@@ -131,11 +131,13 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, bonus: DataFrame | None =
     queries = with_filters(queries)
     filters = queries.select(*_filters(queries)).distinct().withColumn("filter_id", F.xxhash64(*[F.coalesce(F.col(f"f_{f}"), F.lit("\\0")) for f in FILTERS]))
     words = tokens(F.concat_ws("\n", "section_title", "chapter_title", "text"))
-    bags = chunks.select("chunk_id", words.alias("words"), *[f for f in dict.fromkeys(FILTERS.values()) if f in chunks.columns])
+    tags = [f for f in dict.fromkeys(FILTERS.values()) if f in chunks.columns]
     # Each filter with the chunks that pass it; distinct filters are few.
-    passing = bags.join(F.broadcast(filters), passes(bags)).select("filter_id", "chunk_id", F.size("words").alias("dl"))
-    stats = passing.groupBy("filter_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = bags.select("chunk_id", F.explode("words").alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
+    passing = chunks.select("chunk_id", *tags).join(F.broadcast(filters), passes(chunks)).select("filter_id", "chunk_id")
+    lengths = chunks.select("chunk_id", F.size(words).alias("dl"), *tags).join(F.broadcast(filters), passes(chunks))
+    stats = lengths.groupBy("filter_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    bags = chunks.select("chunk_id", words.alias("words"))
+    tf = bags.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("token")).groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
     asked = query_tokens(queries)
     wanted = tf.join(asked.select("token").distinct(), "token", "left_semi")
     placed = wanted.join(passing, "chunk_id")
