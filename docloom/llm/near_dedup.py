@@ -17,12 +17,15 @@ document costs about k log k darts plus its length.
 Copies (equal word sequences) are one text from here on. Bands of 7 coordinates
 in 36 bands put texts into buckets: a pair of similarity 0.8 meets in some band
 with probability 0.9998, one of similarity 0.4 with 0.06. In a bucket of up to
-SMALL texts all pairs are candidates; in a larger one every text is paired with
-three leaders (smallest id, largest id, smallest hashed id), which keeps the
-candidates linear in the bucket: the leaders differ between the 36 bands, and a
-group is joined through any of them. Candidates whose total weights alone rule
-out the threshold go, the rest is compared exactly by whole texts. Leaders with
-many partners are dealt to several tasks.
+SMALL texts all pairs are candidates. In a larger one every text is first paired
+with three leaders (smallest id, largest id, and the text with most company in
+all its buckets, such as the base of many versions). What these links join is a
+class; all pairs of a bucket that lie in different classes are still open, and
+are compared too, in tiles of bounded size. Where many are open, further rounds
+of leaders come first, as long as each halves them. So every pair of a bucket is
+compared or joined by other links. Candidates whose total weights alone rule out
+the threshold go, the rest is compared exactly by whole texts. Leaders with many
+partners are dealt to several tasks.
 
 Nulls and odd rows: a null text or one without words is a class of its own; so
 is a row with a null id (class null). A text shorter than a shingle is one
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.batches import map_rows, strings
@@ -50,6 +53,9 @@ BANDS = 36
 ROWS = 7
 SMALL = 16
 PER_TASK = 256
+TILE = 512
+#: Open pairs for each entry of a bucket beyond which leaders are tried again.
+OPEN = 16
 
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
@@ -185,27 +191,83 @@ def sketch_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return map_rows(chosen, run, "doc_id long, copy_key string, weight long, bands array<long>")
 
 
-def candidate_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b), a < b: candidates of texts (doc_id, weight, bands)."""
+def shared_buckets(texts: DataFrame) -> DataFrame:
+    """(bucket, doc_id, weight, n): the entries of texts (doc_id, weight, bands)
+    in buckets of n > 1 texts."""
     entries = texts.select("doc_id", "weight", F.explode("bands").alias("bucket"))
     # Counted alone first: nearly all buckets hold one text and are done with.
     buckets = materialize(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = materialize(entries.join(buckets, "bucket"), "bucket-entries")
-    small = shared.where(F.col("n") <= SMALL).select("bucket", "doc_id", "weight")
-    inside = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    inside = inside.select(F.col("x.doc_id").alias("a"), F.col("x.weight").alias("wa"), F.col("y.doc_id").alias("b"), F.col("y.weight").alias("wb"))
-    large = shared.where(F.col("n") > SMALL)
-    one = F.struct("doc_id", "weight")
-    leaders = materialize(
-        large.groupBy("bucket").agg(F.array_distinct(F.array(F.min(one), F.max(one), F.min_by(one, F.xxhash64("doc_id")))).alias("leaders")), "bucket-leaders"
-    )
-    large = large.join(leaders, "bucket").select("doc_id", "weight", F.explode("leaders").alias("leader"))
-    two = F.col("leader")
-    star = large.where("doc_id <> leader.doc_id").select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q"))
-    star = star.select(F.col("p.doc_id").alias("a"), F.col("p.weight").alias("wa"), F.col("q.doc_id").alias("b"), F.col("q.weight").alias("wb"))
-    pairs = inside.unionByName(star)
+    return materialize(entries.join(buckets, "bucket"), "bucket-entries")
+
+
+def wanted(pairs: DataFrame, x: Column, y: Column, threshold: float) -> DataFrame:
+    """(a, b), a < b, of the structs x and y (doc_id, weight) in pairs."""
     # sum of minima <= smaller weight, sum of maxima >= larger weight
-    return pairs.where(F.least("wa", "wb") >= F.greatest("wa", "wb") * threshold).select("a", "b").distinct()
+    pairs = pairs.where((x["doc_id"] != y["doc_id"]) & (F.least(x["weight"], y["weight"]) >= F.greatest(x["weight"], y["weight"]) * threshold))
+    return pairs.select(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b")).distinct()
+
+
+def small_pairs(shared: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All pairs of the small buckets."""
+    one = shared.where(F.col("n") <= SMALL).select("bucket", F.struct("doc_id", "weight").alias("x"))
+    two = one.select("bucket", F.col("x").alias("y"))
+    pairs = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("x.doc_id") < F.col("y.doc_id"))).select("x", "y")
+    return wanted(pairs, F.col("x"), F.col("y"), threshold)
+
+
+def leader_pairs(large: DataFrame, turn: int, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs of three leaders of each bucket with all its other classes.
+    large: bucket, doc_id, weight, n, class_id."""
+    one = F.struct("doc_id", "weight", "class_id")
+    if turn == 0:
+        company = large.groupBy("doc_id").agg(F.sum("n").alias("company"))
+        large = large.join(company, "doc_id")
+        chosen = [F.min(one), F.max(one), F.max_by(one, F.struct("company", "doc_id"))]
+    else:
+        chosen = [F.min_by(one, F.xxhash64("doc_id", F.lit(3 * turn + k))) for k in range(3)]
+    leaders = materialize(large.groupBy("bucket").agg(F.array_distinct(F.array(*chosen)).alias("leaders")), "bucket-leaders")
+    pairs = large.join(leaders, "bucket").select(one.alias("x"), F.explode("leaders").alias("y")).where("x.class_id <> y.class_id")
+    return wanted(pairs, F.col("x"), F.col("y"), threshold)
+
+
+def open_pairs(large: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All pairs of a bucket that lie in different classes. A tile is two chunks
+    of a bucket, so no key of the join has more than about TILE by TILE pairs.
+    large: bucket, doc_id, weight, n, class_id."""
+    chunks = F.ceil(F.col("n") / TILE).cast("int")
+    at = large.select("bucket", F.struct("doc_id", "weight", "class_id").alias("x"), chunks.alias("chunks"), F.pmod(F.xxhash64("doc_id"), chunks).cast("int").alias("chunk"))
+    left = at.select("bucket", F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"), "x")
+    right = at.select("bucket", F.explode(F.sequence(F.lit(0), "chunk")).alias("i"), F.col("chunk").alias("j"), F.col("x").alias("y"))
+    keys = (left["bucket"] == right["bucket"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
+    near = F.least("x.weight", "y.weight") >= F.greatest("x.weight", "y.weight") * threshold
+    once = (left["i"] < left["j"]) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    pairs = left.join(right, keys & once & near & (F.col("x.class_id") != F.col("y.class_id"))).select("x", "y")
+    return wanted(pairs, F.col("x"), F.col("y"), threshold)
+
+
+def text_classes(texts: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component) of the texts (doc_id, weight, bands) that have a near
+    duplicate; docs: doc_id, text."""
+    shared = shared_buckets(texts)
+    large = shared.where(F.col("n") > SMALL)
+    first = leader_pairs(large.withColumn("class_id", F.col("doc_id")), 0, threshold)
+    classes = connected_components(verify_pairs(small_pairs(shared, threshold).union(first).distinct(), docs, threshold))
+    turn, before = 0, None
+    while True:
+        named = large.join(classes, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "weight", "n", F.coalesce("component", "doc_id").alias("class_id"))
+        sizes = named.groupBy("bucket", "class_id").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inside"))
+        open_ = materialize(sizes.where("n * n > inside").withColumn("open", (F.col("n") * F.col("n") - F.col("inside")) / 2), "open-buckets")
+        entries, pairs = open_.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("open"), F.lit(0.0))).first()
+        if not pairs:
+            return classes
+        rest = materialize(named.join(open_.select("bucket"), "bucket"), "open-entries")
+        turn += 1
+        last = pairs <= OPEN * entries or (before is not None and 2 * pairs > before)
+        before = pairs
+        found = verify_pairs(open_pairs(rest, threshold) if last else leader_pairs(rest, turn, threshold), docs, threshold)
+        classes = connected_components(classes.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found))
+        if last:
+            return classes
 
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -255,10 +317,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = copies.select(F.col("text_id").alias("doc_id"))
     # An id may repeat with other texts; one of them stands for it.
     texts = known.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "weight", "bands")
-    pairs = candidate_pairs(texts, threshold)
     plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    links = verify_pairs(pairs, plain, threshold)
-    classes = connected_components(links)
+    classes = text_classes(texts, plain, threshold)
     named = copies.join(classes, F.col("text_id") == F.col("node"), "left").select("copy_key", "n_copies", F.coalesce("component", "text_id").alias("class_id"))
     named = materialize(named, "classes")
     joined = sketches.select("doc_id", "copy_key").join(named, "copy_key", "left")

@@ -79,6 +79,38 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def versions(n=1000, words=500, edits=10, seed=11):
+    """A base text of middle id, 0.82 like each of n versions; these are 0.67
+    like each other."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    base = [word() for _ in range(words)]
+    texts = []
+    for _ in range(n):
+        copy, phase = list(base), r.randrange(6)
+        for at in r.sample(range(6 + phase, words - 12, 6), edits):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    texts.insert(n // 2, " ".join(base))
+    return texts
+
+
+def test_versions_of_a_base_in_the_middle_are_one_class(spark):
+    texts = versions()
+    assert all(sim(texts[500], texts[k]) >= 0.8 for k in (0, 499, 501, 1000)) and sim(texts[0], texts[1]) < 0.75
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.class_id for r in N.near_duplicates(df).collect()} == {0}
+
+
+def test_every_pair_of_a_large_bucket_is_open_or_in_one_class(spark, monkeypatch):
+    monkeypatch.setattr(N, "TILE", 5)
+    rows = [(7, k, 10 if k < 38 else 100, 40, k % 3 if k < 30 else k) for k in range(40)]
+    large = spark.createDataFrame(rows, "bucket long, doc_id long, weight long, n long, class_id long")
+    got = [(r.a, r.b) for r in N.open_pairs(large).collect()]
+    want = {(x[1], y[1]) for x in rows for y in rows if x[1] < y[1] and x[4] != y[4] and x[2] == y[2]}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(7, 7), (205, 201), (201, 203)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
