@@ -6,8 +6,8 @@ host a token has an occurrence vector, the number of times it comes on each
 page. Tokens with equal vectors form an equivalence class. Classes that cover
 enough pages of the host are valid; they are nested by their paths into the
 host's template, and what lies between their tokens are its slots. The class of
-the root holds the frame of every page; its deepest element that still holds
-most of the slot text is the main slot. From each page the blocks of the main
+the root holds the frame of every page; its deepest element that holds all of
+the slot text of the host is the main slot. From each page the blocks of the main
 slot are taken, without text blocks that are template themselves (they come on
 nearly all pages of a host with enough pages, and no article or main element
 declares them content) and without elements that by
@@ -68,7 +68,6 @@ SLOT = r"^E:(?!.*(?:^E:|>)(?:article|main)(?:\.[^>]*)?>)(?:.*>)?(?:html|body|mai
 
 SUPPORT = 0.8
 LEAST_PAGES = 10
-SLOT_SHARE = 0.7
 
 
 @dataclass
@@ -231,10 +230,10 @@ def equivalence_classes(statistics: DataFrame, support: float = SUPPORT, least_p
     ).withColumn("top", F.filter("tokens", lambda t: t["token"].startswith("E:"))[0]["token"])
 
 
-def host_plans(classes: DataFrame, slot_share: float = SLOT_SHARE) -> DataFrame:
+def host_plans(classes: DataFrame) -> DataFrame:
     """host, main (the path of the main slot, '' for the whole page), texts
     (the text tokens of its template)."""
-    slots = F.filter("tokens", lambda t: t["token"].rlike(SLOT) & (t["chars"] >= F.col("host_chars") * slot_share) & (F.col("host_chars") > 0))
+    slots = F.filter("tokens", lambda t: t["token"].rlike(SLOT) & (t["chars"] == F.col("host_chars")) & (F.col("host_chars") > 0))
     deepest = F.array_max(F.transform(slots, lambda t: F.struct(t["depth"].alias("depth"), t["chars"].alias("chars"), t["token"].alias("token"))))
     main = F.max(F.when(F.col("is_root"), F.substring(deepest["token"], 3, 1_000_000)))
     texts = F.transform(F.filter("tokens", lambda t: t["token"].startswith("T:")), lambda t: t["token"])

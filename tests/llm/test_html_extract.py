@@ -35,6 +35,15 @@ def test_slots_by_template(spark):
     assert {t.token for t in root.tokens} >= {"E:html", "E:html>body", "E:html>body>div.content"} and root.top == "E:"
 
 
+def test_text_of_every_container_stays(spark):
+    """A page's text may lie beside the container that holds most of the host's."""
+    form = "<html><body><div class='top'><p>Welcome to the site</p></div><div class='content'><p>{0}</p></div><div class='more'><p>{1}</p></div></body></html>"
+    texts = [(f"Body {k} " + "long words here " * 9, f"And more {k} of this") for k in range(19)] + [("Short", "All the rest of this page is here")]
+    df = spark.createDataFrame([(k, "http://h.example/", form.format(*t)) for k, t in enumerate(texts)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_main_text(df).collect()}
+    assert all(got[k] == " ".join(" ".join(t).split()) for k, t in enumerate(texts))
+
+
 def test_article_text_stays_though_it_recurs(spark):
     rows = [(k, "https://u@h.example:80/a", page("<article><h1>Same</h1><p>Same text</p></article>")) for k in range(15)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
