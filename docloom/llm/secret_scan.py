@@ -95,17 +95,21 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return uses.groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 2, max_repos: int = 20) -> DataFrame:
+def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 2, max_repos: int | None = 20) -> DataFrame:
     """Per row of df: id_col, row_key, and spans, an ordered
     array<struct<start, kind, end, n_owners, n_repos, owner_specific>>.
 
     A value is owner-specific with at most max_owners owners and max_repos
-    repositories; beyond either it is a widely copied example.
+    repositories; beyond either it is a widely copied example. With max_repos
+    None owners alone decide.
     """
     scanned = materialize(scan(df, id_col, text_col, owner_col, repo_col), "secret-scan")
     counts = materialize(ownership(scanned), "secret-owners")
     hits = scanned.select("row_key", F.explode("cands").alias("c")).select("row_key", "c.*").distinct()
-    hits = hits.join(counts, "hash").withColumn("owner_specific", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
+    few = F.col("n_owners") <= max_owners
+    if max_repos is not None:
+        few = few & (F.col("n_repos") <= max_repos)
+    hits = hits.join(counts, "hash").withColumn("owner_specific", few)
     hits = hits.where((F.col("kind") < 3) | F.col("owner_specific"))
     spans = hits.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repos", "owner_specific"))).alias("spans"))
     spans = spans.withColumn("base", F.filter("spans", lambda x: x["kind"] < 3))

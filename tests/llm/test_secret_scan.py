@@ -6,6 +6,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corpus_pipeline import redact_secrets
 from docloom.llm import secret_scan as S
 from tests.llm import odd
 
@@ -49,6 +50,14 @@ def test_ownership_separates_examples_from_live_tokens(spark):
     assert clean[9] == "mine [SECRET] only, twice [SECRET]" and clean[0] == f"see {example} here"
 
 
+def test_pipeline_redacts_the_key_of_one_owner_in_many_documents(spark):
+    live, example = "Zx9Kq2Lm8Vb4Nc7Rt1Yp", "Ab3Cd4Ef5Gh6Ij7Kl8Mn"
+    rows = [(i, f"use {live} and {example}" if i < 3 else f"use {live} now", "en", "owner", 0) for i in range(1000)] + [(1000 + i, f"see {example}", "en", f"other{i}", 0) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in redact_secrets(spark, df, "").collect()}
+    assert got == {i: t.replace(live, "[SECRET]") for i, t, *_ in rows}
+
+
 def S_spans(r):
     return [(s.start, s.kind, s.end) for s in r.spans]
 
