@@ -127,7 +127,9 @@ def parse(source: str) -> Page:
         inside = any(s[0] in ("article", "main") for s in stack)
         if m[3].strip(" /\n\t\r"):
             attributes = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(m[3])}
-            names = NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")
+            # Within declared content a word of an id or of a longer class may
+            # be the subject: id='related-work'.
+            names = attributes.get("class", "").split() if inside else NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")
             if tag not in ("html", "body", "article", "main"):
                 skipped = skipped or not HINTS.isdisjoint(names) or attributes.get("role") in ROLES or ("header" in names and not inside)
             if attributes.get("class"):

@@ -15,6 +15,11 @@ def test_blocks():
     assert H.extract_text(page(body), "html>body>article", set()) == "Head & Line One! two three un<closed é & a b c d"
 
 
+def test_ids_within_an_article_are_no_hints():
+    body = "<article><h2 id='ad-hoc-queries'>a</h2><section id='related-work'>b<p id='notice-3' class='menu-card'>c</p></section><div class='related'>x</div><div role='navigation'>y</div></article>"
+    assert H.extract_text(page(body), "", set()) == "a b c"
+
+
 def test_broken_markup():
     for n in range(0, 400, 7):
         H.extract_text(page("<article><p>text</p><!-- x --></article>")[:n], "", set())
