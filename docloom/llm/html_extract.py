@@ -4,10 +4,12 @@ The pages of one host share a template. Every element path (tags with their
 classes, from the root) and every text block is a token; over the pages of its
 host a token has an occurrence vector, the number of times it comes on each
 page. Tokens with equal vectors form an equivalence class. Classes that cover
-enough pages of the host are valid; they are nested by their paths into the
-host's template, and what lies between their tokens are its slots. The class of
-the root holds the frame of every page; its deepest element that holds all of
-the slot text of the host is the main slot. From each page the blocks of the main
+enough pages of the host are valid. Of the method only two things are used: the
+class of the root, which holds the frame of every page, and the frequency of
+text blocks. Classes are not nested and no slots between their tokens are built,
+so a template of some pages of a host only is not found. The deepest element of
+the root's class that holds all of the slot text of the host is the main slot.
+From each page the blocks of the main
 slot are taken, without text blocks that are template themselves (they come on
 nearly all pages of a host with enough pages, and no article or main element
 declares them content) and without elements that by
