@@ -1,4 +1,9 @@
-"""Arrow batches for the operators that run in Python workers."""
+"""Arrow batches for the operators that run in Python workers.
+
+Spark bounds a batch it sends by bytes (spark.sql.execution.arrow.maxBytesPerBatch,
+64 MB unless the session says otherwise); the work on it is done in parts bounded
+by rows and bytes, so no setting of the session is changed here.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +12,30 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+ROWS = 512
+BYTES = 4_000_000
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows and about `size` bytes, one
+    row at least. Parts share the memory of their batch."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and (part.num_rows > rows or part.nbytes > size):
+                half = min(rows, part.num_rows // 2) if part.num_rows > 2 * rows else part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            elif part.num_rows:
+                yield part
+
 
-def map_rows(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512) -> DataFrame:
-    """f over df in batches of at most `rows` rows, so that long texts do not
-    add up in a worker."""
-    spark = df.sparkSession
-    # Bounds what the JVM puts into one batch; a few hundred texts at a time.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def map_rows(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = ROWS) -> DataFrame:
+    """f over df in parts of at most `rows` rows and BYTES bytes, so that long
+    texts do not add up in a worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
+        return map(f, parts(batches, rows))
 
     return df.mapInArrow(run, schema)
 
