@@ -4,15 +4,20 @@ Vectors are scaled to length 1, so cosine >= c means squared distance <= T =
 2 - 2c. A fixed random rotation spreads the distance evenly over the
 dimensions; the rotated vector is cut into blocks. If every block distance
 exceeded its share of T (in proportion to its dimensions), the sum would exceed
-T; so every wanted pair is within budget in at least one block. Each block is
-range-joined under its budget on a grid of cells as wide as the block's radius,
-so partners lie in the same or in neighbouring cells. A pair is taken in the
-first block in which it is within budget, which gives the union without a
-second pass, and is verified there by its exact cosine in double precision.
-
-A cell and its upper neighbour are compared in tiles of at most about TILE by
-TILE vectors, so that no task holds more, whatever a label or a cell holds. A
-tile sends the number of links of each vector and a spanning set of its links,
+T; so every wanted pair is within budget in at least one block.
+
+The vectors of a label are dealt to chunks of bounded size, and each two chunks
+meet in one task, which does all blocks: a vector is sent once for each chunk of
+its label, and once in all where the label fits one chunk. Within a task every
+block is range-joined: two vectors within a block's budget are within its radius
+in each of its coordinates. A coordinate is cut into ranges of equal count, and
+for each range a bitmap tells the vectors below it; the vectors within the
+radius are the difference of two bitmaps, and those near in all coordinates are
+the intersection over the block, 64 vectors an instruction. Only what is left is
+compared by block distance, and only pairs within the budget of some block are
+candidates, verified by their exact cosine in double precision.
+
+A task sends the number of links of each vector and a spanning set of its links,
 never all pairs. Copies of one vector under one label are one vector with a
 count from the start.
 
@@ -20,9 +25,11 @@ Only vectors with equal, non-null labels and equal length are compared.
 
 Nulls and odd rows: vectors that are null, empty or zero, or hold null or
 non-finite components, and those with a null label or id, link with nothing;
-their component is their id. Rows that repeat an id with the same vector and
-label count once, and each gets the same result. An empty table gives an empty
-result. Other columns are not read.
+their component is their id. Very large and very small components are scaled
+before lengths are taken. Rows that repeat an id with the same vector and label
+count once, and each gets the same result; an id with several vectors has the
+links of all of them, its own among each other included. An empty table gives an
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,13 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.batches import map_rows
 from docloom.llm.common import materialize, table
 from docloom.llm.components import connected_components
 
 COSINE = 0.93
 BLOCKS = 8
-TILE = 2048
+#: Numbers in the vectors of a chunk: 8,192 vectors of 64.
+CHUNK = 2**19
+RANGES = 64
 SEED = 20_017
 
 
@@ -62,122 +70,128 @@ def budgets(dim: int, blocks: int, cosine: float) -> np.ndarray:
     return np.array([total * (e - b) / dim for b, e in block_bounds(dim, blocks)]) * (1 + 1e-9) + 1e-12
 
 
-def _cells(df: DataFrame, blocks: int, cosine: float) -> DataFrame:
-    """df with cells array<int>: the cell of each block, from the vector."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vectors = batch.column(batch.schema.get_field_index("vector"))
-        out: list[list[int]] = [[] for _ in range(batch.num_rows)]
-        by_dim: dict[int, list[int]] = {}
-        rows = vectors.to_numpy(zero_copy_only=False)
-        for i, v in enumerate(rows):
-            by_dim.setdefault(len(v), []).append(i)
-        for dim, where in by_dim.items():
-            x = np.stack([rows[i] for i in where]).astype(np.float64)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(dim)
-            width = np.sqrt(budgets(dim, blocks, cosine))
-            for i, line in zip(where, np.floor(x[:, [b for b, _ in block_bounds(dim, blocks)]] / width).astype(int).tolist(), strict=True):
-                out[i] = line
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
-
-    return map_rows(df, run, "vec_id long, label string, copies long, vector array<double>, cells array<int>", 2048)
-
-
-def _tile_links(blocks: int, cosine: float):
-    def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-        """The smallest position that each of n reaches over links a-b."""
-        low = np.arange(n)
-        while True:
-            new = low.copy()
-            np.minimum.at(new, a, low[b])
-            np.minimum.at(new, b, low[a])
-            new = new[new]
-            if (new == low).all():
-                return low
-            low = new
-
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in the same directions; no row is zero."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+class RangeIndex:
+    """Bitmaps of the rows of y below each of some cuts, for one coordinate."""
+
+    def __init__(self, values: np.ndarray, ranges: int = RANGES):
+        order = np.argsort(values, kind="stable")
+        at = np.unique(np.linspace(0, len(values), min(ranges, len(values)) + 1).astype(int))
+        rank = np.empty(len(values), int)
+        rank[order] = np.arange(len(values))
+        self.below = np.packbits(rank[None] < at[:, None], axis=1)
+        ordered = values[order]
+        # A range holds the values from its first to its last, both included.
+        self.first, self.last = ordered[at[:-1]], ordered[at[1:] - 1]
+
+    def within(self, values: np.ndarray, radius: float) -> np.ndarray:
+        """A bitmap for each value: at least all rows within the radius."""
+        low = np.searchsorted(self.last, values - radius, "left")
+        high = np.searchsorted(self.first, values + radius, "right")
+        return self.below[np.maximum(high, low)] & ~self.below[low]
+
+
+def block_candidates(y: np.ndarray, rows: np.ndarray, z: np.ndarray, indexes: list[RangeIndex], limit: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(i, j) with rows[i] of y within the budget of row j of z in one block,
+    and how many pairs were compared. indexes: of z, one a coordinate."""
+    radius = np.sqrt(limit)
+    near = indexes[0].within(y[rows, 0], radius)
+    for k in range(1, y.shape[1]):
+        near &= indexes[k].within(y[rows, k], radius)
+    flat = near.ravel()
+    some = np.flatnonzero(flat)
+    byte, bit = np.nonzero(np.unpackbits(flat[some][:, None], axis=1))
+    place = some[byte] * 8 + bit
+    i, j = np.divmod(place, near.shape[1] * 8)
+    inside = j < len(z)  # not the padding of a row's last byte
+    i, j = i[inside], j[inside]
+    apart = y[rows[i]] - z[j]
+    close = (apart * apart).sum(axis=1) <= limit
+    return i[close], j[close], len(i)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest position that each of n reaches over links a-b."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def join_chunks(u: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, copies: np.ndarray, blocks: int, cosine: float) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """The links between the rows `left` and the rows `right` of the unit
+    vectors u; each pair once where these are the same rows. Gives the number of
+    links of each row (copies counted), a spanning set of the links as two rows
+    of positions, and how many pairs there were at each step."""
+    turned = u @ rotation(u.shape[1])
+    bounds, limits = block_bounds(u.shape[1], blocks), budgets(u.shape[1], blocks, cosine)
+    same = len(left) == len(right) and bool((left == right).all())
+    indexes = [[RangeIndex(turned[right, c]) for c in range(b, e)] for b, e in bounds]
+    counts, links, done = np.zeros(len(ids), np.int64), [], {"compared": 0, "candidates": 0, "links": 0}
+    step = max(1, 2**20 // max(1, len(right)))
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
+        found = np.zeros((len(rows), len(right)), dtype=bool)
+        for (b, e), own, limit in zip(bounds, indexes, limits, strict=True):
+            i, j, compared = block_candidates(turned[:, b:e], rows, turned[right, b:e], own, limit)
+            found[i, j] = True
+            done["compared"] += compared
+        i, j = np.nonzero(found)
+        ordered = ids[rows[i]] < ids[right[j]] if same else ids[rows[i]] != ids[right[j]]
+        i, j = i[ordered], j[ordered]
+        done["candidates"] += len(i)
+        if len(i) > 0.05 * found.size:  # so many that all at once is less work
+            close = (u[rows] @ u[right].T)[i, j] >= cosine
+        else:
+            close = np.concatenate([np.einsum("ij,ij->i", u[rows[i[k : k + 65_536]]], u[right[j[k : k + 65_536]]]) for k in range(0, len(i), 65_536)] or [np.zeros(0)]) >= cosine
+        x, z = rows[i[close]], right[j[close]]
+        done["links"] += len(x)
+        if len(x):
+            np.add.at(counts, x, copies[z])
+            np.add.at(counts, z, copies[x])
+            root = spanning(x, z, len(ids))
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            links.append(np.stack([root[moved], moved]))
+    pairs = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
+    return counts, np.unique(pairs, axis=1), done
+
+
+def _chunk_links(blocks: int, cosine: float):
     def run(key: tuple[pa.Scalar, ...], tile: pa.Table) -> pa.Table:
-        block, upper = key[2].as_py(), tile.column("upper").to_numpy(zero_copy_only=False).astype(bool)
-        ids, copies = tile.column("vec_id").to_numpy(), tile.column("copies").to_numpy()
-        vectors = tile.column("vector").combine_chunks()
-        x = vectors.flatten().to_numpy().reshape(len(ids), -1)
-        right = tile.column("right").to_numpy(zero_copy_only=False).astype(bool)
-        left = tile.column("left").to_numpy(zero_copy_only=False).astype(bool)
-        dim = x.shape[1]
-        u = x / np.linalg.norm(x, axis=1, keepdims=True)
-        y = u @ rotation(dim)
-        bounds, limit = block_bounds(dim, blocks), budgets(dim, blocks, cosine)
-        same = tile.column("same").to_numpy(zero_copy_only=False).astype(bool)[0] if len(ids) else False
-        a, b = np.flatnonzero(left), np.flatnonzero(right)
-        counts, links = np.zeros(len(ids), np.int64), []
-
-        def near(rows: np.ndarray, k: int) -> np.ndarray:
-            p, q = y[rows, slice(*bounds[k])], y[b, slice(*bounds[k])]
-            return (p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * (p @ q.T) <= limit[k] + 1e-9
-
-        for at in range(0, len(a), 512):
-            rows = a[at : at + 512]
-            found = near(rows, block)
-            if same:  # one chunk with itself: each pair once
-                found &= ids[rows][:, None] < ids[b][None]
-            else:
-                found &= ids[rows][:, None] != ids[b][None]
-            if not found.any():
-                continue
-            found &= u[rows] @ u[b].T >= cosine
-            for k in range(block):
-                if not found.any():
-                    break
-                found &= ~near(rows, k)
-            i, j = np.nonzero(found)
-            if len(i):
-                counts[rows] += (found * copies[b][None]).sum(1)
-                counts[b] += (found * copies[rows][:, None]).sum(0)
-                root = spanning(rows[i], b[j], len(ids))
-                moved = np.flatnonzero(root != np.arange(len(ids)))
-                links.append(np.stack([ids[root[moved]], ids[moved]]))
-        pairs = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
-        pairs = np.unique(pairs, axis=1)
+        i, j = key[2].as_py(), key[3].as_py()
+        ids, copies, chunk = (tile.column(c).to_numpy() for c in ("vec_id", "copies", "chunk"))
+        u = unit_vectors(tile.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1))
+        counts, pairs, _ = join_chunks(u, np.flatnonzero(chunk == i), np.flatnonzero(chunk == j), ids, copies, blocks, cosine)
         some = np.flatnonzero(counts)
         return pa.table({
-            "a": pa.array(np.concatenate([pairs[0], ids[some]])), "b": pa.array(np.concatenate([pairs[1], ids[some]])),
+            "a": pa.array(np.concatenate([ids[pairs[0]], ids[some]])), "b": pa.array(np.concatenate([ids[pairs[1]], ids[some]])),
             "links": pa.array(np.concatenate([np.zeros(pairs.shape[1], np.int64), counts[some]])),
         })
 
     return run
 
 
-def vector_links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, tile: int | None = None) -> DataFrame:
+def vector_links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, chunk: int | None = None) -> DataFrame:
     """(a, b, links) from vectors (vec_id, label, copies, vector): rows with
     a <> b are a spanning set of the links, rows with a = b numbers of linked
-    vectors, to be summed."""
-    celled = materialize(_cells(vectors, blocks, cosine), "vector-cells")
-    flat = celled.select("vec_id", "label", "copies", "vector", F.size("vector").alias("dim"), F.posexplode("cells").alias("block", "cell"))
-    counts = materialize(flat.groupBy("label", "dim", "block", "cell").agg(F.ceil(F.count("*") / (tile or TILE)).cast("int").alias("chunks")), "cell-counts")
-    upper = counts.select("label", "dim", "block", (F.col("cell") - 1).alias("cell"), F.col("chunks").alias("upper_chunks"))
-    lower = counts.select("label", "dim", "block", (F.col("cell") + 1).alias("cell"), F.col("chunks").alias("lower_chunks"))
-    keys = ["label", "dim", "block", "cell"]
-    counts = materialize(counts.join(upper, keys, "left").join(lower, keys, "left").fillna(0), "cell-neighbours")
-    at = flat.join(counts, keys).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
-    # A tile is (cell, is the right side of the next cell, left chunk, right chunk).
-    one, none = F.lit(1), F.lit(0)
-
-    def side(cell, upper_tile, i, j, left, right, same):
-        return F.struct(cell.alias("base"), F.lit(upper_tile).alias("upper"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"), same.alias("same"))
-
-    def numbers(n):  # 0 .. n - 1, empty for 0
-        return F.when(n > 0, F.sequence(none, n - 1)).otherwise(F.array().cast("array<int>"))
-
-    c, cell = F.col("chunk"), F.col("cell")
-    itself = F.array(side(cell, 0, c, c, one, one, one))
-    as_left = F.transform(F.filter(numbers(F.col("chunks")), lambda j: j > c), lambda j: side(cell, 0, c, j, one, none, none))
-    as_right = F.transform(F.filter(numbers(F.col("chunks")), lambda i: i < c), lambda i: side(cell, 0, i, c, none, one, none))
-    to_upper = F.transform(numbers(F.col("upper_chunks")), lambda j: side(cell, 1, c, j, one, none, none))
-    from_lower = F.transform(numbers(F.col("lower_chunks")), lambda i: side(cell - 1, 1, i, c, none, one, none))
-    tiles = at.select("vec_id", "label", "copies", "vector", "dim", "block", F.explode(F.concat(itself, as_left, as_right, to_upper, from_lower)).alias("t")).select(
-        "vec_id", "label", "copies", "vector", "dim", "block", "t.*"
-    )
-    return tiles.groupBy("label", "dim", "block", "base", "upper", "i", "j").applyInArrow(_tile_links(blocks, cosine), "a long, b long, links long")
+    vectors, to be summed. chunk: numbers in the vectors of a chunk."""
+    sized = vectors.withColumn("dim", F.size("vector"))
+    chunks = F.ceil(F.count("*") * F.col("dim") / F.lit(chunk or CHUNK)).cast("int")
+    counts = materialize(sized.groupBy("label", "dim").agg(chunks.alias("chunks")), "label-chunks")
+    dealt = sized.join(counts, ["label", "dim"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("chunks") - 1)
+    tiles = dealt.withColumn("other", F.explode(other)).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    return tiles.select("vec_id", "label", "copies", "vector", "dim", "chunk", "i", "j").groupBy("label", "dim", "i", "j").applyInArrow(_chunk_links(blocks, cosine), "a long, b long, links long")
 
 
 def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, blocks: int = BLOCKS) -> DataFrame:
