@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,3 +81,45 @@ def test_odd_rows(spark, tmp_path):
     redacted = S.redact(odd.documents(spark))
     assert redacted.columns == odd.documents(spark).columns and redacted.count() == 10
     assert [r.text for r in redacted.where("doc_id = 8").collect()] == ['[SECRET]"']
+
+
+def test_one_owner_in_many_repositories_is_specific(spark):
+    live = "Zx9Kq2Lm8Vb4Nc7Rt1Yp"
+    df = spark.createDataFrame([(i, f"use {live} now", "owner") for i in range(100)], "doc_id long, text string, source string")
+    assert all([(s.kind, s.n_owners, s.n_repos, s.owner_specific) for s in r.spans] == [(3, 1, 100, True)] for r in S.find_secrets(df).collect())
+
+
+def test_tokens_beside_and_over_base_spans(spark):
+    a, b = "Zx9Kq2Lm8Vb4Nc7Rt1Yp", "deadbeef0123" * 3
+    texts = [f"{a}/{b}", f"token={a}", f"{a} token=abcdef", f"{b}{a}", f"x-token={a}{b} {a}"]
+    for i, spans in scanned(spark, texts).items():
+        base = base_spans(texts[i])
+        live = [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_-]{20,}", texts[i]) if len(set(m.group())) >= 9 and len(re.findall("[0-9]", m.group())) >= 4 and re.search("[A-Za-z]", m.group())]
+        assert spans == sorted(base + [x for x in live if not any(y[0] < x[2] and x[0] < y[2] for y in base)]), texts[i]
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.lists(st.text(alphabet="token=:'\" AKI019af_é😀.", max_size=80), min_size=60, max_size=60))
+def test_redaction_of_random_texts(spark, texts):
+    texts = [t + " token=abcdef" * (i % 3) + "9f" * (i % 20) for i, t in enumerate(texts)]
+    found = scanned(spark, texts)
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    for r in S.redact(df).collect():
+        text, out, at = texts[r.doc_id], "", 0
+        for start, _, end in found[r.doc_id]:
+            if start >= at:
+                out += text[at:start] + "[SECRET]"
+            at = max(at, end)
+        assert r.text == out + text[at:]
+
+
+def test_time_is_linear_in_the_text(spark):
+    """20,000 words and 20,000 secrets in one text; both once took minutes."""
+    words = " ".join(f"fade{i:x}" for i in range(20_000)) + " " + "9f" * 40
+    secrets = " ".join(f"token=abc{i:05d}" for i in range(20_000))
+    df = spark.createDataFrame([(1, words, "s"), (2, secrets, "s")], "doc_id long, text string, source string")
+    S.redact(df.limit(1)).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: r.text for r in S.redact(df).collect()}
+    assert time.perf_counter() - began < 30
+    assert got[1] == words[:-80] + "[SECRET]" and got[2] == " ".join(["[SECRET]"] * 20_000)
