@@ -14,9 +14,9 @@ agree in a coordinate with probability equal to their weighted Jaccard
 similarity. Regions are visited by rank until every coordinate is filled, so a
 document costs about k log k darts plus its length.
 
-Copies (equal word sequences) are one text from here on. Bands of 7 coordinates
-in 36 bands put texts into buckets: a pair of similarity 0.8 meets in some band
-with probability 0.9998, one of similarity 0.4 with 0.06. In a bucket of up to
+Copies (equal word sequences) are one text from here on. 48 bands of 8
+coordinates put texts into buckets: a pair of similarity 0.8 meets in some band
+with probability 0.9998, one of similarity 0.4 with 0.03. In a bucket of up to
 SMALL texts all pairs are candidates. In a larger one every text is first paired
 with three leaders (smallest id, largest id, and the text with most company in
 all its buckets, such as the base of many versions). What these links join is a
@@ -29,28 +29,30 @@ partners are dealt to several tasks.
 
 Nulls and odd rows: a null text or one without words is a class of its own; so
 is a row with a null id (class null). A text shorter than a shingle is one
-shingle. Rows that repeat an id are copies of one document. An empty table
-gives an empty result. Other columns are not read.
+shingle. Rows that repeat an id are one document: each of its texts is searched,
+and it belongs to the classes of all. Ids from 2**62 on are kept for such texts.
+An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.batches import map_rows, strings
+from docloom.llm.batches import map_rows, parts, strings
 from docloom.llm.common import materialize, table
 from docloom.llm.components import connected_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS = 36
-ROWS = 7
+BANDS = 48
+ROWS = 8
 SMALL = 16
 PER_TASK = 256
 TILE = 512
@@ -170,25 +172,27 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketch_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, copy_key (equal for equal word sequences), weight, bands."""
+    """doc_id, raw (hash of the text as it is), copy_key (equal for equal word
+    sequences), weight, bands."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = strings(batch, "_text")
         docs, elements, counts = shingles(texts)
         weight = np.bincount(docs, weights=counts, minlength=len(texts)).astype(np.int64)
         keys = [hashlib.md5(" ".join(t.lower().split()).encode("utf-8", "surrogatepass")).hexdigest() if n else None for t, n in zip(texts, weight, strict=True)]
-        parts = []
-        for at in range(0, len(texts), 128):  # bounds the darts in memory
-            mine = (docs >= at) & (docs < at + 128)
-            parts.append(band_keys(dart_sketch(docs[mine] - at, elements[mine], counts[mine], min(128, len(texts) - at))))
-        bands = np.concatenate(parts).view(np.int64)
+        bands = band_keys(dart_sketch(docs, elements, counts, len(texts))).view(np.int64)
         offsets = np.concatenate([[0], np.cumsum(np.where(weight > 0, BANDS, 0))]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(keys, pa.string()), pa.array(weight), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[weight > 0].ravel()))], ["doc_id", "copy_key", "weight", "bands"]
-        )
+            [batch.column(0), batch.column(1), pa.array(keys, pa.string()), pa.array(weight), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[weight > 0].ravel()))],
+            ["doc_id", "raw", "copy_key", "weight", "bands"],
+        )
 
-    chosen = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    return map_rows(chosen, run, "doc_id long, copy_key string, weight long, bands array<long>")
+    chosen = df.select(F.col(id_col).cast("long").alias("doc_id"), raw_hash(F.col(text_col)).alias("raw"), F.col(text_col).alias("_text"))
+    return map_rows(chosen, run, "doc_id long, raw long, copy_key string, weight long, bands array<long>", 128)  # bounds the darts in memory
+
+
+def raw_hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def shared_buckets(texts: DataFrame) -> DataFrame:
@@ -245,9 +249,9 @@ def open_pairs(large: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return wanted(pairs, F.col("x"), F.col("y"), threshold)
 
 
-def text_classes(texts: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def text_classes(texts: DataFrame, docs: Texts, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) of the texts (doc_id, weight, bands) that have a near
-    duplicate; docs: doc_id, text."""
+    duplicate; docs: see Texts."""
     shared = shared_buckets(texts)
     large = shared.where(F.col("n") > SMALL)
     first = leader_pairs(large.withColumn("class_id", F.col("doc_id")), 0, threshold)
@@ -277,22 +281,22 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return low / (int(a[1].sum()) + int(b[1].sum()) - low)
 
 
-def verify_pairs(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of at least the threshold, by the texts in docs
-    (doc_id, text), one row for each id. A leader a meets its partners in groups
-    of about PER_TASK; its text is sent once to each group."""
+def verify_pairs(pairs: DataFrame, texts: Texts, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) of nodes of at least the threshold, by their texts. A
+    leader a meets its partners in groups of about PER_TASK; its text is sent
+    once to each group."""
     pairs = materialize(pairs, "pairs")
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_TASK).alias("groups"))
     groups = materialize(groups, "pair-groups")
-    leaders = groups.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("groups").cast("int") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
-    partners = pairs.join(groups, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), "b")
+    leaders = groups.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("groups").cast("int") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    partners = pairs.join(groups, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), "b")
     # Texts meet the places that want them in one join, and then go there.
-    placed = docs.join(leaders.unionByName(partners), "doc_id").select("a", "part", "b", "text")
+    placed = texts.join(leaders.unionByName(partners)).select("a", "part", "b", "text")
     rows = placed.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, now = None, None
-        for batch in batches:
+        for batch in parts(batches):
             a, b = strings(batch, "a"), strings(batch, "b")
             docs, elements, counts = shingles(strings(batch, "text"))
             ends = np.searchsorted(docs, np.arange(len(a) + 1))
@@ -308,18 +312,57 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD
     return rows.mapInArrow(compare, "a long, b long")
 
 
+#: Nodes from here on are texts whose id belongs to another text, too.
+EXTRA = 2**62
+
+
+@dataclass
+class Texts:
+    """Where the text of each node is. docs: doc_id, raw, text. extra: (node,
+    doc_id, raw) of the texts that are not alone with their id. repeated:
+    (doc_id, raw) of rows that repeat; both None if there are none."""
+
+    docs: DataFrame
+    extra: DataFrame | None = None
+    repeated: DataFrame | None = None
+
+    def join(self, places: DataFrame) -> DataFrame:
+        """places (node, ...) with text, one row for each place."""
+        docs = self.docs
+        if self.repeated is not None:
+            twice = docs.join(self.repeated, ["doc_id", "raw"], "left_semi").groupBy("doc_id", "raw").agg(F.min("text").alias("text"))
+            docs = docs.join(self.repeated, ["doc_id", "raw"], "left_anti").unionByName(twice)
+        if self.extra is None:
+            return docs.join(places.withColumnRenamed("node", "doc_id"), "doc_id")
+        alone = places.join(self.extra, "node", "left_anti").withColumnRenamed("node", "doc_id")
+        beside = places.join(self.extra, "node")
+        return docs.join(alone, "doc_id").drop("raw").unionByName(docs.join(beside, ["doc_id", "raw"]).drop("raw", "node"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of df: doc_id, class_id (the smallest id of its class),
     n_copies (rows with its word sequence), kept (doc_id is class_id)."""
     sketches = materialize(sketch_documents(df, id_col, text_col), "sketches")
     known = sketches.where(F.col("doc_id").isNotNull() & F.col("copy_key").isNotNull())
-    copies = materialize(known.groupBy("copy_key").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies")), "copies")
-    ids = copies.select(F.col("text_id").alias("doc_id"))
-    # An id may repeat with other texts; one of them stands for it.
-    texts = known.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "weight", "bands")
-    plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    classes = text_classes(texts, plain, threshold)
-    named = copies.join(classes, F.col("text_id") == F.col("node"), "left").select("copy_key", "n_copies", F.coalesce("component", "text_id").alias("class_id"))
+    copies = materialize(known.groupBy("copy_key").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.count("*").alias("n_copies")).select("copy_key", "first.*", "n_copies"), "copies")
+    rows = materialize(known.groupBy("doc_id", "raw").agg(F.count("*").alias("n"), F.min("copy_key").alias("copy_key")), "text-rows")
+    several = rows.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id")
+    # Ids with one text, as nearly all are, are their own nodes.
+    shared = materialize(rows.join(several, "doc_id", "left_semi"), "shared-ids")
+    many = bool(shared.limit(1).count())
+    node = F.when(F.col("shared"), F.lit(EXTRA) + F.pmod(F.xxhash64("copy_key", "raw"), F.lit(EXTRA))).otherwise(F.col("doc_id"))
+    marked = copies.join(shared.select("doc_id").distinct().withColumn("mark", F.lit(True)), "doc_id", "left").withColumn("shared", F.col("mark").isNotNull()) if many else copies.withColumn("shared", F.lit(False))
+    nodes = materialize(marked.select("copy_key", "doc_id", "raw", "n_copies", "shared", node.alias("node")), "nodes")
+    repeated = rows.where("n > 1").select("doc_id", "raw")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), raw_hash(F.col(text_col)).alias("raw"), F.col(text_col).alias("text"))
+    texts = Texts(docs, nodes.where("shared").select("node", "doc_id", "raw") if many else None, repeated if repeated.limit(1).count() else None)
+    sketched = known.select("doc_id", "raw", "copy_key", "weight", "bands").join(nodes.select("copy_key", "doc_id", "raw", "node"), ["copy_key", "doc_id", "raw"])
+    sketched = (sketched.dropDuplicates(["node"]) if texts.repeated is not None else sketched).select(F.col("node").alias("doc_id"), "weight", "bands")
+    classes = text_classes(sketched, texts, threshold)
+    if many:  # the texts of one id are one document
+        own = shared.join(nodes.select("copy_key", "node"), "copy_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        classes = connected_components(classes.select(F.col("component").alias("a"), F.col("node").alias("b")).union(own))
+    named = nodes.join(classes.withColumnRenamed("node", "found"), F.col("node") == F.col("found"), "left").select("copy_key", "n_copies", F.coalesce("component", "node").alias("class_id"))
     named = materialize(named, "classes")
     joined = sketches.select("doc_id", "copy_key").join(named, "copy_key", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))

@@ -124,3 +124,14 @@ def test_odd_rows(spark):
     assert len(rows) == 10 and by[1].n_copies == 2 and by[None].class_id is None and by[None].kept
     assert all(by[i].class_id == i and by[i].kept for i in (1, 2, 3, 4, 7))
     assert N.near_duplicates(odd.empty(spark)).count() == 0
+
+
+def test_one_id_with_several_texts_and_repeated_rows(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    a, b, c = ([word() for _ in range(60)] for _ in range(3))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, " ".join(b[:-1])), (3, " ".join(a + ["x"])), (7, " ".join(c)), (7, " ".join(c)), (2, " ".join(c)), (8, " ".join([*c, "y"])), (8, " ".join([*c, "y"])), (4, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for order in (df, df.orderBy("text"), df.repartition(3)):
+        got = {(r.doc_id, r.class_id) for r in N.near_duplicates(order).collect()}
+        assert got == {(5, 3), (9, 3), (3, 3), (7, 2), (2, 2), (8, 2), (4, 4)}
