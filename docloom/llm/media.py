@@ -38,15 +38,18 @@ TIMESCALE = 25
 
 # Boxes that hold boxes, and what stands before the first.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"mfra": 0}
+OF_TRACKS = frozenset([b"tkhd", b"mdhd", b"stsd", b"stts", b"stsc", b"stss", b"stsz", b"stco", b"co64", b"trun"])
 MAX_DEPTH = 16
+LARGEST = 2**63 - 1
 
 
 class Malformed(ValueError):
     pass
 
 
-def boxes(data: memoryview, begin: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """(type, first byte, end) of the content of each box in a range."""
+def boxes(data: memoryview, begin: int, end: int) -> Iterator[tuple[bytes, int, int, int]]:
+    """(type, first byte, end) of the content of each box in a range, and the
+    first byte of its header."""
     at = begin
     while at + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -59,7 +62,7 @@ def boxes(data: memoryview, begin: int, end: int) -> Iterator[tuple[bytes, int,
             size = end - at
         if size < head or at + size > end:
             raise Malformed(f"box {kind!r} of {size} bytes does not fit")
-        yield kind, at + head, at + size
+        yield kind, at + head, at + size, at
         at += size
     if at != end:
         raise Malformed("bytes after the last box")
@@ -89,11 +92,13 @@ class Track:
             if not len(chunks) or not len(runs):
                 raise Malformed("samples without chunks")
             # Chunks from the first of a run on to that of the next have equal numbers of samples.
-            until = np.append(runs[1:, 0], len(chunks) + 1)
-            per_chunk = np.repeat(runs[:, 1], np.maximum(until - runs[:, 0], 0))
-            if per_chunk.sum() < len(sizes):
+            # Numbers in a table may be anything: chunks are bounded by those there are, and samples by their sizes.
+            until = np.minimum(np.append(runs[1:, 0], len(chunks) + 1), len(chunks) + 1)
+            per_chunk = np.repeat(runs[:, 1], np.maximum(until - runs[:, 0], 0))[: len(chunks)]
+            upto = np.minimum(np.cumsum(np.minimum(per_chunk, len(sizes))), len(sizes))
+            if not len(upto) or upto[-1] < len(sizes):
                 raise Malformed("fewer places than samples")
-            chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[: len(sizes)]
+            chunk = np.repeat(np.arange(len(upto)), np.diff(upto, prepend=0))
             first = np.concatenate([[True], chunk[1:] != chunk[:-1]])
             before = np.cumsum(sizes) - sizes
             offsets = chunks[chunk] + before - before[np.flatnonzero(first)][np.cumsum(first) - 1]
@@ -134,18 +139,20 @@ class Parser:
     def walk(self, begin: int, end: int, depth: int) -> None:
         if depth > MAX_DEPTH:
             raise Malformed("boxes are nested too deeply")
-        for kind, at, stop in boxes(self.data, begin, end):
+        for kind, at, stop, header in boxes(self.data, begin, end):
             if kind == b"trak":
                 self.now = Track()
                 self.tracks.append(self.now)
             elif kind == b"moof":
-                self.moof = self.run_end = at - 8
+                self.moof = self.run_end = header
             if kind in CONTAINERS:
                 self.walk(at, stop, depth + 1)
             elif (read := getattr(self, "read_" + kind.decode("latin-1"), None)) is not None:
+                if self.now is None and kind in OF_TRACKS:
+                    raise Malformed(f"box {kind!r} outside of a track")
                 try:
                     read(at, stop)
-                except (struct.error, ValueError) as e:
+                except (struct.error, ValueError, IndexError, OverflowError) as e:
                     raise e if isinstance(e, Malformed) else Malformed(f"box {kind!r}: {e}") from e
 
     def of(self, form: str, at: int) -> tuple:
@@ -185,7 +192,7 @@ class Parser:
         same, n = self.of("II", at + 4)
         if same:
             # A count is not proof of bytes: it is bounded by the file.
-            if n > len(self.data):
+            if n * same > len(self.data):
                 raise Malformed("more samples than bytes")
             self.now.tables["stsz"] = np.full(n, same, np.int64)
         else:
@@ -241,6 +248,13 @@ class Parser:
         self.now.runs.append((sizes, offsets, (marks & 0x10000) == 0, column(0x100, duration)))
 
 
+def _total(times: np.ndarray) -> int:
+    """The sum of count times duration, beyond 64 bits too: by halves of 16
+    bits, whose products are exact."""
+    low, high = times[:, 0] & 0xFFFF, times[:, 0] >> 16
+    return int((low * times[:, 1]).sum()) + (int((high * times[:, 1]).sum()) << 16)
+
+
 def probe(data: bytes | None) -> dict:
     """brand, error and tracks: for each its id, handler, codec, size, timescale,
     duration, number of samples, and keyframes as (offset, size)."""
@@ -257,11 +271,11 @@ def probe(data: bytes | None) -> dict:
             offsets, sizes, sync = t.samples()
         except Malformed as e:
             error, offsets, sizes, sync = error or str(e), np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool)
-        inside = (offsets >= 0) & (offsets + sizes <= len(data))
+        inside = (offsets >= 0) & (sizes >= 0) & (offsets <= len(data) - sizes)
         if not inside.all():
             error = error or "samples lie outside the file"
         sync &= inside
-        duration = t.duration or int(t.tables.get("stts", np.zeros((0, 2), int)).prod(axis=1).sum()) + int(sum(r[3].sum() for r in t.runs))
+        duration = min(t.duration or _total(t.tables.get("stts", np.zeros((0, 2), int))) + int(sum(r[3].sum() for r in t.runs)), LARGEST)
         tracks.append({
             "track_id": t.track_id, "handler": t.handler, "codec": t.codec, "width": t.width, "height": t.height, "timescale": t.timescale, "duration": duration,
             "n_samples": len(sizes), "keyframes": [{"offset": int(o), "size": int(s)} for o, s in zip(offsets[sync], sizes[sync], strict=True)],

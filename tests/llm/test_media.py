@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import struct
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from docloom.llm import media as M
@@ -74,3 +77,57 @@ def test_probe_column(spark):
     rows = {r.id: r for r in M.probe_column(df).collect()}
     assert rows[1].probed.tracks[0].keyframes[0].size == 576 and rows[2].probed.error == "null" and rows[3].probed.error and rows[3].probed_by is None
     assert M.probe_column(df.limit(0)).count() == 0
+
+
+NUMBERS = [0, 1, 2, 255, 2**16 - 1, 2**31 - 1, 2**31, 2**32 - 1]
+KINDS = [b"ftyp", b"moov", b"trak", b"mdia", b"minf", b"stbl", b"tkhd", b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stss", b"stsz", b"stco", b"co64", b"mvex", b"trex", b"moof", b"traf", b"tfhd", b"trun", b"mdat", b"free"]
+
+
+def test_boxes_outside_of_tracks_and_of_no_length():
+    for kind in KINDS:
+        for body in (b"", b"\1", bytes(4), bytes(40), b"\xff" * 60):
+            for outer in (lambda x: x, lambda x: M.box(b"moov", M.box(b"trak", x)), lambda x: M.box(b"moof", M.box(b"traf", x))):
+                found = M.probe(outer(M.box(kind, body)))
+                pa.array([found], M.PROBED)
+
+
+def test_numbers_of_tables_do_not_allocate():
+    top = 2**32 - 1
+    for stsc in ((1, top, 1), (top, 1, 1), (1, 1, 1)):
+        stbl = M.box(b"stbl", M.full(b"stsc", struct.pack(">I3I", 1, *stsc)), M.full(b"stsz", struct.pack(">II2I", 0, 2, 5, 5)), M.full(b"stco", struct.pack(">II", 1, 0)), M.full(b"stts", struct.pack(">III", 1, top, top)))
+        tracemalloc.start()
+        found = M.probe(M.box(b"moov", M.box(b"trak", M.box(b"mdia", M.box(b"minf", stbl)))))
+        assert tracemalloc.get_traced_memory()[1] < 1_000_000
+        tracemalloc.stop()
+        assert found["tracks"][0]["duration"] == min(top * top, 2**63 - 1)
+        pa.array([found], M.PROBED)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_changes_never_fail(seed):
+    r = random.Random(seed)
+    moov = M.box(b"moov", M.box(b"trak", M.full(b"tkhd", struct.pack(">IIIII", 0, 0, 7, 0, 0), bytes(60))), M.box(b"mvex", M.full(b"trex", struct.pack(">IIIII", 7, 1, 20, 100, 0x10000))))
+    trun = M.full(b"trun", struct.pack(">IiI", 2, 64, 0), struct.pack(">II", 30, 40), flags=0x205)
+    fragments = moov + M.box(b"moof", M.box(b"traf", M.full(b"tfhd", struct.pack(">I", 7), flags=0x20000), trun)) + M.box(b"mdat", bytes(80))
+    for _ in range(1500):
+        data = bytearray(r.choice([M.mux_grey(M.pad(b"a" * r.randrange(1500))), fragments]))
+        for _ in range(r.randint(1, 6)):
+            at = r.randrange(len(data) - 8)
+            if r.random() < 0.3:
+                data[at : at + 4] = r.choice(KINDS)
+            elif r.random() < 0.5:
+                data[at : at + 4] = struct.pack(">I", r.choice(NUMBERS))
+            else:
+                data[at] = r.randrange(256)
+        pa.array([M.probe(bytes(data))], M.PROBED)
+
+
+def test_long_header_of_a_fragment():
+    """Offsets count from the first byte of the fragment's box."""
+    def long(kind, body):
+        return struct.pack(">I4sQ", 1, kind, len(body) + 16) + body
+
+    moov = M.box(b"moov", M.box(b"trak", M.full(b"tkhd", struct.pack(">IIIII", 0, 0, 7, 0, 0), bytes(60))))
+    trun = M.full(b"trun", struct.pack(">IiI", 1, 64, 0), struct.pack(">I", 30), flags=0x205)
+    moof = long(b"moof", M.box(b"traf", M.full(b"tfhd", struct.pack(">I", 7), flags=0x20000), trun))
+    assert M.probe(moov + moof + M.box(b"mdat", bytes(80)))["tracks"][0]["keyframes"] == [{"offset": len(moov) + 64, "size": 30}]
