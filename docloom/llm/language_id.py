@@ -12,7 +12,8 @@ characters is one space, which has a vector of its own.
 The bundle of a set of documents is the product of its trigram counts and the
 trigram vectors, so training adds counts and multiplies once per task; each
 task sends one vector for each language. Prediction multiplies the counts of a
-batch of documents.
+batch of documents. Both go by parts of at most 8,192 trigrams, and a very long
+text by parts of its own, so memory does not follow the text or its alphabet.
 
 Nulls and odd rows: a null text, or one without a letter, is `und` with score
 0. Documents with a null language are not learned from. Without any learned
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.batches import map_rows, strings
+from docloom.llm.batches import map_rows, parts, strings
 from docloom.llm.common import fold, table
 
 DIM = 512
@@ -52,15 +53,39 @@ def letter_vector(point: int, dim: int) -> np.ndarray:
     return np.random.default_rng([SEED, point]).integers(0, 2, dim, dtype=np.int8) * np.int8(2) - np.int8(1)
 
 
-def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document index, trigram number) of every trigram, and the code points
-    of the trigrams by number, of shape (n, 3). Words stand between spaces."""
+def _points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the letters of each text, runs of other characters as one
+    space, and the number of the text of each. Words stand between spaces."""
     lower = [" " if t is None else f" {t.lower()} " for t in texts]
     points = _letters()[np.frombuffer("".join(lower).encode("utf-32-le", "replace"), dtype=np.uint32)]
     docs = np.repeat(np.arange(len(lower)), [len(t) for t in lower])
     space = points == 32
     keep = ~space | np.concatenate([[True], ~space[:-1] | (docs[1:] != docs[:-1])])
-    points, docs = points[keep], docs[keep]
+    return points[keep], docs[keep]
+
+
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """The points of a long text in parts; each begins with the last two points
+    of the part before, so that no trigram is lost or comes twice."""
+    last = np.zeros(0, np.uint32)
+    for at in range(0, len(text), SLICE):
+        points, _ = _points([text[at : at + SLICE]])
+        if at + SLICE < len(text):
+            points = points[:-1] if not _is_space(text[at + SLICE - 1]) else points
+        if at:
+            points = points[1:] if not _is_space(text[at]) or (len(last) and last[-1] == 32) else points
+        points = np.concatenate([last, points])
+        yield points
+        last = points[-2:]
+
+
+def _is_space(c: str) -> bool:
+    return all(_letters()[ord(x)] == 32 for x in c.lower())
+
+
+def _trigrams(points: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document index, trigram number) of every trigram, and the code points
+    of the trigrams by number, of shape (n, 3)."""
     if len(points) < 3:
         return np.zeros(0, int), np.zeros(0, int), np.zeros((0, 3), np.uint32)
     used = np.zeros(0x110000, dtype=bool)
@@ -95,53 +120,72 @@ def gram_vectors(grams: np.ndarray, dim: int) -> np.ndarray:
     return (np.roll(base, 2, axis=1)[inverse[:, 0]] * once[inverse[:, 1]] * base[inverse[:, 2]]).astype(np.float32)
 
 
-def _slices(texts: list[str | None]) -> Iterator[slice]:
+def _slices(texts: list[str | None]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(texts, points, text number of each from the first of these on) of at
+    most about SLICE characters; a longer text comes in several parts."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
-        if i > begin and (size > SLICE or i - begin >= 256):
-            yield slice(begin, i)
+        n = len(t or "")
+        if i > begin and (size + n > SLICE or i - begin >= 256):
+            yield slice(begin, i), *_points(texts[begin:i])
             begin, size = i, 0
-        size += len(t or "")
-    yield slice(begin, len(texts))
+        if n > SLICE:
+            for points in _pieces(t):
+                yield slice(i, i + 1), points, np.zeros(len(points), int)
+            begin, size = i + 1, 0
+        else:
+            size += n
+    if begin < len(texts):
+        yield slice(begin, len(texts)), *_points(texts[begin:])
+
+
+PART = 8192
+
+
+def _add_bundles(out: np.ndarray, owner: np.ndarray, inverse: np.ndarray, grams: np.ndarray) -> None:
+    """Adds the vectors of the trigrams to the rows of out that own them, in
+    parts that bound the vectors and counts in memory. Sums stay exact: those of
+    a part are below 2**24, and out holds doubles."""
+    n, dim = out.shape
+    order = np.argsort(inverse, kind="stable") if len(grams) > PART else None
+    ends = np.searchsorted(inverse[order], np.arange(0, len(grams) + PART, PART)) if order is not None else None
+    for k, at in enumerate(range(0, len(grams), PART)):
+        part = slice(at, min(at + PART, len(grams)))
+        mine = order[ends[k] : ends[k + 1]] if order is not None else slice(None)
+        width = part.stop - part.start
+        counts = np.bincount(owner[mine] * width + inverse[mine] - part.start, minlength=n * width).reshape(n, width)
+        out += counts.astype(np.float32) @ gram_vectors(grams[part], dim)
 
 
 def bundle(texts: list[str | None], dim: int = DIM) -> np.ndarray:
     """The vector of each text, of shape (texts, dim)."""
-    out = np.zeros((len(texts), dim), np.float32)
-    for s in _slices(texts):
-        n = s.stop - s.start
-        docs, inverse, grams = _trigrams(texts[s])
-        vectors = gram_vectors(grams, dim)
-        for at in range(0, len(grams), 8192):  # bounds the count matrix
-            part = slice(at, min(at + 8192, len(grams)))
-            mine = (inverse >= part.start) & (inverse < part.stop) if len(grams) > 8192 else slice(None)
-            width = part.stop - part.start
-            counts = np.bincount(docs[mine] * width + inverse[mine] - part.start, minlength=n * width).reshape(n, width)
-            out[s] += counts.astype(np.float32) @ vectors[part]
+    out = np.zeros((len(texts), dim))
+    for s, points, docs in _slices(texts):
+        _add_bundles(out[s], *_trigrams(points, docs))
     return out
 
 
 def learn_prototypes(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> dict[str, list[float]]:
     """A prototype for each non-null language: dim numbers a language."""
     labelled = df.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    labelled.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(dim))
-        for batch in batches:
+        for batch in parts(batches):
             texts, langs = strings(batch, "text"), strings(batch, "lang")
             names = sorted(set(langs))
             which = np.array([names.index(x) for x in langs])
-            for s in _slices(texts):
-                docs, inverse, grams = _trigrams(texts[s])
-                counts = np.bincount(which[s][docs] * len(grams) + inverse, minlength=len(names) * len(grams)).reshape(len(names), -1)
-                for name, total in zip(names, counts.astype(np.float32) @ gram_vectors(grams, dim), strict=True):
-                    sums[name] += total
+            found = np.zeros((len(names), dim))
+            for s, points, docs in _slices(texts):
+                docs, inverse, grams = _trigrams(points, docs)
+                _add_bundles(found, which[s][docs], inverse, grams)
+            for name, total in zip(names, found, strict=True):
+                sums[name] += total
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "vector": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))})
 
-    parts = labelled.mapInArrow(add, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("i", "v"))
+    vectors = labelled.mapInArrow(add, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("i", "v"))
     # Counts below 2**53 add exactly, in any order.
-    total = parts.groupBy("lang", "i").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("v"))
+    total = vectors.groupBy("lang", "i").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("v"))
     return {r["lang"]: [x["v"] for x in r["v"]] for r in total.collect()}
 
 
@@ -156,7 +200,7 @@ def predict(df: DataFrame, prototypes: dict[str, list[float]], id_cols: list[str
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = strings(batch, "_text")
         lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts])
-        vectors = bundle(texts, dim).astype(np.float64)
+        vectors = bundle(texts, dim)
         lengths = np.linalg.norm(vectors, axis=1)
         known = lettered & (lengths > 0) & bool(names)
         cosine = (vectors / np.where(lengths > 0, lengths, 1)[:, None]) @ unit.T if names else np.zeros((len(texts), 1))

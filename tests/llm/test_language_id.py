@@ -27,6 +27,22 @@ def test_bundle_is_the_sum_of_bound_trigrams():
         assert np.array_equal(vector, brute(text or ""))
 
 
+def test_long_texts_go_by_parts(monkeypatch):
+    """Wherever a text is cut, no trigram is lost or comes twice."""
+    text = "The  cat, sat on-- a mat é12 x yz  end "
+    whole = brute(text)
+    for size in (1, 2, 3, 5, 8, 13, 30):
+        monkeypatch.setattr(L, "SLICE", size)
+        assert np.array_equal(L.bundle(["a b", text, None, text + "q", "c"])[1], whole), size
+
+
+def test_rich_alphabets_go_by_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x5200, 400)))
+    monkeypatch.setattr(L, "PART", 7)
+    assert np.array_equal(L.bundle([text, "ab"]), np.stack([brute(text), brute("ab")]))
+
+
 def test_learns_and_predicts(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([(t, "en") for t in EN] + [(t, "de") for t in DE])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
