@@ -10,23 +10,27 @@ document toxic, and the same scores then locate those sentences.
 
 The weights are fitted on the driver on at most `max_rows` labelled documents,
 those of smallest hashed id; this bounds the sample at every size of the
-corpus. Scoring covers all documents and whole texts. The model has a weight
-for words and beginnings in at least `min_docs` sampled documents only, so its size is bounded
-by the sample, too.
+corpus. Texts stay on the executors: they count the documents of each feature,
+and then send sentences as numbers of what the model knows. The model has a
+weight for words and beginnings in at least `min_docs` sampled documents only,
+so its size is bounded by the sample, too. Scoring covers all documents and
+whole texts.
 
 Nulls and odd rows: a null or empty text has one empty sentence. Rows without a
 label, with a null label or a null id are not learned from; several labels of
-one id: the largest. Without both labels in the sample every score is the share
+one id: the largest; an id with several texts is as many documents, and rows
+that repeat are one. Without both labels in the sample every score is the share
 of label 1 in it (0 without any). Repeated rows get equal scores. Other columns
 are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
-from array import array
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,17 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.batches import map_rows, strings
-from docloom.llm.common import fold, table
+from docloom.llm.batches import map_rows, parts, strings
+from docloom.llm.common import fold, materialize, table
 
-MAX_ROWS = 6_000
+MAX_ROWS = 10_000
+MIN_DOCS = 5
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\s|$)|\n|[.!?])*|[.!?\n]+")
 
 
 PREFIXES = (4, 5, 6, 7)
-COUNTER_BITS = 22
 CACHE = 200_000
 
 
@@ -52,8 +56,73 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
 
 
-def counter(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << COUNTER_BITS) - 1)
+def sentence_words(text: str | None) -> list[set[str]]:
+    """The distinct words of each sentence; an empty text has one without."""
+    return [set(WORD.findall(m.group())) for m in SENTENCE.finditer((text or "").lower())] or [set()]
+
+
+def document_counts(texts: list[str | None]) -> Counter[str]:
+    """In how many of the texts each feature is."""
+    out: Counter[str] = Counter()
+    for text in texts:
+        out.update({f for w in set().union(*sentence_words(text)) for f in features(w)})
+    return out
+
+
+class Encoder(dict):
+    """For each word the hash of its features that the vocabulary has; words
+    without any have hash 0. seen: the features of each hash."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary, self.seen = vocabulary, {}
+
+    def __missing__(self, word: str) -> int:
+        own = [i for f in features(word) if (i := self.vocabulary.get(f)) is not None]
+        found = int.from_bytes(hashlib.blake2b(np.array(own, "<i4").tobytes(), digest_size=8).digest(), "little", signed=True) if own else 0
+        self[word] = found
+        if own:
+            self.seen[found] = own
+        return found
+
+    def sentences(self, text: str | None) -> list[list[int]]:
+        return [sorted(h for w in words if (h := self[w])) for words in sentence_words(text)]
+
+
+@dataclass
+class Bags:
+    """Documents as numbers: the document of each sentence, the sentence and the
+    number of each of its words, and the features of each numbered word."""
+
+    labels: np.ndarray
+    docs: np.ndarray
+    sents: np.ndarray
+    words: np.ndarray
+    types: np.ndarray
+    feats: np.ndarray
+    vocabulary: list[str]
+
+    @classmethod
+    def build(cls, labels: np.ndarray, per_doc: np.ndarray, per_sentence: np.ndarray, hashes: np.ndarray, seen: dict[int, list[int]], vocabulary: list[str]) -> Bags:
+        known = np.array(sorted(seen), dtype=np.int64)
+        sizes = [len(seen[h]) for h in known.tolist()]
+        feats = np.array([i for h in known.tolist() for i in seen[h]], dtype=np.int32)
+        number = lambda n: np.repeat(np.arange(len(n), dtype=np.int32), n)
+        return cls(np.asarray(labels, float), number(per_doc), number(per_sentence), np.searchsorted(known, hashes).astype(np.int32), number(sizes), feats, vocabulary)
+
+    def loss_and_slope(self, w: np.ndarray, b: float, ridge: float) -> tuple[float, np.ndarray, float]:
+        """The log loss of the documents with half the squared weights times
+        ridge, and its slope by the weights and the bias."""
+        n_types = int(self.types[-1]) + 1 if len(self.types) else 0
+        n, k = len(self.docs), len(self.labels)
+        scores = np.bincount(self.types, weights=w[self.feats], minlength=n_types)
+        p = sigmoid(b + np.bincount(self.sents, weights=scores[self.words], minlength=n))
+        quiet = np.bincount(self.docs, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=k)
+        score = np.clip(-np.expm1(quiet), 1e-9, 1 - 1e-12)
+        loss = -float((self.labels * np.log(score) + (1 - self.labels) * quiet).sum()) + ridge / 2 * float(w @ w)
+        # d loss / d logit of a sentence: p (score - y) / score
+        pull = p * ((score - self.labels) / score)[self.docs]
+        by_type = np.bincount(self.words, weights=pull[self.sents], minlength=n_types)
+        return loss, np.bincount(self.feats, weights=by_type[self.types], minlength=len(w)) + ridge * w, float(pull.sum())
 
 
 @dataclass
@@ -90,69 +159,80 @@ def noisy_or(logits: list[float]) -> float:
     return -math.expm1(quiet)
 
 
-def fit(texts: list[str], labels: list[int], min_docs: int = 5, steps: int = 150, rate: float = 0.2, ridge: float = 0.3) -> Model:
+def fit(texts: list[str | None], labels: list[int], min_docs: int = MIN_DOCS, **options) -> Model:
+    """The model of texts at hand."""
+    vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in document_counts(texts).items() if n >= min_docs))}
+    encoder = Encoder(vocabulary)
+    bags = [encoder.sentences(t) for t in texts]
+    flat = [s for d in bags for s in d]
+    hashes = np.array([h for s in flat for h in s], dtype=np.int64)
+    return fit_bags(Bags.build(np.array(labels), np.array([len(d) for d in bags], int), np.array([len(s) for s in flat], int), hashes, encoder.seen, list(vocabulary)), **options)
+
+
+def fit_bags(bags: Bags, steps: int = 150, rate: float = 0.2, ridge: float = 0.3) -> Model:
     """Weights by scaled gradient steps over all sampled documents at once.
 
     ridge: the penalty on half the squared weights, in documents. It leaves
     little weight to words that a few toxic documents share by chance, and
     shares weight among words that come together, where a penalty on absolute
     weights would keep one of them and miss documents that hold another."""
-    y = np.array(labels, dtype=float)
+    y = bags.labels
     if not len(y) or y.min() == y.max():
         return Model(constant=float(y.mean()) if len(y) else 0.0)
-    # Words by number; the features of a word once, however often it comes. In
-    # how many documents a feature is, is counted by hash: what is rare need not
-    # be held. Two features of one hash can only let a rare one in.
-    number: dict[str, int] = {}
-    seen = np.zeros(1 << COUNTER_BITS, dtype=np.int32)
-    doc_of, sent_of, word_of, n = array("i"), array("i"), array("i"), 0
-    for d, text in enumerate(texts):
-        words_here: set[str] = set()
-        for m in SENTENCE.finditer(text.lower()) if text else ():
-            s = set(WORD.findall(m.group()))
-            words_here |= s
-            doc_of.append(d)
-            word_of.extend(number.setdefault(w, len(number)) for w in sorted(s))
-            sent_of.extend([n] * len(s))
-            n += 1
-        if not text:
-            doc_of.append(d)
-            n += 1
-        seen[np.fromiter({counter(f) for w in words_here for f in features(w)}, np.int64)] += 1
-    vocabulary: dict[str, int] = {}
-    type_of, feature_of = array("i"), array("i")
-    for w, i in number.items():
-        own = [vocabulary.setdefault(f, len(vocabulary)) for f in features(w) if seen[counter(f)] >= min_docs]
-        type_of.extend([i] * len(own))
-        feature_of.extend(own)
-    docs, sents, words, types, feats = (np.frombuffer(x, dtype=np.int32) if len(x) else np.zeros(0, np.int32) for x in (doc_of, sent_of, word_of, type_of, feature_of))
-    v, k, n_types = len(vocabulary), len(y), len(number)
-    w, b = np.zeros(v), math.log(max(y.mean(), 1e-3) / (n / k))
-    second = np.zeros(v + 1)
+    w, b = np.zeros(len(bags.vocabulary)), math.log(max(y.mean(), 1e-3) / (len(bags.docs) / len(y)))
+    second = np.zeros(len(w) + 1)
     for t in range(steps):
-        scores = np.bincount(types, weights=w[feats], minlength=n_types)
-        p = sigmoid(b + np.bincount(sents, weights=scores[words], minlength=n))
-        quiet = np.bincount(docs, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=k)
-        score = np.clip(-np.expm1(quiet), 1e-9, 1 - 1e-12)
-        # d loss / d logit of a sentence: p (score - y) / score
-        pull = p * ((score - y) / score)[docs]
-        by_type = np.bincount(words, weights=pull[sents], minlength=n_types)
-        slope = np.append(np.bincount(feats, weights=by_type[types], minlength=v) + ridge * w, pull.sum())
+        _, by_weight, by_bias = bags.loss_and_slope(w, b, ridge)
+        slope = np.append(by_weight, by_bias)
         second = 0.9 * second + 0.1 * slope**2
         move = rate * (1 - t / steps) * slope / (np.sqrt(second / (1 - 0.9 ** (t + 1))) + 0.1)
         w, b = w - move[:-1], b - move[-1]
-    return Model(float(b), {x: float(w[i]) for x, i in vocabulary.items() if abs(w[i]) >= 0.01})
+    return Model(float(b), {x: float(v) for x, v in zip(bags.vocabulary, w, strict=True) if abs(v) >= 0.01})
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_docs: int = MIN_DOCS) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. The rows to learn from must
     have been chosen by the caller; max_rows of them at most are used."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # The sample is chosen among ids, so that only its texts move.
-    chosen = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").collect()
-    rows = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows})[: 2 * max_rows]
-    return fit([r[1] for r in rows], [int(r[2] > 0) for r in rows])
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("raw", F.md5(F.col("text").cast("binary")))
+    # The sample is chosen among ids and hashes, so that only its texts move.
+    rows = keyed.select("doc_id", "raw").join(known, "doc_id").distinct()
+    chosen = rows.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "raw").limit(max_rows)
+    sample = keyed.join(F.broadcast(chosen), ["doc_id", "raw"]).dropDuplicates(["doc_id", "raw"])
+    sample = materialize(sample.select(F.xxhash64("doc_id", "raw").alias("place"), "toxic", "text"), "toxic-sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            found = document_counts(strings(batch, "text"))
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+    counted = sample.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
+    vocabulary = {f: i for i, f in enumerate(sorted(counted.select("feature").toArrow().column(0).to_pylist()))}
+    shared = sample.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document: its place, label, words of each sentence,
+        and hashes; and one for each hash: null place, its features, itself."""
+        encoder, sent = Encoder(shared.value), set()
+        for batch in parts(batches):
+            bags = [encoder.sentences(t) for t in strings(batch, "text")]
+            new = [h for h in encoder.seen if h not in sent]
+            sent.update(new)
+            place = [*strings(batch, "place"), *[None] * len(new)]
+            toxic = [*strings(batch, "toxic"), *[None] * len(new)]
+            sizes = [[len(s) for s in d] for d in bags] + [encoder.seen[h] for h in new]
+            hashes = [[h for s in d for h in s] for d in bags] + [[h] for h in new]
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(toxic, pa.int32()), pa.array(sizes, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["place", "toxic", "sizes", "hashes"])
+
+    found = sample.mapInArrow(encode, "place long, toxic int, sizes array<int>, hashes array<long>").toArrow().combine_chunks()
+    shared.unpersist()
+    of_words = found.filter(found.column("place").is_null())
+    seen = dict(zip((h[0] for h in of_words.column("hashes").to_pylist()), of_words.column("sizes").to_pylist(), strict=True))
+    docs_ = found.filter(found.column("place").is_valid()).sort_by("place").combine_chunks()
+    sizes, hashes = docs_.column("sizes").combine_chunks(), docs_.column("hashes").combine_chunks()
+    per_doc = np.asarray(sizes.value_lengths()) if docs_.num_rows else np.zeros(0, int)
+    flat = lambda column: np.asarray(column.flatten()) if docs_.num_rows else np.zeros(0, int)
+    return fit_bags(Bags.build(np.asarray(docs_.column("toxic")), per_doc, flat(sizes), flat(hashes), seen, list(vocabulary)))
 
 
 def score(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -188,4 +268,5 @@ def op4_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
     rows = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
     scored = score(rows, model, ["doc_id", "held_out"])
-    return scored.select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
+    spans = F.array_join(F.transform("offending", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"), spans.alias("offending"))

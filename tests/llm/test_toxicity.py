@@ -41,6 +41,40 @@ def test_held_out_accuracy_and_location(spark):
             assert "zorg" in text[best.start : best.end] or "vilkin" in text[best.start : best.end]
 
 
+def test_slope_equals_differences():
+    """The gradient against the loss of plain noisy-or sums, weight by weight."""
+    texts, labels = ["bad dog. good cat sat! bad", "good cat. dog", "bad bad cats? no", "", "dogs and cats. bad dogs"], [1, 0, 1, 0, 1]
+    vocabulary = {f: i for i, f in enumerate(sorted(T.document_counts(texts)))}
+    encoder = T.Encoder(vocabulary)
+    bags_ = [encoder.sentences(t) for t in texts]
+    flat = [s for d in bags_ for s in d]
+    bags = T.Bags.build(np.array(labels), np.array([len(d) for d in bags_]), np.array([len(s) for s in flat]), np.array([h for s in flat for h in s]), encoder.seen, list(vocabulary))
+
+    def loss(w, b, ridge=0.3):
+        model = T.Model(b, dict(zip(vocabulary, w, strict=True)))
+        p = [T.noisy_or([z for *_, z in model.sentence_logits(t)]) for t in texts]
+        return -sum(math.log(x if y else 1 - x) for x, y in zip(p, labels, strict=True)) + ridge / 2 * w @ w
+
+    rng = np.random.default_rng(1)
+    w, b = rng.standard_normal(len(vocabulary)) * 0.3, -0.7
+    value, slope, bias = bags.loss_and_slope(w, b, 0.3)
+    assert abs(value - loss(w, b)) < 1e-9
+    for i in range(len(w)):
+        step = np.zeros(len(w))
+        step[i] = 1e-5
+        assert abs((loss(w + step, b) - loss(w - step, b)) / 2e-5 - slope[i]) < 1e-6
+    assert abs((loss(w, b + 1e-5) - loss(w, b - 1e-5)) / 2e-5 - bias) < 1e-6
+
+
+def test_learning_on_executors_equals_learning_at_hand(spark):
+    train = corpus(120, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in train] * 2, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in train], "doc_id long, toxic int")
+    here, there = T.fit([t for _, t, _ in train], [y for *_, y in train]), T.learn(docs, labels)
+    assert set(here.weights) == set(there.weights) and abs(here.bias - there.bias) < 1e-6
+    assert all(abs(here.weights[f] - there.weights[f]) < 1e-6 for f in here.weights)
+
+
 def test_one_label_only():
     assert T.fit(["a", "b"], [0, 0]).constant == 0.0 and T.fit(["a"], [1]).constant == 1.0 and T.fit([], []).constant == 0.0
 
