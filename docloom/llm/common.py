@@ -61,11 +61,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """A non-null key of (id, text): rows that repeat both share it."""
-    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(F.md5(text.cast("binary")), F.lit("null")))
+def row_key(doc_id: Column, text: Column, hashed: bool = False) -> Column:
+    """A non-null key of (id, text): rows that repeat both share it. hashed:
+    text is the MD5 of the text."""
+    digest = text if hashed else F.md5(text.cast("binary"))
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(digest, F.lit("null")))
 
 
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id is in fold of ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def expand(df: DataFrame, count: str, number: str, keys: list[str], largest: int, step: int = 4096) -> DataFrame:
+    """Each row `count` times, with its number from 0. `largest` is the largest
+    count, known to the caller: where it is 1 nothing moves, and rows that come
+    very often are dealt to several tasks, `step` at a time."""
+    if largest <= 1:
+        return df.where(F.col(count) > 0).withColumn(number, F.lit(0).cast("long"))
+    parts = df.where(F.col(count) > 0).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{count}` - 1) div {step}"))))
+    if largest > step:
+        parts = parts.repartition(*[F.col(k) for k in keys], F.col("_part"))
+    first = F.col("_part") * step
+    return parts.withColumn(number, F.explode(F.sequence(first, F.least(first + step, F.col(count)) - 1))).drop("_part")

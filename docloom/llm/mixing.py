@@ -7,21 +7,23 @@ size, and what is cut off is shared again by weight (water filling, solved in
 closed form over one row per source). A source then takes all of its documents
 for as many whole epochs as its target holds, and the remainder by weighted
 sampling without replacement: a document with quality weight w and a hashed
-uniform u gets the exponential key -ln(u)/w, and documents are taken by
-ascending key until the remaining words are used up.
+uniform u (of its id and text) gets the exponential key -ln(u)/w, and documents
+are taken by ascending key until the remaining words are used up.
 
 The running sum over a source is built from two levels, so that a source that
 holds most rows is not sorted in one task: 1 - exp(-key) deals keys, in order,
 to a fixed number of buckets; sums within a bucket are added to the sums of the
-buckets before it.
+buckets before it. Rows that repeat id, text and source are one row with a count
+until the end, so that they cannot fill a bucket.
 
 The document on which the budget ends is taken up to the budget (its first
 words), so a source's words equal its target rounded down.
 
 Nulls and odd rows: a null source is a source of its own, last in order. A null
 text has size 0, and size 0 takes 0. A null, NaN or non-positive weight counts
-as 1. Repeated rows are separate documents; equal keys are ordered by id, size
-and text hash. An empty table gives an empty result.
+as 1. Repeated rows are separate documents of one key; equal keys are ordered by
+id, size and text hash. An empty table gives an empty result. The windows over
+sources run in one task: sources are few beside documents.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, table
+from docloom.llm.common import expand, materialize, table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BUCKETS = 4096
@@ -41,9 +43,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(id_: Column, seed: str) -> Column:
-    """A number between 0 and 1 that depends on the id and the seed alone."""
-    digest = F.md5(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), F.lit(seed)).cast("binary"))
+def uniform(id_: Column, text_md5: Column, seed: str) -> Column:
+    """A number between 0 and 1 that depends on id, text and seed alone."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), F.coalesce(text_md5, F.lit("null")), F.lit(seed)).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -67,7 +69,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     return weighed.select("skey", "source_size", target.alias("target"))
 
 
-def mix(
+def mix_groups(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -79,40 +81,56 @@ def mix(
     seed: str = "mix",
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Per row of df: id_col, text_md5, source, size, source_size, target, taken.
+    """One row for the n rows of df with equal id, text and source: id,
+    text_md5, source, skey, size, n, source_size, target, epochs (whole copies of each
+    row) and extra (words that the n rows give beside, in turn).
 
     quality: rows of (doc_id, quality) that weigh the sampling, see
-    with_quality. taken counts words with repeats; taken // size is the number of whole
-    copies, and the remainder the words of a last, partial copy.
+    with_quality.
     """
     sizes = df.select(
         F.col(id_col).alias("id"),
         F.md5(F.col(text_col).cast("binary")).alias("text_md5"),
         F.col(source_col).alias("source"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("skey"),
+        source_key(F.col(source_col)).alias("skey"),
         word_count(F.col(text_col)).alias("size"),
     )
-    # Counted before the join, so that no text is shuffled.
+    # Counted before the joins, so that no text is shuffled.
+    sizes = sizes.groupBy("id", "text_md5", "source", "skey", "size").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("weight", F.lit(1.0)) if quality is None else with_quality(sizes, quality)
     weight = F.when((F.col("weight") > 0) & ~F.isnan("weight"), F.col("weight")).otherwise(1.0)
-    sizes = sizes.withColumn("key", -F.log(uniform(F.col("id"), seed)) / weight).drop("weight").withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
-    sizes = materialize(sizes, "mix-sizes")
-    sums = sizes.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
+    sizes = sizes.withColumn("key", -F.log(uniform(F.col("id"), F.col("text_md5"), seed)) / weight).drop("weight")
+    sizes = sizes.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    sizes = materialize(sizes.withColumn("words", F.col("size") * F.col("n")), "mix-sizes")
+    sums = sizes.groupBy("skey", "bucket").agg(F.sum("words").alias("bucket_size"))
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start"))
-    plan = source_targets(sizes, weights, share, cap)
+    plan = source_targets(sizes.select("skey", "source", F.col("words").alias("size")), weights, share, cap)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target")).cast("long")).otherwise(0))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("whole div source_size")).otherwise(0))
     plan = plan.withColumn("rest", F.col("whole") - F.col("epochs") * F.col("source_size"))
     # At most `buckets` rows for each source; documents join them by both keys.
     sums = sums.join(plan, "skey")
     within = Window.partitionBy("skey", "bucket").orderBy("key", "id", "size", "text_md5").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["skey", "bucket"])
-    partial = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("bucket_start") - F.col("start")))
-    return placed.select(
-        F.col("id").alias(id_col), "text_md5", "source", "size", "source_size", "target",
-        (F.col("epochs") * F.col("size") + partial).cast("long").alias("taken"),
-    )
+    placed = sizes.withColumn("start", F.coalesce(F.sum("words").over(within), F.lit(0))).join(sums, ["skey", "bucket"])
+    extra = F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - F.col("bucket_start") - F.col("start")))
+    return placed.select("id", "text_md5", "source", "skey", "size", "n", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), extra.cast("long").alias("extra"))
+
+
+def source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("null"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """Per row of df: id_col, text_md5, source, size, source_size, target, taken.
+    taken counts words with repeats; taken // size is the number of whole
+    copies, and the remainder the words of a last, partial copy. options: as of
+    mix_groups."""
+    groups = materialize(mix_groups(df, id_col, text_col, source_col, **options), "mix-groups")
+    largest = groups.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    rows = expand(groups, "n", "number", ["id", "text_md5", "skey"], largest)
+    own = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("number") * F.col("size")))
+    return rows.select(F.col("id").alias(id_col), "text_md5", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + own).cast("long").alias("taken"))
 
 
 def with_quality(sizes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -133,7 +151,7 @@ WITH best AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id
 docs AS (
   SELECT d.doc_id, d.source, md5(d.text) AS text_md5,
     CAST(coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    -ln((CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':mix'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+    -ln((CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(d.text), 'null') || ':mix'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
       / (CASE WHEN b.quality >= 1 THEN 2.0 WHEN b.quality < 1 THEN 0.5 ELSE 1.0 END) AS key
   FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),

@@ -61,3 +61,16 @@ def test_odd_rows(spark):
     assert len(rows) == 10 and all(r.taken == 0 for r in rows if r.size == 0)
     assert M.mix(odd.empty(spark)).count() == 0
     assert [r.taken for r in run(spark, [(1, "", "a"), (2, None, "a")])] == [0, 0]
+
+
+def test_repeated_rows_are_taken_in_turn(spark):
+    """10,000 equal rows are one key; each is taken as a document of its own."""
+    rows = [(7, "a b c", "s")] * 10_000 + [(i, "x y", "s") for i in range(100, 160)] + [(None, "n", "t")] * 50 + [(1, "z " * 9_000, "t")]
+    got = run(spark, rows, buckets=16)
+    taken, size = defaultdict(int), defaultdict(int)
+    for r in got:
+        taken[r.source] += r.taken
+        size[r.source] += r.size
+        assert 0 <= r.taken <= 2 * r.size
+    assert len(got) == len(rows) and all(abs(taken[r.source] - r.target) <= 1 for r in got)
+    assert sum(r.taken % r.size > 0 for r in got if r.source == "s") <= 1
