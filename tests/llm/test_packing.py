@@ -97,3 +97,19 @@ def test_odd_rows(spark):
     assert len(by[1]) == 2 and by[2][0].length == by[3][0].length == 1 and len(by[None]) == 1
     verify([r for r in rows if r.doc_id == 4], {4: odd.LONG}, 2048)
     assert P.pack(P.token_pieces(odd.empty(spark), *P.default_tokenizer())).count() == 0
+
+
+def test_many_equal_pieces_are_dealt(spark, monkeypatch):
+    """Rows that repeat id and text are placed one by one, each once."""
+    rows = [(None, "")] * 9_000 + [(1, "alpha beta")] * 40 + [(i, "gamma") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for slots in (P.BROADCAST_SLOTS, -1):
+        monkeypatch.setattr(P, "BROADCAST_SLOTS", slots)
+        got = P.pack(P.token_pieces(df, capacity=64), 64).collect()
+        assert len(got) == len(rows) and len({(r.sequence_id, r.offset) for r in got}) == len(rows)
+        sequences = defaultdict(list)
+        for r in got:
+            sequences[r.sequence_id].append((r.offset, r.length))
+        for own in sequences.values():
+            ends = [a + n for a, n in sorted(own)]
+            assert [a for a, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 64
