@@ -5,8 +5,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. `run` writes every stage as Parquet to the
 shared folder and reads it again as the next one's docs.
 
-Nulls, ties, repeated rows and empty tables behave as the operators say; columns
-beside those of documents are dropped by the first stage.
+Nulls, ties and empty tables behave as the operators say; columns beside those
+of documents are dropped by the first stage. Documents that share an id are told
+apart by their text; of rows that repeat both, one stays.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import language_id, mixing, near_dedup, packing, secret_scan
-from docloom.llm.common import materialize, row_key, table
+from docloom.llm.common import expand, materialize, row_key, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,37 +31,56 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each class. Rows that repeat an id
-    are copies, of which one stays; rows with a null id all stay."""
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """Keeps the document of smallest id of each class, and of texts that share
+    that id the one of smallest hash. Rows with a null id all stay."""
+    found = near_dedup.near_texts(docs).where("kept and doc_id is not null")
+    kept = materialize(found.groupBy("doc_id", "raw").agg(F.count("*").alias("n")), "kept-texts")
+    rows = docs.select(*COLUMNS, near_dedup.raw_hash(F.col("text")).alias("raw"))
+    chosen = rows.join(kept.select("doc_id", "raw"), ["doc_id", "raw"], "left_semi").select(*COLUMNS)
+    repeated = kept.where("n > 1").select("doc_id", "raw")
+    if repeated.limit(1).count():
+        twice = rows.join(repeated, ["doc_id", "raw"], "left_semi").groupBy("doc_id", "raw").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+        once = rows.join(kept.where("n = 1"), ["doc_id", "raw"], "left_semi").select(*COLUMNS)
+        chosen = once.unionByName(twice.select("doc_id", "row.*").select(*COLUMNS))
+    return chosen.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the text; no document goes. An owner's token is one
-    in however many of its documents it stands."""
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Replaces secrets in the text; no document goes. Owners are counted over
+    the corpus as it was given and docs together: the stages before leave one of
+    each group of copies, and an example would seem to have one owner."""
+    given = table(spark, sf_dir, "documents").select(*COLUMNS) if sf_dir else docs.limit(0)
+    counts = secret_scan.owner_counts(docs.select(*COLUMNS).unionByName(given))
+    return secret_scan.redact(docs, counts=counts).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target takes it: whole copies,
     and for the document on which a target ends its first words."""
-    taken = mixing.mix(docs, quality=table(spark, sf_dir, "labels"))
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text_md5", F.lit("null")))
-    taken = taken.groupBy(key.alias("_key")).agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
-    rows = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).join(taken, "_key").dropDuplicates(["_key"])
-    rest = F.col("_taken") % F.col("_size")
+    groups = materialize(mixing.mix_groups(docs, quality=table(spark, sf_dir, "labels")).where("size > 0 and (epochs > 0 or extra > 0)"), "mix-taken")
+    key = row_key(F.col("id"), F.col("text_md5"), hashed=True)
+    groups = groups.select(key.alias("_key"), "skey", "size", "n", "extra", (F.col("epochs") * F.col("n") + F.expr("extra div size")).alias("_whole"), (F.col("extra") % F.col("size")).alias("_rest"))
+    rows = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).withColumn("skey", mixing.source_key(F.col("source")))
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    whole = F.array_repeat(F.col("text"), F.expr("int(_taken div _size)"))
-    part = F.when(rest > 0, F.array(F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " "))).otherwise(F.array().cast("array<string>"))
-    copies = rows.select("doc_id", F.explode(F.concat(whole, part)).alias("text"), "lang", "source")
-    return copies.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    first = F.array_join(F.slice(words, F.lit(1), F.col("_rest").cast("int")), " ")
+    several = groups.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+    def copies(chosen: DataFrame, largest: int) -> DataFrame:
+        chosen = chosen.withColumn("_copies", F.col("_whole") + (F.col("_rest") > 0).cast("long"))
+        each = expand(chosen, "_copies", "_number", ["_key", "skey"], largest)
+        return each.withColumn("text", F.when(F.col("_number") < F.col("_whole"), F.col("text")).otherwise(first)).select("doc_id", "text", "lang", "source")
+
+    # Nearly all groups are one row; rows that repeat are taken from one of them.
+    out = copies(rows.join(groups.where("n = 1"), ["_key", "skey"]), 4096)
+    if several > 1:
+        one = rows.groupBy("_key", "skey").agg(F.min(F.struct("doc_id", "text", "lang", "source")).alias("row")).select("_key", "skey", "row.*")
+        out = out.unionByName(copies(one.join(groups.where("n > 1"), ["_key", "skey"]), 4 * several))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece; documents that the mix repeats come as often."""
-    packed = packing.pack(packing.token_pieces(docs, *packing.default_tokenizer()))
+    packed = packing.pack(packing.token_pieces(docs))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -339,9 +339,10 @@ class Texts:
         return docs.join(alone, "doc_id").drop("raw").unionByName(docs.join(beside, ["doc_id", "raw"]).drop("raw", "node"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of df: doc_id, class_id (the smallest id of its class),
-    n_copies (rows with its word sequence), kept (doc_id is class_id)."""
+def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, raw, copy_key) and for each copy_key its first row
+    (doc_id, raw), node, n_copies and class (the smallest node of its class).
+    by_id: all texts of an id are in one class."""
     sketches = materialize(sketch_documents(df, id_col, text_col), "sketches")
     known = sketches.where(F.col("doc_id").isNotNull() & F.col("copy_key").isNotNull())
     copies = materialize(known.groupBy("copy_key").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.count("*").alias("n_copies")).select("copy_key", "first.*", "n_copies"), "copies")
@@ -359,15 +360,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketched = known.select("doc_id", "raw", "copy_key", "weight", "bands").join(nodes.select("copy_key", "doc_id", "raw", "node"), ["copy_key", "doc_id", "raw"])
     sketched = (sketched.dropDuplicates(["node"]) if texts.repeated is not None else sketched).select(F.col("node").alias("doc_id"), "weight", "bands")
     classes = text_classes(sketched, texts, threshold)
-    if many:  # the texts of one id are one document
+    if many and by_id:  # the texts of one id are one document
         own = shared.join(nodes.select("copy_key", "node"), "copy_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
         classes = connected_components(classes.select(F.col("component").alias("a"), F.col("node").alias("b")).union(own))
-    named = nodes.join(classes.withColumnRenamed("node", "found"), F.col("node") == F.col("found"), "left").select("copy_key", "n_copies", F.coalesce("component", "node").alias("class_id"))
-    named = materialize(named, "classes")
-    joined = sketches.select("doc_id", "copy_key").join(named, "copy_key", "left")
+    named = nodes.join(classes.withColumnRenamed("node", "found"), F.col("node") == F.col("found"), "left")
+    named = named.select("copy_key", F.col("doc_id").alias("first_id"), F.col("raw").alias("first_raw"), "node", "n_copies", F.coalesce("component", "node").alias("class_id"))
+    return sketches.select("doc_id", "raw", "copy_key"), materialize(named, "classes")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of df: doc_id, class_id (the smallest id of its class),
+    n_copies (rows with its word sequence), kept (doc_id is class_id)."""
+    rows, named = _classes(df, id_col, text_col, threshold, by_id=True)
+    joined = rows.join(named, "copy_key", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return joined.select("doc_id", class_id.alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
 
 
+def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of df: doc_id, raw (raw_hash of its text), kept. Texts
+    that share an id are told apart; of each class the rows of one (doc_id, raw)
+    are kept, the one of smallest id where ids are not shared."""
+    rows, named = _classes(df, id_col, text_col, threshold, by_id=False)
+    first = (F.col("node") == F.col("class_id")) & (F.col("doc_id") == F.col("first_id")) & (F.col("raw") == F.col("first_raw"))
+    return rows.join(named, "copy_key", "left").select("doc_id", "raw", F.coalesce(first, F.lit(True)).alias("kept"))
+
+
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -50,3 +50,45 @@ def test_run(spark, tmp_path):
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 0
     documents(spark).limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_documents_that_share_an_id_stay_apart(spark):
+    rows = [(1, "one text of some words here", "en", "b"), (1, "quite another one with other words", "en", "a"), (1, "quite another one with other words", "en", "c"), (2, "a third one", "en", "a"), (None, "no id", "en", "a"), (None, "no id", "en", "a")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for given in (docs, docs.orderBy("source"), docs.repartition(3)):
+        got = Counter(map(tuple, P.drop_near_duplicates(spark, given, "").collect()))
+        assert got == Counter((*rows[i], len(rows[i][1])) for i in (0, 1, 3, 4, 5))
+
+
+def test_repeated_rows_are_mixed_one_by_one(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(None, "a b c", "en", "s")] * 9_000 + [(1, "x y", "en", "s"), (1, "x y", "en", "t"), (2, "long " * 30_000, "en", "t")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.mix_to_targets(spark, docs, str(tmp_path)).collect()
+    words, sizes = Counter(), Counter()
+    for r in got:
+        words[r.source] += len(r.text.split())
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+    # s comes first and weighs 5, t second and weighs 2; s stops at twice its size.
+    assert words["s"] == 2 * sizes["s"] and abs(words["t"] - (1.5 * sum(sizes.values()) - 2 * sizes["s"])) <= 1
+    assert P.mix_to_targets(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_owners_are_counted_before_copies_go(spark, tmp_path):
+    example = "Ab3Cd4Ef5Gh6Ij7Kl8Mn"
+    corpus = spark.createDataFrame([(i, f"see {example} here", "en", f"s{i}", 0) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    corpus.write.parquet(f"{tmp_path}/documents.parquet")
+    left = corpus.where("doc_id = 0")
+    assert P.redact_secrets(spark, left, str(tmp_path)).first().text == f"see {example} here"
+    assert P.redact_secrets(spark, left, "").first().text == "see [SECRET] here"
+
+
+def test_clashing_columns_are_dropped(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["raw", "n", "size", "_key", "skey", "row", "number", "kept", "bucket", "hash", "spans", "node"]
+    docs = documents(spark).selectExpr("*", *[f"'x' AS {c}" for c in names])
+    for _, stage in P.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() > 0 and not set(names) & set(out.columns)
