@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import duckdb
+
 from docloom.llm import chats as C
 
 SCHEMA = "conv_id long, turn long, role string, text string, n int, h1 string"
@@ -31,6 +33,23 @@ def test_equals_brute_force(spark):
 def test_odd_rows(spark):
     rows = [(None, 0, "user", "a"), (1, None, None, None), (1, 0, "user", ""), (2, 0, "user", "z"), (2, 0, "user", "z"), (3, 0, "user", "z"), (4, 0, "user", None), (6, 0, "user", "long " * 100_000)]
     got = {r.conv_id: r for r in run(spark, rows)}
-    assert set(got) == {None, 1, 2, 4, 6}  # 3 prefixes 2
+    assert set(got) == {None, 1, 2, 4, 6} and got[None].n_turns == 1  # 3 prefixes 2
     assert got[1].rendered == "<|unknown|>\n\n<|end|>\n<|user|>\n\n<|end|>\n" and got[2].n_turns == 2
     assert run(spark, []) == []
+
+
+def test_equals_the_sql_with_ties_nulls_and_repeats(spark, tmp_path):
+    """Turn numbers that repeat are put in order by role and text; rows without
+    an id are conversations of one turn."""
+    r = random.Random(3)
+    words = ["hotel", "alpha", "bravo", "india", "golf", "É", "z\U0001f600", "", None]
+    rows = [(1, 0, "user", w) for w in words] + [(2, 0, "user", w) for w in reversed(words)] + [(3, 0, "user", w) for w in words[:4]]
+    rows += [(r.choice([*range(4, 40), None, None]), r.choice([0, 0, 1, 2, None]), r.choice(["user", "assistant", None]), r.choice(["a", "b", None])) for _ in range(300)]
+    rows += [(50, 5, "user", "a"), (None, 9, "user", "only"), (None, 8, "user", "only")]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(repr, (tuple(x) for x in C.op10_chat_snapshots(spark, str(tmp_path)).collect())))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(map(repr, db.execute(C.OP10_SQL).fetchall()))
