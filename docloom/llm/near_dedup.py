@@ -18,12 +18,13 @@ Copies (equal word sequences) are one text from here on. 48 bands of 8
 coordinates put texts into buckets: a pair of similarity 0.8 meets in some band
 with probability 0.9998, one of similarity 0.4 with 0.03. In a bucket of up to
 SMALL texts all pairs are candidates. In a larger one every text is first paired
-with three leaders (smallest id, largest id, and the text with most company in
-all its buckets, such as the base of many versions). What these links join is a
-class; all pairs of a bucket that lie in different classes are still open, and
-are compared too, in tiles of bounded size. Where many are open, further rounds
-of leaders come first, as long as each halves them. So every pair of a bucket is
-compared or joined by other links. Candidates whose total weights alone rule out
+with two leaders (smallest id, and the text with most company in all its
+buckets, such as the base of many versions). What these links join is a
+class; all pairs of a bucket that lie in different classes are still open. Where
+many are, further rounds of leaders come first, as long as each halves them. The
+texts that are left are joined once more among each other by an exact prefix
+filter on their shingles (see prefix_entries), in tiles of bounded size. So
+every pair of a bucket is compared, ruled out, or joined by other links. Candidates whose total weights alone rule out
 the threshold go, the rest is compared exactly by whole texts. Leaders with many
 partners are dealt to several tasks.
 
@@ -58,6 +59,8 @@ PER_TASK = 256
 TILE = 512
 #: Open pairs for each entry of a bucket beyond which leaders are tried again.
 OPEN = 16
+#: Shingles that a task holds at a time.
+HELD = 500_000
 
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
@@ -220,35 +223,94 @@ def small_pairs(shared: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def leader_pairs(large: DataFrame, turn: int, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs of three leaders of each bucket with all its other classes.
+    """The pairs of two leaders of each bucket with all its other classes.
     large: bucket, doc_id, weight, n, class_id."""
     one = F.struct("doc_id", "weight", "class_id")
     if turn == 0:
         company = large.groupBy("doc_id").agg(F.sum("n").alias("company"))
         large = large.join(company, "doc_id")
-        chosen = [F.min(one), F.max(one), F.max_by(one, F.struct("company", "doc_id"))]
+        chosen = [F.min(one), F.max_by(one, F.struct("company", "doc_id"))]
     else:
-        chosen = [F.min_by(one, F.xxhash64("doc_id", F.lit(3 * turn + k))) for k in range(3)]
+        chosen = [F.min_by(one, F.xxhash64("doc_id", F.lit(2 * turn + k))) for k in range(2)]
     leaders = materialize(large.groupBy("bucket").agg(F.array_distinct(F.array(*chosen)).alias("leaders")), "bucket-leaders")
     pairs = large.join(leaders, "bucket").select(one.alias("x"), F.explode("leaders").alias("y")).where("x.class_id <> y.class_id")
     return wanted(pairs, F.col("x"), F.col("y"), threshold)
 
 
 def open_pairs(large: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of a bucket that lie in different classes. A tile is two chunks
-    of a bucket, so no key of the join has more than about TILE by TILE pairs.
-    large: bucket, doc_id, weight, n, class_id."""
+    """All pairs of a bucket that lie in different classes and may reach the
+    threshold. A tile is two chunks of a bucket, so no key of the join has more
+    than about TILE by TILE pairs. large: bucket, doc_id, weight, n, class_id,
+    and at, how much of the weight is not shared with others of the bucket."""
     chunks = F.ceil(F.col("n") / TILE).cast("int")
-    at = large.select("bucket", F.struct("doc_id", "weight", "class_id").alias("x"), chunks.alias("chunks"), F.pmod(F.xxhash64("doc_id"), chunks).cast("int").alias("chunk"))
+    at = large.select("bucket", F.struct("doc_id", "weight", "class_id", "at").alias("x"), chunks.alias("chunks"), F.pmod(F.xxhash64("doc_id"), chunks).cast("int").alias("chunk"))
     left = at.select("bucket", F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"), "x")
     right = at.select("bucket", F.explode(F.sequence(F.lit(0), "chunk")).alias("i"), F.col("chunk").alias("j"), F.col("x").alias("y"))
     keys = (left["bucket"] == right["bucket"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
-    near = F.least("x.weight", "y.weight") >= F.greatest("x.weight", "y.weight") * threshold
+    shared = F.least(F.col("x.weight") - F.col("x.at"), F.col("y.weight") - F.col("y.at"))
+    near = shared * (1 + threshold) >= (F.col("x.weight") + F.col("y.weight")) * threshold - 1e-6
     once = (left["i"] < left["j"]) | (F.col("x.doc_id") < F.col("y.doc_id"))
     pairs = left.join(right, keys & once & near & (F.col("x.class_id") != F.col("y.class_id"))).select("x", "y")
     return wanted(pairs, F.col("x"), F.col("y"), threshold)
 
 
+def prefix_entries(texts: DataFrame, elements: int, threshold: float = THRESHOLD) -> DataFrame:
+    """Entries as open_pairs takes them, in which each two of the texts (doc_id,
+    class_id, text) that reach the threshold share a bucket. elements: about how
+    many shingles the texts have in all.
+
+    The shingles of all texts are put in one order, rare ones first. Two texts
+    that reach the threshold share one among the first few of both: of a text of
+    weight w, the first w - ceil(t w) + 1. Shingles that only one text has come
+    first and are no buckets. Before the first shared one nothing is shared
+    (`at`). Texts are dealt to parts of about HELD shingles; a part sends each of
+    its shingles once, and gets back in how many texts it is."""
+    n_parts = int(elements // HELD) + 1
+
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
+        docs, found, counts = shingles(strings(batch, "text"))
+        # The k-th occurrence of a shingle is an element of its own.
+        turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        with np.errstate(over="ignore"):
+            tokens = mix(np.repeat(found, counts) ^ mix(turn.astype(U))).view(np.int64)
+        ends = np.searchsorted(np.repeat(docs, counts), np.arange(batch.num_rows + 1)).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), listed], ["part", "doc_id", "class_id", "tokens"])
+
+    def flat(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        tokens = part.column("tokens").combine_chunks()
+        return np.repeat(np.arange(part.num_rows), np.asarray(tokens.value_lengths())), np.asarray(tokens.flatten())
+
+    def count(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        tokens, counts = np.unique(flat(part)[1], return_counts=True)
+        return pa.table({"part": np.full(len(tokens), key[0].as_py()), "token": tokens, "n": counts})
+
+    def first(key: tuple[pa.Scalar, ...], part: pa.Table, known: pa.Table) -> pa.Table:
+        docs, tokens = flat(part)
+        weight = np.bincount(docs, minlength=part.num_rows)
+        shared, texts = known.column("token").to_numpy(), known.column("texts").to_numpy()
+        order = np.argsort(shared)
+        place = np.minimum(np.searchsorted(shared, tokens, sorter=order), max(len(shared) - 1, 0))
+        here = order[place] if len(shared) else place
+        n = np.where(shared[here] == tokens, texts[here], 1) if len(shared) else np.ones(len(tokens), int)
+        order = np.lexsort((tokens, n, docs))
+        docs, tokens, n = docs[order], tokens[order], n[order]
+        at = np.arange(len(docs)) - (np.cumsum(weight) - weight)[docs]
+        kept = (n > 1) & (at <= weight[docs] - np.ceil(weight[docs] * threshold - 1e-6))
+        of = docs[kept]
+        column = lambda name: part.column(name).to_numpy()[of]
+        return pa.table({"bucket": tokens[kept], "doc_id": column("doc_id"), "weight": weight[of], "class_id": column("class_id"), "at": at[kept]})
+
+    dealt = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("long").alias("part"), "doc_id", "class_id", "text")
+    listed = materialize(map_rows(dealt, split, "part long, doc_id long, class_id long, tokens array<long>"), "open-elements")
+    counted = materialize(listed.select("part", "tokens").groupBy("part").applyInArrow(count, "part long, token long, n long"), "element-counts")
+    common = counted.groupBy("token").agg(F.sum("n").alias("texts")).where("texts > 1")
+    known = counted.join(common, "token").select("part", "token", "texts")
+    entries = listed.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(first, "bucket long, doc_id long, weight long, class_id long, at long")
+    entries = materialize(entries, "prefix-elements")
+    return entries.join(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+
+
 def text_classes(texts: DataFrame, docs: Texts, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) of the texts (doc_id, weight, bands) that have a near
     duplicate; docs: see Texts."""
@@ -261,14 +323,21 @@ def text_classes(texts: DataFrame, docs: Texts, threshold: float = THRESHOLD) ->
         named = large.join(classes, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "weight", "n", F.coalesce("component", "doc_id").alias("class_id"))
         sizes = named.groupBy("bucket", "class_id").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inside"))
         open_ = materialize(sizes.where("n * n > inside").withColumn("open", (F.col("n") * F.col("n") - F.col("inside")) / 2), "open-buckets")
-        entries, pairs = open_.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("open"), F.lit(0.0))).first()
-        if not pairs:
+        entries, still = open_.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("open"), F.lit(0.0))).first()
+        if not still:
             return classes
         rest = materialize(named.join(open_.select("bucket"), "bucket"), "open-entries")
         turn += 1
-        last = pairs <= OPEN * entries or (before is not None and 2 * pairs > before)
-        before = pairs
-        found = verify_pairs(open_pairs(rest, threshold) if last else leader_pairs(rest, turn, threshold), docs, threshold)
+        last = still <= OPEN * entries or (before is not None and 2 * still > before)
+        before = still
+        if last:
+            nodes = materialize(rest.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("own"), "class_id", "weight").distinct(), "open-texts")
+            elements = nodes.agg(F.sum("weight")).first()[0]
+            left = docs.join(nodes.drop("weight")).select(F.col("own").alias("doc_id"), "class_id", "text")
+            pairs = open_pairs(prefix_entries(left, elements, threshold), threshold)
+        else:
+            pairs = leader_pairs(rest, turn, threshold)
+        found = verify_pairs(pairs, docs, threshold)
         classes = connected_components(classes.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found))
         if last:
             return classes

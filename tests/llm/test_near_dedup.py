@@ -104,8 +104,8 @@ def test_versions_of_a_base_in_the_middle_are_one_class(spark):
 
 def test_every_pair_of_a_large_bucket_is_open_or_in_one_class(spark, monkeypatch):
     monkeypatch.setattr(N, "TILE", 5)
-    rows = [(7, k, 10 if k < 38 else 100, 40, k % 3 if k < 30 else k) for k in range(40)]
-    large = spark.createDataFrame(rows, "bucket long, doc_id long, weight long, n long, class_id long")
+    rows = [(7, k, 10 if k < 38 else 100, 40, k % 3 if k < 30 else k, 0) for k in range(40)]
+    large = spark.createDataFrame(rows, "bucket long, doc_id long, weight long, n long, class_id long, at long")
     got = [(r.a, r.b) for r in N.open_pairs(large).collect()]
     want = {(x[1], y[1]) for x in rows for y in rows if x[1] < y[1] and x[4] != y[4] and x[2] == y[2]}
     assert len(got) == len(want) and set(got) == want
@@ -135,3 +135,27 @@ def test_one_id_with_several_texts_and_repeated_rows(spark):
     for order in (df, df.orderBy("text"), df.repartition(3)):
         got = {(r.doc_id, r.class_id) for r in N.near_duplicates(order).collect()}
         assert got == {(5, 3), (9, 3), (3, 3), (7, 2), (2, 2), (8, 2), (4, 4)}
+
+
+def test_prefixes_hold_every_near_pair_and_few_others(spark, monkeypatch):
+    """Families of versions around the threshold, of unlike lengths and with
+    repeated passages, against all pairs."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    texts = []
+    for _ in range(4):
+        base = [word() for _ in range(r.choice([30, 150]))]
+        base += base[:20] * r.choice([0, 3])
+        for _ in range(40):
+            copy = base[: len(base) - r.choice([0, 0, 5])] + [word() for _ in range(r.choice([0, 0, 4]))]
+            for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6])):
+                copy[r.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    texts += ["a b", "a b c d e", "a b c d e f", word(), None]
+    df = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "doc_id long, class_id long, text string")
+    want = {(i, j) for i in range(len(texts) - 1) for j in range(i + 1, len(texts) - 1) if sim(texts[i], texts[j]) >= 0.8}
+    for held in (N.HELD, 3000):
+        monkeypatch.setattr(N, "HELD", held)
+        got = {(x.a, x.b) for x in N.open_pairs(N.prefix_entries(df, 20_000)).collect()}
+        assert want <= got and len(want) > 300 and len(got) < 4 * len(want)
+    assert N.prefix_entries(df.limit(0), 0).count() == 0
