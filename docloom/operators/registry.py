@@ -102,5 +102,18 @@ def prioritize_documents(records: DataFrame, question_is_timely: Column | bool,
     stable = F.when(t == "regulation", 0).when(t == "semester_notice", 1).when(t == "annual_notice", 2).otherwise(3)
     rows = active_documents(records, as_of).withColumn("area_rank", F.when(area_matches(area_list(F.col("policy_area"), kind), F.lit(policy_area).cast("string")), 0).otherwise(1))
     rows = rows.withColumn("type_rank", F.when(timely, notice).otherwise(stable))
-    # The registry is small beside the corpus; its order is total.
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy("area_rank", "type_rank", order_col)))
+    return number_rows(rows, ["area_rank", "type_rank"], order_col)
+
+
+def number_rows(rows: DataFrame, groups: list[str], order_col: str, parts: int = 64) -> DataFrame:
+    """rows with rank, their number in the order of the groups and of a numeric
+    column. No task takes all: quantiles cut each group, rows are numbered
+    within a cut, and the few counts of the cuts are summed up before."""
+    order = F.col(order_col).cast("double")
+    cuts = sorted(set(rows.select(order.alias("o")).approxQuantile("o", [k / parts for k in range(1, parts)], 0.01)))
+    cut = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < order)) if cuts else F.lit(0)
+    placed = rows.withColumn("_cut", F.when(order.isNull(), F.lit(-1)).otherwise(cut))
+    counts = placed.groupBy(*groups, "_cut").agg(F.count("*").alias("_n"))  # at most `parts` rows for each group
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*groups, "_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = Window.partitionBy(*groups, "_cut").orderBy(order_col)
+    return placed.withColumn("rank", F.row_number().over(within)).join(before, [*groups, "_cut"]).withColumn("rank", F.col("rank") + F.col("_before")).drop("_cut", "_before")

@@ -23,6 +23,8 @@ SCORED_TAGS = ("policy_area", "action_tags", "requirement_tags", "procedure_tags
 TITLE, CHAPTER, TEXT, TAGS = 2.0, 0.5, 1.0, 1.0
 TITLE_PHRASE, TEXT_PHRASE = 5.0, 3.0
 K1, B = 1.5, 0.75
+BROADCAST_TOKENS = 200_000
+GRAM = 3
 
 
 def with_filters(queries: DataFrame) -> DataFrame:
@@ -54,17 +56,34 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select(*KEY, F.explode(tokens(F.col("query"))).alias("token")).groupBy(*KEY, "token").agg(F.count("*").alias("qn"))
 
 
-def term_table(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, token, weight): the summed field weights of each token. Worth
-    saving when many batches of questions come."""
-
-    def weighed(words: Column, weight: float) -> Column:
-        return F.transform(words, lambda t: F.struct(t.alias("token"), F.lit(weight).alias("weight")))
-
-    parts = [weighed(tokens(F.col("section_title")), TITLE), weighed(tokens(F.col("chapter_title")), CHAPTER), weighed(tokens(F.col("text")), TEXT)]
-    parts += [weighed(tokens(F.array_join(f, " ")), TAGS) for f in SCORED_TAGS if f in chunks.columns]
-    found = chunks.select("chunk_id", F.explode(F.concat(*parts)).alias("t"))
-    return found.groupBy("chunk_id", F.col("t.token").alias("token")).agg(F.sum("t.weight").alias("weight"))
+def asked_only(exploded: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows (token, ...) whose token is asked for, before anything moves:
+    by a broadcast where the distinct tokens of all questions are few."""
+    wanted = asked.select("token").distinct()
+    n = wanted.count()
+    return exploded.join(F.broadcast(wanted) if n <= BROADCAST_TOKENS else wanted, "token", "left_semi")
+
+
+def term_table(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, token, weight): the summed field weights of each token, of the
+    asked ones (token, ...) only if given. Worth saving for all tokens when many
+    batches of questions come."""
+
+    fields = [("section_title", TITLE), ("chapter_title", CHAPTER), ("text", TEXT)]
+    parts = [(tokens(F.col(f)), w) for f, w in fields] + [(tokens(F.array_join(f, " ")), TAGS) for f in SCORED_TAGS if f in chunks.columns]
+    split = chunks.select("chunk_id", *[words.alias(f"_{k}") for k, (words, _) in enumerate(parts)])
+    # The place of a token among those of all fields tells its weight.
+    end, weight = F.lit(0), F.lit(parts[-1][1])
+    ends = []
+    for k in range(len(parts) - 1):
+        end = end + F.size(f"_{k}")
+        ends.append(end.alias(f"_end{k}"))
+    for k in reversed(range(len(parts) - 1)):
+        weight = F.when(F.col("pos") < F.col(f"_end{k}"), parts[k][1]).otherwise(weight)
+    words = F.concat(*[F.col(f"_{k}") for k in range(len(parts))])
+    found = split.select("chunk_id", *ends, F.posexplode(words).alias("pos", "token")).select("chunk_id", "token", weight.alias("weight"))
+    found = found if asked is None else asked_only(found, asked)
+    return found.groupBy("chunk_id", "token").agg(F.sum("weight").alias("weight"))
 
 
 def _filters(queries: DataFrame) -> list[Column]:
@@ -82,16 +101,23 @@ def _bonus(scores: DataFrame, queries: DataFrame, bonus: DataFrame | None) -> Da
     return both.select(*KEY, "chunk_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("score"))
 
 
-def _short_phrase_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(keys, chunk_id) for queries of one or two tokens, which may stand inside
-    other tokens and so share none. Only their first token is looked up, among
-    the distinct tokens of all chunks."""
-    words = tokens(F.col("query"))
-    short = queries.where(F.size(words).between(1, 2)).select(*KEY, words[0].alias("first"), (F.size(words) == 1).alias("single"))
+def grams(word: Column, size: Column) -> Column:
+    """The distinct pieces of `size` letters of a word."""
+    starts = F.when(F.length(word) >= size, F.sequence(F.lit(1), F.length(word) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: word.substr(i, size)))
+
+
+def _short_phrase_chunks(chunks: DataFrame, short: DataFrame) -> DataFrame:
+    """(keys, chunk_id) for queries of one or two tokens (first, single), which
+    may stand inside other tokens and so share none. Only their first token is
+    looked up, among the distinct tokens of all chunks; the two meet on a piece
+    of up to GRAM letters."""
+    keyed = short.withColumn("gram", F.col("first").substr(F.lit(1), F.lit(GRAM)))
     placed = chunks.select("chunk_id", F.explode(F.array_distinct(F.concat(tokens(F.col("section_title")), tokens(F.col("text"))))).alias("token"))
+    pieces = F.flatten(F.array(*[grams(F.col("token"), F.lit(n)) for n in range(1, GRAM + 1)]))
+    vocabulary = placed.select("token").distinct().withColumn("gram", F.explode(pieces)).join(keyed, "gram")
     hit = F.when(F.col("single"), F.col("token").contains(F.col("first"))).otherwise(F.col("token").endswith(F.col("first")))
-    vocabulary = placed.select("token").distinct().join(short, hit).select(*KEY, "token")
-    return vocabulary.join(placed, "token").select(*KEY, "chunk_id").distinct()
+    return vocabulary.where(hit).select(*KEY, "token").distinct().join(placed, "token").select(*KEY, "chunk_id").distinct()
 
 
 def lexical_scores(chunks: DataFrame, queries: DataFrame, bonus: DataFrame | None = None) -> DataFrame:
@@ -100,19 +126,24 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, bonus: DataFrame | Non
     filtered = any(f in queries.columns for f in FILTERS)
     queries = with_filters(queries)
     asked = query_tokens(queries)
-    hits = asked.join(term_table(chunks), "token").groupBy(*KEY, "chunk_id").agg(F.sum(F.col("qn") * F.col("weight")).alias("hits"), F.count("*").alias("matched"))
+    hits = asked.join(term_table(chunks, asked), "token").groupBy(*KEY, "chunk_id").agg(F.sum(F.col("qn") * F.col("weight")).alias("hits"), F.count("*").alias("matched"))
     # A phrase stands in a chunk only if all of its tokens but the first and the
     # last, which may be parts of others, do; so texts meet few queries.
     words = tokens(F.col("query"))
     phrases = queries.select(*KEY, F.array_join(words, " ").alias("phrase"), F.size(F.array_distinct(words)).alias("distinct"))
-    maybe = hits.join(phrases.select(*KEY, "distinct"), KEY).where(F.col("matched") >= F.col("distinct") - 2).select(*KEY, "chunk_id")
-    maybe = maybe.unionByName(_short_phrase_chunks(chunks, queries)).distinct()
-    texts = chunks.select("chunk_id", F.array_join(tokens(F.col("section_title")), " ").alias("title"), F.array_join(tokens(F.col("text")), " ").alias("body"))
-    tested = maybe.join(phrases, KEY).join(texts, "chunk_id")
+    short = queries.where(F.size(words).between(1, 2)).select(*KEY, words[0].alias("first"), (F.size(words) == 1).alias("single"))
+    if short.limit(1).count():  # else no chunk is looked at for them
+        inside = _short_phrase_chunks(chunks, short).select(*KEY, "chunk_id", F.lit(0.0).alias("hits"), F.lit(2).cast("long").alias("matched"))
+        hits = hits.unionByName(inside).groupBy(*KEY, "chunk_id").agg(F.sum("hits").alias("hits"), F.max("matched").alias("matched"))
+    hits = hits.join(phrases, KEY)
+    possible = F.col("matched") >= F.col("distinct") - 2
+    maybe = hits.where(possible)
+    # Texts that no phrase may stand in are not split again.
+    texts = chunks.select("chunk_id", "section_title", "text").join(maybe.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    texts = texts.select("chunk_id", F.array_join(tokens(F.col("section_title")), " ").alias("title"), F.array_join(tokens(F.col("text")), " ").alias("body"))
     extra = F.when(F.col("title").contains(F.col("phrase")), TITLE_PHRASE).otherwise(0.0) + F.when(F.col("body").contains(F.col("phrase")), TEXT_PHRASE).otherwise(0.0)
-    tested = tested.select(*KEY, "chunk_id", extra.alias("extra")).where("extra > 0")
-    both = hits.select(*KEY, "chunk_id", "hits").join(tested, [*KEY, "chunk_id"], "full")
-    scored = both.select(*KEY, "chunk_id", (F.coalesce("hits", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0))).alias("score"))
+    tested = maybe.join(texts, "chunk_id").select(*KEY, "chunk_id", (F.col("hits") + extra).alias("score"))
+    scored = hits.where(~possible).select(*KEY, "chunk_id", F.col("hits").alias("score")).unionByName(tested)
     scored = _bonus(scored, queries, bonus)
     # What a bonus adds must exist and pass the filters, too.
     return (_only_filtered(scored, chunks, queries) if filtered or bonus is not None else scored).where("score > 0")
@@ -124,6 +155,22 @@ def _only_filtered(scores: DataFrame, chunks: DataFrame, queries: DataFrame) ->
     return scores.join(queries.select(*KEY, *_filters(queries)), KEY).join(tags, "chunk_id").where(passes(tags)).select(*KEY, "chunk_id", "score")
 
 
+def filtered_chunks(rows: DataFrame, filters: DataFrame) -> DataFrame:
+    """rows (with the tag arrays of their chunk) once for each filter that the
+    chunk passes, with filter_id instead of the arrays. They meet on the first
+    tag that a filter asks for; a filter without any meets all rows."""
+    fields = {name: f for name, f in FILTERS.items() if f in rows.columns}
+    key = F.coalesce(*[F.when(F.col(f"f_{name}").isNotNull(), F.concat(F.lit(f"{f}:"), F.col(f"f_{name}"))) for name, f in FILTERS.items()], F.lit(""))
+
+    def own(field: str) -> Column:
+        return F.transform(F.coalesce(F.col(field), F.array().cast("array<string>")), lambda t: F.concat(F.lit(f"{field}:"), t))
+
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), *map(own, dict.fromkeys(fields.values()))))
+    met = rows.withColumn("filter_key", F.explode(keys)).join(filters.withColumn("filter_key", key), "filter_key")
+    others = [c for c in rows.columns if c not in fields.values()]
+    return met.where(passes(rows)).select(*others, "filter_id")
+
+
 def bm25_scores(chunks: DataFrame, queries: DataFrame, bonus: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(keys, chunk_id, score > 0). N, document frequencies and the mean length
     are those of the chunks that pass the query's own filter, so they are
@@ -131,16 +178,14 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, bonus: DataFrame | None =
     queries = with_filters(queries)
     filters = queries.select(*_filters(queries)).distinct().withColumn("filter_id", F.xxhash64(*[F.coalesce(F.col(f"f_{f}"), F.lit("\\0")) for f in FILTERS]))
     words = tokens(F.concat_ws("\n", "section_title", "chapter_title", "text"))
-    tags = [f for f in dict.fromkeys(FILTERS.values()) if f in chunks.columns]
-    # Each filter with the chunks that pass it; distinct filters are few.
-    passing = chunks.select("chunk_id", *tags).join(F.broadcast(filters), passes(chunks)).select("filter_id", "chunk_id")
-    lengths = chunks.select("chunk_id", F.size(words).alias("dl"), *tags).join(F.broadcast(filters), passes(chunks))
+    fields = [f for f in dict.fromkeys(FILTERS.values()) if f in chunks.columns]
+    bags = chunks.select("chunk_id", *fields, words.alias("words"))
+    lengths = filtered_chunks(bags.select("chunk_id", *fields, F.size("words").alias("dl")), filters)
     stats = lengths.groupBy("filter_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    bags = chunks.select("chunk_id", words.alias("words"))
-    tf = bags.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("token")).groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
     asked = query_tokens(queries)
-    wanted = tf.join(asked.select("token").distinct(), "token", "left_semi")
-    placed = wanted.join(passing, "chunk_id")
+    each = asked_only(bags.select("chunk_id", F.size("words").alias("dl"), *fields, F.explode("words").alias("token")), asked)
+    tf = each.groupBy("chunk_id", "dl", "token", *fields).agg(F.count("*").alias("tf"))
+    placed = filtered_chunks(tf, filters)
     df = placed.groupBy("filter_id", "token").agg(F.count("*").alias("df"))
     weighed = placed.join(stats, "filter_id").join(df, ["filter_id", "token"])
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -157,7 +202,10 @@ def top_k(scores: DataFrame, chunks: DataFrame, k: int = 5, partition: list[str]
     """scores with rank 1..k for each query: by score, then document, section
     number in natural order, and chunk id."""
     keys = partition or KEY
-    named = scores.join(chunks.select("chunk_id", "doc_id", "section_number"), "chunk_id")
+    # Those that k others beat by score alone go before anything is joined.
+    best = Window.partitionBy(*keys).orderBy(F.col("score").desc())
+    scores_ = scores.withColumn("_place", F.rank().over(best)).where(F.col("_place") <= k).drop("_place")
+    named = scores_.join(chunks.select("chunk_id", "doc_id", "section_number"), "chunk_id")
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "doc_id", *section_order(F.col("section_number")), "chunk_id")
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*scores.columns, "rank")
 

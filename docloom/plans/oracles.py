@@ -166,7 +166,7 @@ act AS (
     AND (TRY_CAST(effective_to AS DATE) IS NULL OR DATE '1998-06-15' <= TRY_CAST(effective_to AS DATE)))"""
 
 # Issues of user turns, and the sources that they lead to.
-QUESTIONS = "uq AS (SELECT DISTINCT ON (conv_id, turn) conv_id || '-' || turn AS question_id, text AS question FROM conversations WHERE role = 'user')"
+QUESTIONS = "uq AS (SELECT conv_id || '-' || turn AS question_id, min(text) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id, turn)"
 ISSUES = f"""
 {QUESTIONS},
 nq AS (SELECT *, {norm("question")} AS n FROM uq),
@@ -205,7 +205,7 @@ RELEVANT = f"""
 rel AS (
   SELECT b.item_id AS question_id, CAST(d.doc_id AS VARCHAR) AS chunk_id
   FROM (SELECT item_id, array_to_string({toks("text")}, ' ') AS p, len({toks("text")}) AS n FROM benchmark) b
-    JOIN (SELECT doc_id, array_to_string({toks("text")}, ' ') AS t FROM documents) d ON b.n >= 5 AND contains(' ' || d.t || ' ', ' ' || b.p || ' ')),
+    JOIN (SELECT doc_id, array_to_string({toks("text")}, ' ') AS t FROM documents) d ON b.n > 0 AND contains(' ' || d.t || ' ', ' ' || b.p || ' ')),
 cases AS (
   SELECT CAST(b.item_id AS VARCHAR) AS case_id, CAST(b.item_id + 1 AS VARCHAR) AS banned, coalesce(r.ids, []) AS ids
   FROM benchmark b LEFT JOIN (SELECT question_id, list(chunk_id ORDER BY CAST(chunk_id AS BIGINT)) AS ids FROM rel GROUP BY ALL) r ON r.question_id = b.item_id)"""
@@ -310,7 +310,7 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY use) AS citation FROM u) SELECT s.question_id, s.issue_type, s.chunk_id, c.citation FROM sel s JOIN c USING (question_id, chunk_id)""",
         "active_documents": f"WITH {RECORDS} SELECT ord, doc_id, document_type FROM act",
         "current_notices": f"WITH {RECORDS} SELECT doc_id, array_to_string(areas, '|') AS areas FROM act WHERE document_type IN ('semester_notice', 'annual_notice')",
-        "missing_notice": f"""WITH {RECORDS}, {QUESTIONS}, nt AS (SELECT doc_id, areas, doc_id IN (SELECT doc_id FROM rec WHERE ord % 3 = 0) AS held FROM act WHERE document_type IN ('semester_notice', 'annual_notice')),
+        "missing_notice": f"""WITH {RECORDS}, {QUESTIONS}, nt AS (SELECT doc_id, areas, doc_id IN (SELECT doc_id FROM rec WHERE ord IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) AS held FROM act WHERE document_type IN ('semester_notice', 'annual_notice')),
             pa AS (SELECT area, count(*) AS n, sum(held::INT) AS m FROM (SELECT DISTINCT unnest(areas) AS area, doc_id, held FROM nt) GROUP BY area), tot AS (SELECT count(*) AS n, coalesce(sum(held::INT), 0) AS m FROM nt),
             qs AS (SELECT question_id, CASE WHEN length(question) % 7 < 6 THEN CAST(length(question) % 7 AS VARCHAR) END AS area,
               length(question) % 2 = 0 OR {has(norm("question"), "hoc ky nay", "deadline", "thoi han", "khi nao", "bao gio", "lich thi", "ke hoach")} AS needs FROM uq)
