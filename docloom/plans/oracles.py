@@ -3,6 +3,9 @@ rather than from the Spark plans."""
 
 from __future__ import annotations
 
+from docloom.plans.profile import POLICY_ISSUES, POLICY_SELECTION, POLICY_TAGS, TAG_FIELDS, When
+from docloom.plans.queries import POLICY_DOCUMENT, rule_phrases
+
 NL = "chr(10)"
 
 
@@ -232,6 +235,81 @@ def _named(sql: str, name: str) -> str:
 PASSED = "issue_types_pass AND first_chunk_pass AND chunk_any_pass AND answer_contains_pass AND negative_chunk_pass"
 
 
+def _quoted(*values: str) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _phrases(*places: str) -> str:
+    listed = rule_phrases()
+    return " || ' / ' || ".join(f"([{_quoted(*listed)}])[CAST(({p}) % {len(listed)} AS INTEGER) + 1]" for p in places)
+
+
+def _policy_chunks() -> str:
+    kinds = _quoted(*POLICY_SELECTION)
+    return f"""pc AS (
+  SELECT l_orderkey, l_linenumber, l_quantity, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS chunk_id, CASE WHEN l_partkey % 3 = 0 THEN '{POLICY_DOCUMENT}' ELSE 'order' || l_orderkey END AS doc_id, CAST(24 + l_linenumber % 7 AS VARCHAR) AS sec,
+    {_phrases("l_partkey")} AS title, upper({_phrases("l_partkey * 7", "l_suppkey * 31 + l_linenumber", "l_orderkey * 13 + l_partkey")}) AS body, ([{kinds}])[CAST(l_partkey % {len(POLICY_SELECTION)} AS INTEGER) + 1] AS area FROM lineitem)"""
+
+
+def _policy_tags() -> str:
+    """The rules as the data states them, a list of (condition, tag) for each
+    field; the first of equal tags stays."""
+    listed: dict[str, list[str]] = {f: [] for f in TAG_FIELDS}
+    for g in POLICY_TAGS:
+        gate = has("t", *g.gate) if g.document is None else f"({has('t', *g.gate)} OR (doc_id = '{g.document}' AND sec IN ({_quoted(*g.sections)})))"
+        for r in g.rules:
+            holds = " AND ".join([gate, *(has("t", *words) for words in (r.any_of, r.and_any_of) if words)])
+            for name, tag in r.tags:
+                listed[name].append(f"CASE WHEN {holds} THEN '{tag}' END")
+    fields = ", ".join(f"list_filter([{', '.join(cases) or 'NULL'}], lambda x: x IS NOT NULL) AS {name}" for name, cases in listed.items())
+    once = ", ".join(f"array_to_string(list_filter({name}, lambda x, i: list_position({name}, x) = i), '|') AS {name}" for name in listed)
+    return f"WITH {_policy_chunks()}, f AS (SELECT *, {norm('title')} || ' ' || {norm('body')} AS t FROM pc), a AS (SELECT chunk_id, {fields} FROM f) SELECT chunk_id, {once} FROM a"
+
+
+def _policy_issues() -> str:
+    parts, generic = [], next(i for i in POLICY_ISSUES if i.issue_type == "generic")
+    for k, i in enumerate(POLICY_ISSUES):
+        if i.keywords:
+            cases = "".join(f" WHEN {has('n', *words)} THEN {_quoted(query)}" for words, query in i.query_when)
+            query = f"CASE{cases} ELSE {_quoted(i.query_default)} END" if cases else _quoted(i.query_default)
+            parts.append(f"SELECT question_id, {k} AS ord, {_quoted(i.issue_type)} AS issue_type, {_quoted(i.policy_area)} AS policy_area, {query} AS query, {_quoted(i.label)} AS label FROM nq WHERE {has('n', *i.keywords)}")
+    return f"""WITH q AS (SELECT o_orderkey AS question_id, 'Hỏi: ' || upper({_phrases("o_orderkey * 17", "o_custkey * 5 + 3")}) AS question FROM orders), nq AS (SELECT *, {norm("question")} AS n FROM q),
+        al AS ({" UNION ALL ".join(parts)})
+        SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY ord) - 1 AS issue_idx, issue_type, policy_area, query, label FROM al UNION ALL
+        SELECT question_id, 0, 'generic', NULL, question, {_quoted(generic.label)} FROM nq WHERE question_id NOT IN (SELECT question_id FROM al)"""
+
+
+def _when(w: When) -> str:
+    parts = [f"{part} IN ({_quoted(*values)})" for part, values in (("sec", w.section),) if values] + [f"sec NOT IN ({_quoted(*w.not_section)})"] * bool(w.not_section)
+    parts += [has(x, *words) for x, words in (("nt", w.title), ("nq", w.query)) if words] + [f"NOT {has(x, *words)}" for x, words in (("nt", w.no_title), ("nq", w.no_query)) if words]
+    return " AND ".join(parts + ([] if w.area is None else [f"area {'=' if w.area else '<>'} kind"])) or "true"
+
+
+def _policy_sources(most: int) -> str:
+    """sel: the sources of each order's issue by the rules of its type."""
+    kinds = list(POLICY_SELECTION)
+    of = lambda parts: "CASE kind " + " ".join(f"WHEN '{k}' THEN {parts(POLICY_SELECTION[k])}" for k in kinds) + " END"
+    priority = of(lambda s: "CASE" + "".join(f" WHEN {_when(w)} THEN {v}" for w, v in s.priorities) + " END")
+    bonus = of(lambda s: "(" + " + ".join(f"CASE WHEN {_when(w)} THEN {v} ELSE 0 END" for w, v in s.bonuses) + ")")
+    keep = of(lambda s: "(" + " OR ".join(f"(priority >= {least} AND {_when(w)})" for least, w in s.keep) + ")")
+    alone = of(lambda s: "(" + (" OR ".join(f"(priority = {p} AND {_when(w)})" for p, w in s.not_alone) or "false") + ")")
+    return f"""{_policy_chunks()},
+        cd AS (SELECT l_orderkey AS question_id, chunk_id, doc_id, CAST(CAST(floor(l_quantity % 10) AS INTEGER) AS VARCHAR) AS sec, {norm("title")} AS nt, area, l_quantity AS own,
+          ([{_quoted(*kinds)}])[CAST(l_orderkey % {len(kinds)} AS INTEGER) + 1] AS kind, {norm(_phrases("l_orderkey * 17", "l_orderkey * 5 + 3"))} AS nq FROM pc),
+        p1 AS (SELECT *, {priority} AS priority, CAST({bonus} AS DOUBLE) AS bonus FROM cd),
+        p2 AS (SELECT *, {keep} AS keep, {alone} AS not_alone, priority >= 0 AND own + bonus > 0 AS useful FROM p1),
+        p3 AS (SELECT *, bool_or(useful) OVER (PARTITION BY question_id) AS has_some FROM p2),
+        p4 AS (SELECT *, CASE WHEN has_some THEN own + bonus ELSE own END AS score FROM p3 WHERE useful OR NOT has_some),
+        p5 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN has_some THEN priority ELSE 0 END DESC, score DESC, doc_id, CAST(sec AS INTEGER), chunk_id) AS rank FROM p4),
+        sel AS (SELECT * FROM p5 WHERE rank <= {most})"""
+
+
+def _policy_pruned(most: int) -> str:
+    return f"""SELECT CAST({most} AS BIGINT) AS most, question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS rank FROM (
+        WITH {_policy_sources(most)}, k AS (SELECT *, keep AND NOT ({most} = 1 AND not_alone) AS stays FROM sel), k2 AS (SELECT *, bool_or(stays) OVER (PARTITION BY question_id) AS any_stays FROM k)
+        SELECT question_id, chunk_id, rank FROM k2 WHERE stays OR (NOT any_stays AND rank = 1))"""
+
+
 def _event_admission() -> str:
     return """
 WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -267,6 +345,10 @@ def oracle_sql() -> dict[str, str]:
         "chunks_per_doc": f"WITH {LINES}, {MERGED} SELECT doc_id, count(*) AS n_chunks FROM merged GROUP BY doc_id",
         "annotate_tags": f"""WITH {ANNOTATED} SELECT chunk_id, array_to_string(policy_area, '|') AS policy_area, array_to_string(action_tags, '|') AS action_tags, array_to_string(procedure_tags, '|') AS procedure_tags,
             array_to_string(evidence_groups, '|') AS evidence_groups, array_to_string(risk_tags, '|') AS risk_tags, array_to_string(requirement_tags, '|') AS requirement_tags FROM a""",
+        "policy_tags": _policy_tags(),
+        "policy_issues": _policy_issues(),
+        "policy_selection": f"WITH {_policy_sources(3)} SELECT question_id, chunk_id, priority, score, rank FROM sel",
+        "policy_pruning": f"{_policy_pruned(3)} UNION ALL {_policy_pruned(1)}",
         "tag_frequency": f"WITH {ANNOTATED} SELECT field, tag, count(*) AS n_chunks FROM tg WHERE field IN ('policy_area', 'action_tags', 'risk_tags') GROUP BY ALL",
         "cross_references": """WITH l AS (SELECT l_orderkey || '-' || l_linenumber AS chunk_id, CASE WHEN l_quantity > 25 THEN CAST(l_linenumber AS VARCHAR) END AS own, * FROM lineitem)
             SELECT chunk_id, 1 AS level, CAST(0 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS diem, CAST(l_linenumber AS VARCHAR) AS khoan, CAST(l_suppkey % 50 AS VARCHAR) AS dieu FROM l UNION ALL

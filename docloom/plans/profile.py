@@ -212,11 +212,13 @@ class When:
 class Selection:
     """For one issue type: priorities, the first that holds; bonuses, the sum of
     those that hold; keep, [(least priority, condition)] of which one must hold
-    for a source to survive pruning."""
+    for a source to survive pruning. not_alone: [(priority, condition)] of the
+    sources that do not survive as an issue's only one."""
 
     priorities: tuple[tuple[When, int], ...]
     bonuses: tuple[tuple[When, float], ...]
     keep: tuple[tuple[int, When], ...]
+    not_alone: tuple[tuple[int, When], ...] = ()
 
 
 def _titled(*words: str) -> Selection:
@@ -248,6 +250,7 @@ POLICY_SELECTION = {
             (When(no_query=("ho so",), section=("4",), title=("dieu kien",)), 50.0), (When(no_query=("ho so",), section=("5",)), 20.0), (When(area=False, not_section=("4", "5")), -30.0),
         ),
         ((2, When(query=("ho so",))), (3, When()), (2, When(section=("5",), query=DOSSIER))),
+        ((2, When(no_query=("ho so",))),),
     ),
     "foreign_language_requirement": Selection(
         (

@@ -7,16 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import temporal, text
 from docloom.operators import annotation, chunking, evaluation, graph, issues, references, registry, requests, retrieval, selection
-from docloom.plans.profile import Issue, Profile, Selection, TagGroup, TagRule, When
+from docloom.plans.profile import POLICY_ISSUES, POLICY_SELECTION, POLICY_TAGS, TAG_FIELDS, Issue, Profile, Selection, TagGroup, TagRule, When
 from docloom.plans.service import answer_questions
 from docloom.sources.frontmatter import parse_frontmatter
 
 AS_OF = "1998-06-15"
+# The document whose sections the tag rules name.
+POLICY_DOCUMENT = next(g.document for g in POLICY_TAGS if g.document)
 
 # Rules for the invented prose of the tables.
 TAGS = (
@@ -135,6 +137,39 @@ def ranked_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.withColumn("plan", F.concat_ws("|", "issue_type", "query")).drop("policy_area").join(found, "plan").select("question_id", "issue_idx", "issue_type", "query", "chunk_id", "doc_id", "section_number", "section_title", "policy_area", "score", "rank")
 
 
+def rule_phrases() -> list[str]:
+    """Every phrase that a rule of the built-in profile looks for, in order."""
+    found = [p for g in POLICY_TAGS for p in (*g.gate, *(q for r in g.rules for q in (*r.any_of, *r.and_any_of)))]
+    found += [p for i in POLICY_ISSUES for p in (*i.keywords, *(q for words, _ in i.query_when for q in words))]
+    return sorted({*found, *(p for s in POLICY_SELECTION.values() for w, _ in (*s.priorities, *s.bonuses) for p in (*w.title, *w.query, *w.no_query, *w.no_title))})
+
+
+def phrase_at(*places: str) -> Column:
+    """A text of the phrases at some places, numbers from columns."""
+    listed = F.array(*map(F.lit, rule_phrases()))
+    return F.concat_ws(" / ", *[F.element_at(listed, F.expr(f"int(({p}) % {len(rule_phrases())}) + 1")) for p in places])
+
+
+def policy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of lineitem as chunks whose title and text are phrases of the rules."""
+    document = F.when(F.col("l_partkey") % 3 == 0, POLICY_DOCUMENT).otherwise(F.concat(F.lit("order"), F.col("l_orderkey").cast("string")))
+    areas = F.element_at(F.array(*map(F.lit, POLICY_SELECTION)), F.expr(f"int(l_partkey % {len(POLICY_SELECTION)}) + 1"))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("chunk_id"), document.alias("doc_id"), (24 + F.col("l_linenumber") % 7).cast("string").alias("section_number"),
+        phrase_at("l_partkey").alias("section_title"), F.upper(phrase_at("l_partkey * 7", "l_suppkey * 31 + l_linenumber", "l_orderkey * 13 + l_partkey")).alias("text"), F.array(areas, F.lit("other")).alias("policy_area"), "l_quantity",
+    )
+
+
+def policy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order an issue with a query of phrases, its lines the candidates."""
+    kinds = F.element_at(F.array(*map(F.lit, POLICY_SELECTION)), F.expr(f"int(l_orderkey % {len(POLICY_SELECTION)}) + 1"))
+    rows = policy_chunks(spark, sf_dir).withColumn("section_number", (F.expr("l_quantity % 10")).cast("int").cast("string"))
+    return rows.select(
+        F.col("l_orderkey").alias("question_id"), F.lit(0).alias("issue_idx"), kinds.alias("issue_type"), phrase_at("l_orderkey * 17", "l_orderkey * 5 + 3").alias("query"),
+        "chunk_id", "doc_id", "section_number", "section_title", "policy_area", F.col("l_quantity").alias("score"), F.col("l_linenumber").alias("rank"),
+    )
+
+
 # --- queries -----------------------------------------------------------------
 
 
@@ -206,6 +241,27 @@ def annotate_tags(spark, sf_dir):
     return a.select("chunk_id", *[F.array_join(c, "|").alias(c) for c in ("policy_area", "action_tags", "procedure_tags", "evidence_groups", "risk_tags", "requirement_tags")])
 
 
+def policy_tags(spark, sf_dir):
+    a = annotation.annotate_chunks(policy_chunks(spark, sf_dir).select("chunk_id", "doc_id", "section_number", "section_title", "text"))
+    return a.select("chunk_id", *[F.array_join(c, "|").alias(c) for c in TAG_FIELDS])
+
+
+def policy_issues(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("Hỏi: "), F.upper(phrase_at("o_orderkey * 17", "o_custkey * 5 + 3"))).alias("question"))
+    return issues.infer_issues(asked).select("question_id", F.col("issue_idx").cast("long").alias("issue_idx"), "issue_type", "policy_area", "query", "label")
+
+
+def policy_selection(spark, sf_dir):
+    s = selection.select_sources(policy_candidates(spark, sf_dir), 3)
+    return s.select("question_id", "chunk_id", "priority", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def policy_pruning(spark, sf_dir):
+    rows = policy_candidates(spark, sf_dir)
+    three, one = (selection.prune_sources(selection.select_sources(rows, n), n).withColumn("most", F.lit(n).cast("long")) for n in (3, 1))
+    return three.unionByName(one).select("most", "question_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
 def tag_frequency(spark, sf_dir):
     return annotation.tag_frequency(annotated_documents(spark, sf_dir), ("policy_area", "action_tags", "risk_tags"))
 
@@ -397,7 +453,7 @@ def rate_limit_admitted(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        normalize_documents, token_counts, slugs, previews, date_checks, natural_order, time_contexts, frontmatter, chunk_lines, chunk_merge, chunks_per_doc, annotate_tags, tag_frequency,
+        normalize_documents, token_counts, slugs, previews, date_checks, natural_order, time_contexts, frontmatter, chunk_lines, chunk_merge, chunks_per_doc, annotate_tags, tag_frequency, policy_tags, policy_issues, policy_selection, policy_pruning,
         cross_references, link_references, link_support, external_nodes, isolated_references, reference_edges, document_nodes, tag_nodes, tag_edges, graph_summary, chunks_by_tag, two_hop_bonus,
         lexical_topk, lexical_filtered, lexical_bonus, bm25_topk, issue_inference, answer_templates, select_sources, prune_sources, multi_issue_union, raw_ranking, citation_numbers, answers,
         active_documents, current_notices, missing_notice, registry_validation, document_priority, passage_matches, eval_checks, ir_metrics, backend_compare,
