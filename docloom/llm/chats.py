@@ -34,7 +34,9 @@ def tie_order(turns: DataFrame) -> DataFrame:
     """(ckey, turn, t1, t2, tie) of turns that share their number with another
     turn of the conversation: their place by role and text. Equal turns have one
     place. turns: ckey, turn, role, text, t1, t2."""
+    # Written first: few turns share a number, and their texts alone move.
     shared = turns.groupBy("ckey", "turn").agg(F.count("*").alias("c")).where("c > 1").select(F.col("ckey").alias("k"), F.col("turn").alias("n"))
+    shared = materialize(shared, "chat-shared")
     tied = turns.join(shared, (F.col("ckey") == F.col("k")) & F.col("turn").eqNullSafe(F.col("n"))).select("ckey", "turn", "role", "text", "t1", "t2").distinct()
     return tied.select("ckey", "turn", "t1", "t2", F.row_number().over(Window.partitionBy("ckey", "turn").orderBy("role", "text")).alias("tie"))
 
