@@ -224,15 +224,22 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_docs
             hashes = [[h for s in d for h in s] for d in bags] + [[h] for h in new]
             yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(toxic, pa.int32()), pa.array(sizes, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["place", "toxic", "sizes", "hashes"])
 
-    found = sample.mapInArrow(encode, "place long, toxic int, sizes array<int>, hashes array<long>").toArrow().combine_chunks()
+    bags = collect_bags(sample.mapInArrow(encode, "place long, toxic int, sizes array<int>, hashes array<long>"), list(vocabulary))
     shared.unpersist()
+    return fit_bags(bags)
+
+
+def collect_bags(encoded: DataFrame, vocabulary: list[str]) -> Bags:
+    """Bags from the rows of `learn`; what is collected for them is let go here,
+    before the weights are fitted."""
+    found = encoded.toArrow().combine_chunks()
     of_words = found.filter(found.column("place").is_null())
     seen = dict(zip((h[0] for h in of_words.column("hashes").to_pylist()), of_words.column("sizes").to_pylist(), strict=True))
-    docs_ = found.filter(found.column("place").is_valid()).sort_by("place").combine_chunks()
-    sizes, hashes = docs_.column("sizes").combine_chunks(), docs_.column("hashes").combine_chunks()
-    per_doc = np.asarray(sizes.value_lengths()) if docs_.num_rows else np.zeros(0, int)
-    flat = lambda column: np.asarray(column.flatten()) if docs_.num_rows else np.zeros(0, int)
-    return fit_bags(Bags.build(np.asarray(docs_.column("toxic")), per_doc, flat(sizes), flat(hashes), seen, list(vocabulary)))
+    found = found.filter(found.column("place").is_valid()).sort_by("place").combine_chunks()
+    sizes, hashes = found.column("sizes").combine_chunks(), found.column("hashes").combine_chunks()
+    per_doc = np.asarray(sizes.value_lengths()) if found.num_rows else np.zeros(0, int)
+    flat = lambda column: np.asarray(column.flatten()) if found.num_rows else np.zeros(0, int)
+    return Bags.build(np.asarray(found.column("toxic")), per_doc, flat(sizes), flat(hashes), seen, vocabulary)
 
 
 def score(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
