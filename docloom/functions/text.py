@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Letters of the pieces by which phrases and texts are joined.
+GRAM = 3
+
+
 @lru_cache(maxsize=1)
 def fold_table() -> tuple[str, str]:
     """Letters that carry a mark and the single letters they fold to, from the
@@ -78,6 +82,18 @@ def contains_any(text: Column, phrases: list[str] | tuple[str, ...]) -> Column:
     return found
 
 
+def grams(word: Column, size: Column) -> Column:
+    """The distinct pieces of `size` letters of a word."""
+    starts = F.when(F.length(word) >= size, F.sequence(F.lit(1), F.length(word) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: word.substr(i, size)))
+
+
+def pieces(text: Column) -> Column:
+    """All distinct pieces of 1 to GRAM letters. A phrase stands in a text only
+    if its first GRAM letters do, so the two can be joined by equal pieces."""
+    return F.flatten(F.array(*[grams(text, F.lit(n)) for n in range(1, GRAM + 1)]))
+
+
 def section_order(number: Column) -> list[Column]:
     """Sort keys: numbers first and by value, then other strings."""
     n = strip(F.coalesce(number.cast("string"), F.lit("")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import normalize_text
+from docloom.functions.text import GRAM, normalize_text, pieces
 from docloom.operators.references import cross_references
 
 # Tag fields with the prefix of their nodes, node type and edge type.
@@ -116,7 +116,8 @@ def split_by_support(resolved: DataFrame, min_support: int = 2) -> DataFrame:
 
 
 def external_nodes(resolved: DataFrame, min_support: int = 2) -> DataFrame:
-    found = resolved.where("not internal").groupBy("target").agg(F.first("dieu").alias("dieu"), F.first("khoan").alias("khoan"), F.count_distinct("chunk_id").alias("support")).where(F.col("support") >= min_support)
+    named = F.min(F.struct("dieu", "khoan"))
+    found = resolved.where("not internal").groupBy("target").agg(named.alias("n"), F.count_distinct("chunk_id").alias("support")).where(F.col("support") >= min_support).select("target", "n.*", "support")
     label = F.concat(F.lit("Điều "), "dieu", F.coalesce(F.concat(F.lit(" Khoản "), "khoan"), F.lit("")))
     properties = F.create_map(F.lit("referenced_dieu"), "dieu", F.lit("referenced_khoan"), F.coalesce("khoan", F.lit("")), F.lit("support"), F.col("support").cast("string"))
     return found.select(*_node(F.concat(F.lit("chunk:"), "target"), "ExternalReference", label, properties))
@@ -151,6 +152,13 @@ def build_graph(chunks: DataFrame, min_support: int = 2) -> tuple[DataFrame, Dat
     return nodes, edges
 
 
+def node_index(nodes: DataFrame, order_col: str) -> DataFrame:
+    """One row for each node_id; of rows that share it the last one counts."""
+    others = [c for c in nodes.columns if c != "node_id"]
+    last = nodes.groupBy("node_id").agg(F.max_by(F.struct(*others), order_col).alias("n"))
+    return last.select("node_id", "n.*")
+
+
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, kind, n)."""
     kinds = nodes.select(F.lit("node").alias("part"), F.col("node_type").alias("kind")).unionByName(edges.select(F.lit("edge").alias("part"), F.col("edge_type").alias("kind")))
@@ -170,11 +178,13 @@ def chunks_by_tag(nodes: DataFrame, edges: DataFrame, tag_type: str, tag_value:
 
 def active_tags(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, node_id): tags whose value is in the question, as a token
-    or as plain text. questions: question_id, question. Tag values are few, so
-    their table is the small side of the test."""
+    or as plain text. questions: question_id, question. Both sides meet on the first
+    letters of the value; then all of it is tested."""
     tags = nodes.where(F.col("node_type").isin([k[1] for k in TAG_KINDS.values()])).select("node_id", normalize_text(F.col("properties").getItem("value")).alias("value")).where("value <> ''")
     asked = questions.select("question_id", normalize_text(F.col("question")).alias("q"))
-    return asked.join(tags, F.col("q").contains(F.col("value"))).select("question_id", "node_id")
+    keyed = tags.withColumn("gram", F.col("value").substr(1, GRAM))
+    near = asked.select("question_id", "q", F.explode(pieces(F.col("q"))).alias("gram")).join(keyed, "gram")
+    return near.where(F.col("q").contains(F.col("value"))).select("question_id", "node_id").distinct()
 
 
 def expand_two_hops(seeds: DataFrame, links: DataFrame, near: float = SEED_BONUS, far: float = FAR_BONUS) -> DataFrame:

@@ -92,6 +92,16 @@ def unavailable_notices(records: DataFrame, chunks: DataFrame, as_of: str) -> Da
     return current_notices(records, as_of).join(chunks.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def notice_alerts(questions: DataFrame, records: DataFrame, chunks: DataFrame, as_of: str) -> DataFrame:
+    """(question_id, doc_id): for a question that warns although its area has
+    active notices, each of those notices; none of them has a chunk. A question
+    without an area has the notices of all."""
+    warned = missing_notice(questions, records, chunks, as_of).where("warn and active_notices > 0").select("question_id", "policy_area")
+    areas = F.filter(F.coalesce("areas", F.array().cast("array<string>")), lambda a: a.isNotNull())
+    silent = unavailable_notices(records, chunks, as_of).select("doc_id", F.explode(F.concat(areas, F.array(F.lit(None).cast("string")))).alias("area")).distinct()
+    return warned.join(silent, F.col("policy_area").eqNullSafe(F.col("area"))).select("question_id", "doc_id")
+
+
 def prioritize_documents(records: DataFrame, question_is_timely: Column | bool, policy_area: str | None, as_of: str, order_col: str = "ord") -> DataFrame:
     """Active records with rank: those of the area first, then by type (notices
     first for timely questions, regulations first for others), then in order."""

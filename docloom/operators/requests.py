@@ -14,10 +14,15 @@ from docloom.functions.text import strip
 
 def validate_requests(requests: DataFrame, max_length: int = 2000, max_top_k: int = 10) -> DataFrame:
     """requests (question, top_k) with status: 200, or 422 for a question that
-    is blank or too long and for a top_k out of range. A null top_k is 5."""
+    is blank or too long and for a top_k out of range; of the others 503 where
+    the column ready is false and 500 where the column failed is true, if there
+    are such columns. A null top_k is 5, a null ready true, a null failed false."""
     q, k = F.coalesce("question", F.lit("")), F.coalesce("top_k", F.lit(5))
     ok = (F.length(q) <= max_length) & (strip(q) != "") & k.between(1, max_top_k)
-    return requests.withColumn("top_k", k).withColumn("status", F.when(ok, 200).otherwise(422))
+    ready = F.coalesce("ready", F.lit(True)) if "ready" in requests.columns else F.lit(True)
+    failed = F.coalesce("failed", F.lit(False)) if "failed" in requests.columns else F.lit(False)
+    status = F.when(~ok, 422).when(~ready, 503).when(failed, 500).otherwise(200)
+    return requests.withColumn("top_k", k).withColumn("status", status)
 
 
 def window_counts(events: DataFrame, client: str, ts: str, seconds: int) -> DataFrame:
@@ -30,7 +35,7 @@ def window_counts(events: DataFrame, client: str, ts: str, seconds: int) -> Data
 def admit(events: DataFrame, client: str, ts: str, key: str, limit: int = 30, seconds: int = 60) -> DataFrame:
     """(client, key, ts, admitted, retry_after): an event is admitted if fewer
     than `limit` admitted ones lie in the window before it; rejected events do
-    not count. Sequential for each client: rows come in order and only the
+    not count. Rows without a time are no events and are left out. Sequential for each client: rows come in order and only the
     admitted times of one client's window are held, whatever its number of
     events."""
     fields = events.select(F.col(client).alias("client"), F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))

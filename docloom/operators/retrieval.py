@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import section_order, tokens
+from docloom.functions.text import GRAM, pieces, section_order, tokens
 
 KEY = ["question_id", "issue_idx"]
 FILTERS = {"policy_area": "policy_area", "action_tag": "action_tags", "requirement_tag": "requirement_tags", "risk_tag": "risk_tags"}
@@ -24,7 +24,6 @@ TITLE, CHAPTER, TEXT, TAGS = 2.0, 0.5, 1.0, 1.0
 TITLE_PHRASE, TEXT_PHRASE = 5.0, 3.0
 K1, B = 1.5, 0.75
 BROADCAST_TOKENS = 200_000
-GRAM = 3
 
 
 def with_filters(queries: DataFrame) -> DataFrame:
@@ -101,12 +100,6 @@ def _bonus(scores: DataFrame, queries: DataFrame, bonus: DataFrame | None) -> Da
     return both.select(*KEY, "chunk_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("score"))
 
 
-def grams(word: Column, size: Column) -> Column:
-    """The distinct pieces of `size` letters of a word."""
-    starts = F.when(F.length(word) >= size, F.sequence(F.lit(1), F.length(word) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: word.substr(i, size)))
-
-
 def _short_phrase_chunks(chunks: DataFrame, short: DataFrame) -> DataFrame:
     """(keys, chunk_id) for queries of one or two tokens (first, single), which
     may stand inside other tokens and so share none. Only their first token is
@@ -114,8 +107,7 @@ def _short_phrase_chunks(chunks: DataFrame, short: DataFrame) -> DataFrame:
     of up to GRAM letters."""
     keyed = short.withColumn("gram", F.col("first").substr(F.lit(1), F.lit(GRAM)))
     placed = chunks.select("chunk_id", F.explode(F.array_distinct(F.concat(tokens(F.col("section_title")), tokens(F.col("text"))))).alias("token"))
-    pieces = F.flatten(F.array(*[grams(F.col("token"), F.lit(n)) for n in range(1, GRAM + 1)]))
-    vocabulary = placed.select("token").distinct().withColumn("gram", F.explode(pieces)).join(keyed, "gram")
+    vocabulary = placed.select("token").distinct().withColumn("gram", F.explode(pieces(F.col("token")))).join(keyed, "gram")
     hit = F.when(F.col("single"), F.col("token").contains(F.col("first"))).otherwise(F.col("token").endswith(F.col("first")))
     return vocabulary.where(hit).select(*KEY, "token").distinct().join(placed, "token").select(*KEY, "chunk_id").distinct()
 

@@ -149,6 +149,12 @@ tg AS (
   SELECT chunk_id, 'risk_tags', 'risk_tag', 'RiskTag', 'CHUNK_HAS_RISK_TAG', unnest(risk_tags) FROM a UNION ALL
   SELECT chunk_id, 'requirement_tags', 'requirement_tag', 'RequirementTag', 'CHUNK_HAS_REQUIREMENT_TAG', unnest(requirement_tags) FROM a)"""
 
+# Citations in texts made of lineitem.
+CITED = """WITH l AS (SELECT l_orderkey || '-' || l_linenumber AS chunk_id, CASE WHEN l_quantity > 25 THEN CAST(l_linenumber AS VARCHAR) END AS own, * FROM lineitem), cited AS (
+            SELECT chunk_id, l_orderkey AS doc, 1 AS level, CAST(0 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS diem, CAST(l_linenumber AS VARCHAR) AS khoan, CAST(l_suppkey % 50 AS VARCHAR) AS dieu FROM l UNION ALL
+            SELECT chunk_id, l_orderkey, 1, 1, NULL, '3', own FROM l WHERE own IS NOT NULL UNION ALL SELECT chunk_id, l_orderkey, 0, 2, 'b', '2', CAST(l_partkey % 7 AS VARCHAR) FROM l UNION ALL
+            SELECT chunk_id, l_orderkey, 2, 3, NULL, NULL, CAST(l_orderkey % 5 AS VARCHAR) FROM l)"""
+
 # Links of pages.
 LINKS = """
 raw AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS ls FROM pages),
@@ -182,14 +188,8 @@ iss AS (
   SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY ord) - 1 AS issue_idx, issue_type, policy_area, query, label FROM al UNION ALL
   SELECT question_id, 0, 'generic', NULL, coalesce(question, ''), 'Anything' FROM nq WHERE question_id NOT IN (SELECT question_id FROM al))"""
 
-SOURCES = f"""
-{ISSUES}, {CHUNKS}, {TERMS},
-{lexical("SELECT DISTINCT query AS question_id, query, CAST(NULL AS VARCHAR) AS wanted FROM iss WHERE issue_type <> 'generic'", k=8)},
-cand AS (
-  SELECT i.question_id, i.issue_idx, i.issue_type, i.query, b.chunk_id, c.doc_id, c.section_number AS sec, {norm("c.section_title")} AS title,
-    CASE c.lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' ELSE c.lang END AS area, b.score, b.rank
-  FROM iss i JOIN best b ON b.question_id = i.query JOIN chunks c USING (chunk_id) WHERE i.issue_type <> 'generic'),
-pri AS (
+# Candidates re-ranked by the rules of their issue.
+SELECTED = """pri AS (
   SELECT *, CASE issue_type WHEN 'english' THEN CASE WHEN area <> 'english' THEN -1 WHEN sec IN ('1', '2', '3') THEN 3 WHEN contains(title, 'tion') THEN 2 ELSE 1 END
       WHEN 'german' THEN CASE WHEN area <> 'german' THEN -1 WHEN contains(title, 'sch') THEN 2 ELSE 1 END ELSE 0 END AS priority,
     CASE issue_type WHEN 'english' THEN CASE WHEN area = 'english' THEN 10 ELSE 0 END + CASE WHEN sec IN ('1', '2', '3') THEN 50 ELSE 0 END + CASE WHEN area <> 'english' AND sec <> '5' THEN -30 ELSE 0 END
@@ -203,6 +203,92 @@ sel0 AS (
   FROM us2 WHERE useful OR NOT has_some),
 sel AS (SELECT * FROM sel0 WHERE rank <= 3)"""
 
+SOURCES = f"""
+{ISSUES}, {CHUNKS}, {TERMS},
+{lexical("SELECT DISTINCT query AS question_id, query, CAST(NULL AS VARCHAR) AS wanted FROM iss WHERE issue_type <> 'generic'", k=8)},
+cand AS (
+  SELECT i.question_id, i.issue_idx, i.issue_type, i.query, b.chunk_id, c.doc_id, c.section_number AS sec, {norm("c.section_title")} AS title,
+    CASE c.lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' ELSE c.lang END AS area, b.score, b.rank
+  FROM iss i JOIN best b ON b.question_id = i.query JOIN chunks c USING (chunk_id) WHERE i.issue_type <> 'generic'),
+{SELECTED}"""
+
+# Passages as questions, and the sources of their issues; bonus: SQL added to a score.
+BENCH_ISSUES = ISSUES.replace(QUESTIONS, "uq AS (SELECT CAST(item_id AS VARCHAR) AS question_id, text AS question FROM benchmark)")
+TEMPLATE = """CASE issue_type WHEN 'english' THEN CASE WHEN contains(query, 'tion') THEN 'Read the long English documents.' ELSE 'Read the English documents.' END
+            WHEN 'german' THEN 'Read the German documents.' WHEN 'french' THEN 'Read the French documents.' ELSE 'Read on.' END"""
+PRUNED = """
+kp AS (SELECT *, CASE issue_type WHEN 'english' THEN (priority >= 2 AND contains(query, 'tion')) OR priority >= 3 WHEN 'german' THEN priority >= 2 ELSE true END AS keep FROM sel),
+k2 AS (SELECT *, bool_or(keep) OVER (PARTITION BY question_id, issue_idx) AS any_kept FROM kp),
+pr AS (SELECT question_id, issue_idx, issue_type, chunk_id, score, row_number() OVER (PARTITION BY question_id, issue_idx ORDER BY rank) AS rank FROM k2 WHERE keep OR (NOT any_kept AND rank = 1))"""
+
+
+def answer_sources(bonus: str = "") -> str:
+    return f"""{BENCH_ISSUES}, {CHUNKS}, {TERMS},
+{lexical("SELECT question_id || '#' || issue_idx AS question_id, query, policy_area AS wanted FROM iss", bonus)},
+cand AS (
+  SELECT i.question_id, i.issue_idx, i.issue_type, i.query, b.chunk_id, c.doc_id, c.section_number AS sec, {norm("c.section_title")} AS title,
+    CASE c.lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' ELSE c.lang END AS area, b.score, b.rank
+  FROM iss i JOIN best b ON b.question_id = i.question_id || '#' || i.issue_idx JOIN chunks c USING (chunk_id)),
+{SELECTED}, {PRUNED}"""
+
+
+# Documents tagged with a token and citing the next, and the bonus by both.
+GRAPH = f"""
+dt AS (SELECT doc_id, list_reverse_sort(list_transform(({toks("text")})[1:8], lambda t: printf('%06d', length(t)) || t))[1] AS k FROM documents),
+tagged AS (SELECT doc_id, substr(k, 7) AS tag FROM dt WHERE k IS NOT NULL),
+active AS (SELECT DISTINCT CAST(b.item_id AS VARCHAR) AS question_id, t.tag FROM (SELECT item_id, {norm("text")} AS q FROM benchmark) b JOIN (SELECT DISTINCT tag FROM tagged) t ON contains(b.q, t.tag)),
+hops AS (SELECT doc_id AS s, doc_id + 1 AS t FROM documents UNION SELECT doc_id + 1, doc_id FROM documents),
+g0 AS (SELECT DISTINCT question_id, doc_id AS id FROM active JOIN tagged USING (tag)),
+g1 AS (SELECT DISTINCT question_id, t AS id FROM g0 JOIN hops ON s = id),
+g2 AS (SELECT DISTINCT question_id, t AS id FROM g1 JOIN hops ON s = id),
+gb AS (SELECT question_id, CAST(id AS VARCHAR) AS chunk_id, max(bonus) AS bonus FROM (SELECT *, 1.5::DOUBLE AS bonus FROM g0 UNION ALL SELECT *, 1.5 FROM g1 UNION ALL SELECT *, 1.25 FROM g2) GROUP BY ALL)"""
+
+
+def answer_sql() -> str:
+    shown = f"{strip(f"replace(substr(c.text, 1, 300), {NL}, ' ')")} || CASE WHEN length(c.text) > 300 THEN '...' ELSE '' END"
+    return f"""WITH {answer_sources()},
+            uses AS (SELECT question_id, chunk_id, min(issue_idx * 100 + rank) AS use FROM pr GROUP BY ALL),
+            cn AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY use) AS n FROM uses),
+            de AS (SELECT p.question_id, p.issue_idx, p.rank, n, p.issue_idx * 100 + p.rank = use AS is_first, CASE WHEN c.section_title = '' THEN c.chunk_id ELSE c.section_title END AS title, c.chunk_id, c.doc_id, printf('%.2f', p.score) AS s, {shown} AS shown
+              FROM pr p JOIN cn USING (question_id, chunk_id) JOIN chunks c USING (chunk_id)),
+            ci AS (SELECT question_id, issue_idx, string_agg('* [' || n || '] ' || title || ' — ' || doc_id || ' — score ' || s, {NL} ORDER BY rank) AS cites FROM de GROUP BY ALL),
+            se AS (SELECT question_id, string_agg('## ' || (issue_idx + 1) || '. ' || label || {NL} || {NL} || {TEMPLATE} || {NL} || {NL} || 'Căn cứ chính:' || {NL} || cites || {NL}, {NL} ORDER BY issue_idx) AS sections FROM ci JOIN iss USING (question_id, issue_idx) GROUP BY ALL),
+            dl AS (SELECT question_id, string_agg('[' || n || '] ' || title || {NL} || '* chunk_id: ' || chunk_id || {NL} || '* doc_id: ' || doc_id || {NL} || '* source_pdf: N/A' || {NL} || '* score: ' || s || {NL} || '* preview: ' || shown || {NL}, {NL} ORDER BY n) AS details
+              FROM de WHERE is_first GROUP BY ALL),
+            al2 AS (SELECT question_id, count(*) AS n, string_agg(label, ', ' ORDER BY issue_idx) AS labels, string_agg(issue_type, '|' ORDER BY issue_idx) AS issues FROM iss GROUP BY ALL),
+            ch AS (SELECT question_id, string_agg(chunk_id, '|' ORDER BY n) AS chunks FROM cn GROUP BY ALL)
+            SELECT question_id, issues, coalesce(chunks, '') AS chunks, contains(nq.n, 'tion') AS warn_missing_notice,
+              CASE WHEN sections IS NULL THEN 'Chưa tìm thấy quy định nào phù hợp.' ELSE '# Câu trả lời' || {NL} || {NL} || CASE WHEN al2.n > 1 THEN 'Câu hỏi có ' || al2.n || ' vấn đề: ' || labels || '.' ELSE 'Nhận định sơ bộ:' END || {NL} || {NL} || sections
+                || {NL} || '# Căn cứ chi tiết' || {NL} || {NL} || details || {NL} || '# Gợi ý kiểm tra thêm' || {NL} || {NL} || CASE WHEN contains(nq.n, 'tion') THEN 'Not known yet.' ELSE 'Please check.' END END AS answer
+            FROM nq JOIN al2 USING (question_id) LEFT JOIN se USING (question_id) LEFT JOIN dl USING (question_id) LEFT JOIN ch USING (question_id)"""
+
+
+def regulation_sql() -> str:
+    """The segments that each regulation is written with, merged by length."""
+    segments = (
+        ("preamble", "''", "''", "'__preamble'", "'Căn cứ ' || p"),
+        ("chapter_header", "ch", "''", f"'__chuong_' || {slug('ch')}", "'## ' || ch"),
+        ("dieu", "'Điều ' || art || '. Phạm vi ' || p", "art", "'__dieu_' || art", f"'## Điều ' || art || '. Phạm vi ' || p || '.' || {NL} || long"),
+        ("dieu", "'Điều 20'", "'20'", "'__dieu_20'", f"'### Điều 20' || {NL} || 'ngắn'"),
+        ("appendix", "'Phụ lục II. Bảng ' || p", "''", "'__phu_luc_ii'", f"'## Phụ lục II. Bảng ' || p || {NL} || 'dòng'"),
+        ("appendix_sub", "'Nơi cấp chứng chỉ'", "''", "'__phu_luc_ii__noi_cap_chung_chi'", f"'### Nơi cấp chứng chỉ' || {NL} || long"),
+        ("dieu", "'Điều 21. Trong phụ lục'", "'21'", "'__dieu_21'", f"'### Điều 21. Trong phụ lục' || {NL} || long"),
+        # A letter that is a Roman digit in either case is taken for the label.
+        ("appendix", "'Phụ lục ' || other || s", "''", f"'__phu_luc_' || CASE WHEN k % 4 = 0 THEN 'c' ELSE 'phu_luc_dac_biet_' || lower(s) END", f"'## Phụ lục ' || other || s || {NL} || '  thân bài' || {NL} || long"),
+    )
+    listed = " UNION ALL ".join(
+        f"SELECT k, {i} AS seg, '{kind}' AS chunk_type, {title} AS section_title, {number} AS section_number, doc_id || {name} AS chunk_id, CASE WHEN {i} = 0 THEN '' ELSE ch END AS chapter_title, {body} AS text FROM r" for i, (kind, title, number, name, body) in enumerate(segments)
+    )
+    firsts = ", ".join(f"arg_min({c}, seg) AS {c}" for c in ("chunk_type", "section_title", "section_number", "chunk_id", "chapter_title"))
+    return f"""WITH r AS (SELECT o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s, CAST(o_custkey % 9 + 1 AS VARCHAR) AS art, repeat('x ', CAST(o_custkey % 60 AS INTEGER)) || 'y' AS long, 'Chương I. Quy định ' || o_orderpriority AS ch,
+              CASE WHEN o_orderkey % 4 = 0 THEN 'chi tiết ' ELSE 'Đặc biệt ' END AS other, CASE WHEN o_orderkey % 3 <> 0 THEN 'QD-' || o_orderkey ELSE 'data_quy_dinh_' || o_orderkey END AS doc_id, CAST(o_custkey AS VARCHAR) AS decision_no,
+              CASE WHEN o_orderkey % 5 = 0 THEN 's' WHEN o_orderkey % 2 = 0 THEN 'p' ELSE 'o' END || o_orderkey AS source_pdf FROM orders),
+            sg AS ({listed}), st AS (SELECT *, seg = 0 OR length(text) >= 80 AS starts FROM sg), nb AS (SELECT *, CAST(sum(starts::INT) OVER (PARTITION BY k ORDER BY seg) AS BIGINT) AS chunk_no FROM st),
+            mg AS (SELECT k, chunk_no, {firsts}, string_agg(text, {NL} || {NL} ORDER BY seg) AS text FROM nb GROUP BY k, chunk_no)
+            SELECT r.doc_id, mg.chunk_id, mg.chunk_type, 'Quy định ' || k AS title, r.decision_no, mg.chapter_title, mg.section_title, mg.section_number, 'data/quy_dinh/' || k || '.md' AS source_path, r.source_pdf, mg.text, mg.chunk_no,
+              length(mg.text) AS char_count, {words("mg.text")} AS word_count FROM mg JOIN r USING (k)"""
+
+
 # Which documents hold which passage.
 RELEVANT = f"""
 rel AS (
@@ -341,6 +427,7 @@ def oracle_sql() -> dict[str, str]:
               '2024-2025' AS academic_year, {has("q", "tion", "sch")} AS has_deadline_intent, {has("n", " die ", "tion", "eau")} AS needs_notice, {has("n", "ing ", "heit")} AS asks_now FROM t""",
         "frontmatter": "SELECT conv_id, turn, upper(role) AS role, CAST(turn AS VARCHAR) AS turn_text, 'a b' AS note, CAST(3 AS BIGINT) AS n_keys, text AS body FROM conversations",
         "chunk_lines": f"WITH {LINES} SELECT doc_id, seg_id, chunk_type, chapter_title, section_title, text FROM segs",
+        "regulation_chunks": regulation_sql(),
         "chunk_merge": f"WITH {LINES}, {MERGED} SELECT doc_id, chunk_no, chunk_type, text, length(text) AS char_count, {words('text')} AS word_count FROM merged",
         "chunks_per_doc": f"WITH {LINES}, {MERGED} SELECT doc_id, count(*) AS n_chunks FROM merged GROUP BY doc_id",
         "annotate_tags": f"""WITH {ANNOTATED} SELECT chunk_id, array_to_string(policy_area, '|') AS policy_area, array_to_string(action_tags, '|') AS action_tags, array_to_string(procedure_tags, '|') AS procedure_tags,
@@ -350,10 +437,9 @@ def oracle_sql() -> dict[str, str]:
         "policy_selection": f"WITH {_policy_sources(3)} SELECT question_id, chunk_id, priority, score, rank FROM sel",
         "policy_pruning": f"{_policy_pruned(3)} UNION ALL {_policy_pruned(1)}",
         "tag_frequency": f"WITH {ANNOTATED} SELECT field, tag, count(*) AS n_chunks FROM tg WHERE field IN ('policy_area', 'action_tags', 'risk_tags') GROUP BY ALL",
-        "cross_references": """WITH l AS (SELECT l_orderkey || '-' || l_linenumber AS chunk_id, CASE WHEN l_quantity > 25 THEN CAST(l_linenumber AS VARCHAR) END AS own, * FROM lineitem)
-            SELECT chunk_id, 1 AS level, CAST(0 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS diem, CAST(l_linenumber AS VARCHAR) AS khoan, CAST(l_suppkey % 50 AS VARCHAR) AS dieu FROM l UNION ALL
-            SELECT chunk_id, 1, 1, NULL, '3', own FROM l WHERE own IS NOT NULL UNION ALL SELECT chunk_id, 0, 2, 'b', '2', CAST(l_partkey % 7 AS VARCHAR) FROM l UNION ALL
-            SELECT chunk_id, 2, 3, NULL, NULL, CAST(l_orderkey % 5 AS VARCHAR) FROM l""",
+        "cross_references": CITED + " SELECT chunk_id, level, pos, diem, khoan, dieu FROM cited",
+        "reference_targets": CITED + """, t AS (SELECT c.*, doc || '__dieu_' || dieu AS article, EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = doc AND CAST(x.l_linenumber AS VARCHAR) = dieu) AS internal FROM cited c)
+            SELECT chunk_id, level, pos, CASE WHEN internal OR khoan IS NULL THEN article ELSE article || '__khoan_' || khoan END AS target, internal FROM t""",
         "link_references": f"WITH {LINKS} SELECT page_id, pos, target FROM links",
         "link_support": f"WITH {LINKS} SELECT target, support FROM support",
         "external_nodes": f"WITH {LINKS} SELECT 'chunk:' || target AS node_id, 'ExternalReference' AS node_type, 'Điều ' || target AS label, support FROM support WHERE support >= 5",
@@ -362,6 +448,9 @@ def oracle_sql() -> dict[str, str]:
               FROM links l LEFT JOIN support s USING (target) WHERE l.target = '/the' OR s.support >= 5)
             SELECT 'chunk:' || page_id || '->chunk:' || target || ':' || edge_type AS edge_id, 'chunk:' || page_id AS source, 'chunk:' || target AS target, edge_type, target AS referenced FROM e""",
         "document_nodes": "SELECT DISTINCT 'document:' || source AS node_id, 'Document' AS node_type, source AS label FROM documents",
+        "chunk_nodes": "SELECT 'chunk:d' || doc_id AS node_id, 'Chunk' AS node_type, 'd' || doc_id AS label, source AS doc_id, text FROM documents",
+        "node_index": """WITH m AS (SELECT l_partkey, max(l_orderkey) AS label FROM lineitem GROUP BY ALL)
+            SELECT 'part:' || l_partkey AS node_id, label, max(l_linenumber) AS line FROM m JOIN lineitem USING (l_partkey) WHERE l_orderkey = label GROUP BY ALL""",
         "tag_nodes": f"WITH {ANNOTATED} SELECT DISTINCT prefix || ':' || tag AS node_id, kind AS node_type, tag AS label, tag AS value FROM tg",
         "tag_edges": f"""WITH {ANNOTATED}, e AS (SELECT 'chunk:' || chunk_id AS source, prefix || ':' || tag AS target, edge AS edge_type FROM tg UNION ALL SELECT 'document:' || doc_id, 'chunk:' || chunk_id, 'DOCUMENT_HAS_CHUNK' FROM a)
             SELECT source || '->' || target || ':' || edge_type AS edge_id, source, target, edge_type FROM e""",
@@ -372,13 +461,15 @@ def oracle_sql() -> dict[str, str]:
             seed AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS question_id, 'page:' || page_id AS node_id FROM pages),
             one AS (SELECT DISTINCT question_id, t AS node_id FROM seed JOIN b ON s = node_id), two AS (SELECT DISTINCT question_id, t AS node_id FROM one JOIN b ON s = node_id)
             SELECT question_id, node_id, max(bonus) AS bonus FROM (SELECT *, 1.5::DOUBLE AS bonus FROM seed UNION ALL SELECT *, 1.5 FROM one UNION ALL SELECT *, 1.25 FROM two) GROUP BY ALL""",
+        "active_tags": f"WITH {GRAPH} SELECT question_id, 'action_tag:' || tag AS node_id FROM active",
+        "graph_bonus": f"WITH {GRAPH} SELECT question_id, chunk_id, bonus FROM gb",
         "lexical_topk": f"WITH {CHUNKS}, {TERMS}, {lexical(PLAIN)} {TOP}",
         "lexical_filtered": f"WITH {CHUNKS}, {TERMS}, {lexical(BY_LANG)} {TOP}",
         "lexical_bonus": f"WITH {CHUNKS}, {TERMS}, {lexical(PLAIN, '+ CASE WHEN f.doc_id = p.question_id THEN 500 ELSE 0 END', 3)} {TOP}",
         "bm25_topk": f"WITH {CHUNKS}, {bm25(BY_LANG)} SELECT question_id, chunk_id, round(score, 6) AS score, rank FROM best",
         "issue_inference": f"WITH {ISSUES} SELECT question_id, issue_idx, issue_type, policy_area, query, label FROM iss",
-        "answer_templates": f"""WITH {ISSUES} SELECT question_id, issue_type, CASE issue_type WHEN 'english' THEN CASE WHEN contains(query, 'tion') THEN 'Read the long English documents.' ELSE 'Read the English documents.' END
-            WHEN 'german' THEN 'Read the German documents.' WHEN 'french' THEN 'Read the French documents.' ELSE 'Read on.' END AS answer FROM iss""",
+        "answer_templates": f"WITH {ISSUES} SELECT question_id, issue_type, {TEMPLATE} AS answer FROM iss",
+        "missing_information": f"""WITH {ISSUES}, ak(issue_type, position, ask) AS (VALUES ('english', 0, 'Which source?'), ('english', 1, 'Which year?'), ('german', 0, 'Which state?')) SELECT question_id, issue_idx, CAST(position AS BIGINT) AS position, ask FROM iss JOIN ak USING (issue_type)""",
         "select_sources": f"WITH {SOURCES} SELECT question_id, issue_type, chunk_id, priority, score, rank FROM sel",
         "prune_sources": f"""WITH {SOURCES},
             kp AS (SELECT *, CASE issue_type WHEN 'english' THEN (priority >= 2 AND contains(query, 'tion')) OR priority >= 3 WHEN 'german' THEN priority >= 2 ELSE true END AS keep FROM sel),
@@ -390,6 +481,10 @@ def oracle_sql() -> dict[str, str]:
             z AS (SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, issue_idx, rank) AS position FROM o WHERE n = 1) SELECT * FROM z WHERE position <= 5""",
         "citation_numbers": f"""WITH {SOURCES}, u AS (SELECT question_id, chunk_id, min(issue_idx * 100 + rank) AS use FROM sel GROUP BY ALL),
             c AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY use) AS citation FROM u) SELECT s.question_id, s.issue_type, s.chunk_id, c.citation FROM sel s JOIN c USING (question_id, chunk_id)""",
+        "answers": answer_sql(),
+        "graph_sources": f"""WITH {GRAPH}, {answer_sources("+ coalesce((SELECT max(g.bonus) FROM gb g WHERE g.question_id = split_part(p.question_id, '#', 1) AND g.chunk_id = f.chunk_id), 0)")} SELECT question_id, issue_type, chunk_id, score, rank FROM pr""",
+        "answer_metadata": f"""WITH {QUESTIONS} SELECT question_id, 'tables' AS domain_id, (SELECT count(*) FROM documents) AS chunks_loaded, true AS uses_document_registry, false AS uses_graph, 'lexical_v0' AS retrieval_backend,
+              {has(norm("question"), "hoc ky nay", "deadline", "thoi han", "khi nao", "bao gio", "lich thi", "ke hoach")} AS is_time_sensitive FROM uq""",
         "active_documents": f"WITH {RECORDS} SELECT ord, doc_id, document_type FROM act",
         "current_notices": f"WITH {RECORDS} SELECT doc_id, array_to_string(areas, '|') AS areas FROM act WHERE document_type IN ('semester_notice', 'annual_notice')",
         "missing_notice": f"""WITH {RECORDS}, {QUESTIONS}, nt AS (SELECT doc_id, areas, doc_id IN (SELECT doc_id FROM rec WHERE ord IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) AS held FROM act WHERE document_type IN ('semester_notice', 'annual_notice')),
@@ -398,6 +493,11 @@ def oracle_sql() -> dict[str, str]:
               length(question) % 2 = 0 OR {has(norm("question"), "hoc ky nay", "deadline", "thoi han", "khi nao", "bao gio", "lich thi", "ke hoach")} AS needs FROM uq)
             SELECT question_id, needs AS needs_notice, CAST(CASE WHEN qs.area IS NULL THEN tot.n ELSE coalesce(pa.n, 0) END AS BIGINT) AS active_notices, CAST(CASE WHEN qs.area IS NULL THEN tot.m ELSE coalesce(pa.m, 0) END AS BIGINT) AS covered_notices,
               needs AND CASE WHEN qs.area IS NULL THEN tot.m ELSE coalesce(pa.m, 0) END = 0 AS warn FROM qs LEFT JOIN pa ON pa.area = qs.area CROSS JOIN tot""",
+        "notice_alerts": f"""WITH {RECORDS}, {QUESTIONS}, nt AS (SELECT doc_id, areas, doc_id IN (SELECT doc_id FROM rec JOIN orders ON ord = o_orderkey WHERE o_orderpriority < '3' AND doc_id <> 'repeated') AS held FROM act WHERE document_type IN ('semester_notice', 'annual_notice')),
+            qs AS (SELECT question_id, CASE WHEN length(question) % 7 < 6 THEN CAST(length(question) % 7 AS VARCHAR) END AS area,
+              length(question) % 2 = 0 OR {has(norm("question"), "hoc ky nay", "deadline", "thoi han", "khi nao", "bao gio", "lich thi", "ke hoach")} AS needs FROM uq),
+            pair AS (SELECT DISTINCT question_id, doc_id, held FROM qs JOIN nt ON needs AND (area IS NULL OR list_contains(areas, area)))
+            SELECT question_id, doc_id FROM pair WHERE question_id NOT IN (SELECT question_id FROM pair WHERE held)""",
         "registry_validation": f"""WITH {RECORDS} SELECT doc_id AS id, ord, 'missing title' AS error FROM rec WHERE title IS NULL UNION ALL SELECT doc_id, ord, 'missing status' FROM rec WHERE status = '' UNION ALL
             SELECT doc_id, ord, 'bad date issued_date' FROM rec WHERE TRY_CAST(issued_date AS DATE) IS NULL UNION ALL
             SELECT doc_id, ord, 'bad date effective_to' FROM rec WHERE effective_to IS NOT NULL AND TRY_CAST(effective_to AS DATE) IS NULL UNION ALL
@@ -416,6 +516,18 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT 'lexical_v0' AS backend, * FROM lex UNION ALL SELECT 'bm25_like_v0', * FROM bm)
             SELECT backend, count(*) AS total_cases, CAST(sum(({PASSED})::INT) AS BIGINT) AS n_passed, round(avg(({PASSED})::INT), 6) AS pass_rate, round(avg(first_chunk_pass::INT), 6) AS first_chunk_pass_rate,
               round(avg(negative_chunk_pass::INT), 6) AS negative_chunk_pass_rate FROM b GROUP BY backend""",
+        "disagreements": f"""WITH {CHUNKS}, {TERMS}, {_named(lexical(PLAIN), "lex")}, {_named(bm25(PLAIN), "bm")}, {RELEVANT}, {_checks("lex")}, {_checks("bm")},
+            b AS (SELECT case_id, 'lexical_v0' AS backend, {PASSED} AS passed FROM lex UNION ALL SELECT case_id, 'bm25_like_v0', {PASSED} FROM bm)
+            SELECT case_id, string_agg(backend || ':' || passed, '|' ORDER BY backend) AS results FROM b GROUP BY case_id HAVING count(DISTINCT passed) > 1""",
+        "failure_diagnosis": f"""WITH {CHUNKS}, {TERMS}, {_named(lexical(PLAIN), "lex")}, {RELEVANT}, {_checks("lex")}
+            SELECT case_id, concat_ws('|', CASE WHEN NOT issue_types_pass THEN 'issue_types_pass' END, CASE WHEN NOT first_chunk_pass THEN 'first_chunk_pass' END, CASE WHEN NOT chunk_any_pass THEN 'chunk_any_pass' END,
+              CASE WHEN NOT answer_contains_pass THEN 'answer_contains_pass' END, CASE WHEN NOT negative_chunk_pass THEN 'negative_chunk_pass' END) AS failed FROM lex WHERE NOT ({PASSED})""",
+        "one_case": f"WITH {RELEVANT} SELECT case_id, ids[1] AS expected_first_chunk_id, array_to_string(ids, '|') AS expected FROM cases WHERE case_id = '7'",
+        "timed_runs": """WITH t AS (SELECT conv_id, turn, max(length(text)) AS n FROM conversations GROUP BY ALL)
+            SELECT 'backend ' || conv_id % 2 AS backend, count(*) AS total_cases, CAST(sum((n % 3 <> 0)::INT) AS BIGINT) AS n_passed, round(avg((n % 3 <> 0)::INT), 6) AS pass_rate, round(avg((n % 3 <> 0)::INT), 6) AS first_chunk_pass_rate,
+              round(avg((n % 3 <> 0)::INT), 6) AS negative_chunk_pass_rate, round(avg(n % 70), 6) AS avg_latency_ms FROM t GROUP BY ALL""",
+        "request_statuses": rf"""SELECT conv_id, turn, CASE WHEN NOT (length(coalesce(text, '')) <= 2000 AND regexp_matches(coalesce(text, ''), '\S') AND turn * 3 BETWEEN 1 AND 10) THEN 422 WHEN length(text) % 5 = 4 THEN 503 WHEN conv_id % 3 = 0 THEN 500 ELSE 200 END AS status
+            FROM conversations""",
         "request_validation": rf"""SELECT conv_id, turn, CAST(turn * 3 AS INTEGER) AS top_k, CASE WHEN length(coalesce(text, '')) <= 2000 AND regexp_matches(coalesce(text, ''), '\S') AND turn * 3 BETWEEN 1 AND 10 THEN 200 ELSE 422 END AS status FROM conversations""",
         "rate_window": """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS in_window FROM events""",
         "rate_limit_admitted": _event_admission(),

@@ -170,6 +170,8 @@ class Issue:
     answer: str = ""
     #: (keywords, answer): the first whose keyword is in the issue's query.
     answer_when: tuple[tuple[tuple[str, ...], str], ...] = ()
+    #: What to ask the user back.
+    missing: tuple[str, ...] = ()
 
 
 CERTIFICATES = ("ielts", "toeic", "toefl", "aptis", "cambridge", "chung chi")
@@ -303,6 +305,7 @@ def from_config(config: dict) -> tuple[Issue, ...]:
                 d["issue_type"], d.get("policy_area"), d.get("label", ""), tuple(d.get("keywords", [])), d.get("query_default", ""),
                 tuple((tuple(w.get("condition_keywords", [])), w["query"]) for w in d.get("query_when", [])), d.get("answer_template", ""),
                 tuple((tuple(w.get("condition_keywords", [])), w.get("answer_template", "")) for w in d.get("answer_template_override", [])),
+                tuple(d.get("missing_information_questions", [])),
             )
         )
     return tuple(found)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docloom.functions import temporal, text
 from docloom.operators import annotation, chunking, evaluation, graph, issues, references, registry, requests, retrieval, selection
 from docloom.plans.profile import POLICY_ISSUES, POLICY_SELECTION, POLICY_TAGS, TAG_FIELDS, Issue, Profile, Selection, TagGroup, TagRule, When
-from docloom.plans.service import answer_questions
+from docloom.plans.service import answer_metadata as metadata_of, answer_questions, retrieve_sources
 from docloom.sources.frontmatter import parse_frontmatter
 
 AS_OF = "1998-06-15"
@@ -28,8 +28,8 @@ TAGS = (
     TagGroup(("licensed", "copyright"), (TagRule((("policy_area", "legal"), ("evidence_groups", "licence"), ("procedure_tags", "check_licence"))),)),
 )
 ISSUES = (
-    Issue("english", "en", "English", ("the ", "and "), "the and of", ((("tion",), "the tion and"), (("ing",), "ing the")), "Read the English documents.", ((("tion",), "Read the long English documents."),)),
-    Issue("german", "de", "German", (" der ", " und "), "der die und", (), "Read the German documents."),
+    Issue("english", "en", "English", ("the ", "and "), "the and of", ((("tion",), "the tion and"), (("ing",), "ing the")), "Read the English documents.", ((("tion",), "Read the long English documents."),), ("Which source?", "Which year?")),
+    Issue("german", "de", "German", (" der ", " und "), "der die und", (), "Read the German documents.", (), ("Which state?",)),
     Issue("french", "fr", "French", (" les ", " dans "), "les de la", (), "Read the French documents."),
     Issue("generic", None, "Anything", (), "", (), "Read on."),
 )
@@ -38,6 +38,8 @@ SELECTION = {
     "german": Selection(((When(area=False), -1), (When(title=("sch",)), 2), (When(), 1)), ((When(area=True), 10.0), (When(title=("sch",)), 30.0), (When(area=False), -30.0)), ((2, When()),)),
 }
 
+ANSWERING = Profile(TAGS, ISSUES, SELECTION, "Not known yet.", "Please check.", ("tion",))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,6 +73,45 @@ def annotated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotation.annotate_chunks(docs, TAGS)
 
 
+def regulation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): each order a regulation in markdown, with a frontmatter,
+    a chapter, articles and appendices of various lengths."""
+    key, rank, long = F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.concat(F.expr("repeat('x ', int(o_custkey % 60))"), F.lit("y"))
+
+    def where(test: str, value: Column) -> Column:
+        return F.when(F.expr(test), value).otherwise(F.lit(""))
+
+    other = F.when(F.col("o_orderkey") % 4 == 0, "chi tiết ").otherwise("Đặc biệt ")
+    parts = [
+        F.lit("---"), F.concat(F.lit("title: 'Quy định "), key, F.lit("'")), F.concat(F.lit("doc_id: "), where("o_orderkey % 3 <> 0", F.concat(F.lit("QD-"), key))), F.concat(F.lit("decision_no: "), F.col("o_custkey").cast("string")),
+        F.concat(F.lit("source_pdf: "), where("o_orderkey % 5 = 0", F.concat(F.lit("s"), key))), F.concat(F.lit("parsed_source: "), where("o_orderkey % 2 = 0", F.concat(F.lit("p"), key))), F.concat(F.lit("ocr_source: o"), key), F.lit("---"),
+        F.concat(F.lit("Căn cứ "), rank), F.concat(F.lit("## Chương I. Quy định "), rank), F.concat(F.lit("## Điều "), (F.col("o_custkey") % 9 + 1).cast("string"), F.lit(". Phạm vi "), rank, F.lit(".")), long,
+        F.lit("### Điều 20"), F.lit("ngắn"), F.concat(F.lit("## Phụ lục II. Bảng "), rank), F.lit("dòng"), F.lit("### Nơi cấp chứng chỉ"), long, F.lit("### Điều 21. Trong phụ lục"), long, F.concat(F.lit("## Phụ lục "), other, F.col("o_orderstatus")), F.lit("  thân bài"), long,
+    ]
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("data/quy_dinh/"), key, F.lit(".md")).alias("path"), F.concat_ws("\n", *parts).alias("text"))
+
+
+def answer_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose areas are their language and the issue that asks for it."""
+    names = F.create_map(*[F.lit(x) for i in ISSUES if i.policy_area for x in (i.policy_area, i.issue_type)])
+    chunks = document_chunks(spark, sf_dir)
+    return chunks.withColumn("policy_area", F.array_compact(F.array(F.col("policy_area")[0], F.try_element_at(names, F.col("policy_area")[0]))))
+
+
+def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question"))
+
+
+def document_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): each document is tagged with the longest of its first
+    eight tokens and cites the document of the next id."""
+    first = F.transform(F.slice(text.tokens(F.col("text")), 1, 8), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.array_compact(F.array(F.array_max(first)["t"])).alias("action_tags"), (F.col("doc_id") + 1).cast("string").alias("target"))
+    none = F.lit(None).cast("string")
+    cited = docs.select("chunk_id", F.lit(0).alias("level"), F.lit(0).alias("pos"), "target", F.lit(True).alias("internal"), F.col("target").alias("dieu"), none.alias("khoan"), none.alias("diem"))
+    return graph.tag_nodes(docs), graph.tag_edges(docs).unionByName(graph.reference_edges(graph.split_by_support(cited)))
+
+
 def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as registry records, some with bad or missing fields."""
     o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
@@ -227,6 +268,12 @@ def chunk_lines(spark, sf_dir):
     return _segments(spark, sf_dir).select("doc_id", F.col("seg_id").cast("long").alias("seg_id"), "chunk_type", "chapter_title", "section_title", "text")
 
 
+def regulation_chunks(spark, sf_dir):
+    c = chunking.build_chunks(regulation_files(spark, sf_dir))
+    counts = [F.col(n).cast("long").alias(n) for n in ("chunk_no", "char_count", "word_count")]
+    return c.select("doc_id", "chunk_id", "chunk_type", "title", "decision_no", "chapter_title", "section_title", "section_number", "source_path", "source_pdf", "text", *counts)
+
+
 def chunk_merge(spark, sf_dir):
     merged = chunking.merge_short(_segments(spark, sf_dir), 80)
     return merged.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk_type", "text", F.col("char_count").cast("long").alias("char_count"), F.col("word_count").cast("long").alias("word_count"))
@@ -266,14 +313,23 @@ def tag_frequency(spark, sf_dir):
     return annotation.tag_frequency(annotated_documents(spark, sf_dir), ("policy_area", "action_tags", "risk_tags"))
 
 
-def cross_references(spark, sf_dir):
+def _citing(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     body = F.concat(
         F.lit("## Điều 99 heading\nCăn cứ Khoản "), F.col("l_linenumber").cast("string"), F.lit(" Điều\n"), (F.col("l_suppkey") % 50).cast("string"), F.lit("; xem khoản 3 Điều này, điểm b, khoản 2, Điều "),
         (F.col("l_partkey") % 7).cast("string"), F.lit(" và điều "), (F.col("l_orderkey") % 5).cast("string"), F.lit("\n| Điều 5 |"),
     )
     rows = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chunk_id"), F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_quantity") > 25, F.col("l_linenumber").cast("string")).otherwise("x").alias("section_number"), body.alias("text"))
-    return references.cross_references(rows).select("chunk_id", "level", F.col("pos").cast("long").alias("pos"), "diem", "khoan", "dieu")
+    return references.cross_references(rows)
+
+
+def cross_references(spark, sf_dir):
+    return _citing(spark, sf_dir).select("chunk_id", "level", F.col("pos").cast("long").alias("pos"), "diem", "khoan", "dieu")
+
+
+def reference_targets(spark, sf_dir):
+    articles = table(spark, sf_dir, "lineitem").select(F.concat_ws("__dieu_", "l_orderkey", "l_linenumber").alias("chunk_id"))
+    return graph.resolve_targets(_citing(spark, sf_dir), articles).select("chunk_id", "level", F.col("pos").cast("long").alias("pos"), "target", "internal")
 
 
 def link_references(spark, sf_dir):
@@ -303,6 +359,17 @@ def document_nodes(spark, sf_dir):
     return graph.document_nodes(annotated_documents(spark, sf_dir)).select("node_id", "node_type", "label")
 
 
+def chunk_nodes(spark, sf_dir):
+    n = graph.chunk_nodes(annotated_documents(spark, sf_dir))
+    return n.select("node_id", "node_type", "label", F.col("properties")["doc_id"].alias("doc_id"), F.col("properties")["text"].alias("text"))
+
+
+def node_index(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.max("l_linenumber").alias("line"))
+    rows = rows.select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("node_id"), F.col("l_orderkey").alias("label"), "line")
+    return graph.node_index(rows, "label").select("node_id", "label", F.col("line").cast("long").alias("line"))
+
+
 def tag_nodes(spark, sf_dir):
     return graph.tag_nodes(annotated_documents(spark, sf_dir)).select("node_id", "node_type", "label", F.col("properties")["value"].alias("value"))
 
@@ -329,6 +396,14 @@ def two_hop_bonus(spark, sf_dir):
     return graph.expand_two_hops(seeds, links)
 
 
+def active_tags(spark, sf_dir):
+    return graph.active_tags(document_graph(spark, sf_dir)[0], benchmark_questions(spark, sf_dir))
+
+
+def graph_bonus(spark, sf_dir):
+    return graph.graph_bonus(*document_graph(spark, sf_dir), benchmark_questions(spark, sf_dir))
+
+
 def lexical_topk(spark, sf_dir):
     chunks = document_chunks(spark, sf_dir)
     return retrieval.top_k(retrieval.lexical_scores(chunks, benchmark_queries(spark, sf_dir)), chunks, 5).select("question_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -358,6 +433,11 @@ def answer_templates(spark, sf_dir):
     return issues.answer_texts(issues.infer_issues(user_questions(spark, sf_dir), ISSUES), ISSUES).select("question_id", "issue_type", "answer")
 
 
+def missing_information(spark, sf_dir):
+    asks = issues.missing_information(issues.infer_issues(user_questions(spark, sf_dir), ISSUES), ISSUES)
+    return asks.select("question_id", F.col("issue_idx").cast("long").alias("issue_idx"), F.col("position").cast("long").alias("position"), "ask")
+
+
 def select_sources(spark, sf_dir):
     s = selection.select_sources(ranked_issues(spark, sf_dir), 3, SELECTION)
     return s.select("question_id", "issue_type", "chunk_id", "priority", "score", F.col("rank").cast("long").alias("rank"))
@@ -383,12 +463,21 @@ def citation_numbers(spark, sf_dir):
 
 
 def answers(spark, sf_dir):
-    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question"))
-    profile = Profile(TAGS, ISSUES, SELECTION, "Not known yet.", "Please check.", ("tion",))
-    found = answer_questions(questions, document_chunks(spark, sf_dir), profile=profile)
+    found = answer_questions(benchmark_questions(spark, sf_dir), answer_chunks(spark, sf_dir), profile=ANSWERING)
     return found.select("question_id", "answer", F.array_join("inferred_issues", "|").alias("issues"), F.array_join("selected_chunk_ids", "|").alias("chunks"), "warn_missing_notice")
 
 
+def graph_sources(spark, sf_dir):
+    questions = benchmark_questions(spark, sf_dir)
+    asked = issues.infer_issues(questions, ISSUES)
+    found = retrieve_sources(answer_chunks(spark, sf_dir), asked, graph=document_graph(spark, sf_dir), questions=questions, profile=ANSWERING)
+    return found.select("question_id", "issue_type", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def answer_metadata(spark, sf_dir):
+    return metadata_of(user_questions(spark, sf_dir), document_chunks(spark, sf_dir), "tables")
+
+
 def active_documents(spark, sf_dir):
     return registry.active_documents(registry_records(spark, sf_dir), AS_OF).select("ord", "doc_id", "document_type")
 
@@ -406,6 +495,15 @@ def missing_notice(spark, sf_dir):
     return found.select("question_id", "needs_notice", F.col("active_notices").cast("long").alias("active_notices"), F.col("covered_notices").cast("long").alias("covered_notices"), "warn")
 
 
+def notice_alerts(spark, sf_dir):
+    q = user_questions(spark, sf_dir).withColumn("policy_area", F.when(F.length("question") % 7 < 6, (F.length("question") % 7).cast("string")))
+    q = q.withColumn("question", F.when(F.length("question") % 2 == 0, F.concat(F.lit("Khi nào "), "question")).otherwise(F.col("question")))
+    # The areas from 3 on have notices without a text.
+    lower = table(spark, sf_dir, "orders").where("o_orderpriority < '3'").select(F.col("o_orderkey").alias("ord"))
+    chunks = registry_records(spark, sf_dir).join(lower, "ord", "left_semi").select("doc_id").where("doc_id <> 'repeated'")
+    return registry.notice_alerts(q, registry_records(spark, sf_dir), chunks, AS_OF)
+
+
 def registry_validation(spark, sf_dir):
     return registry.registry_errors(registry_records(spark, sf_dir))
 
@@ -428,14 +526,49 @@ def ir_metrics(spark, sf_dir):
     return evaluation.retrieval_metrics(scored).select(*[F.round(c, 6).alias(c) for c in ("recall_at_k", "mrr", "ndcg_at_k")], "recall_n", "mrr_n", "ndcg_n")
 
 
-def backend_compare(spark, sf_dir):
+def _checked_backends(spark, sf_dir):
     cases, parts = benchmark_cases(spark, sf_dir), []
     for name in ("lexical_v0", "bm25_like_v0"):
         parts.append(evaluation.check_cases(cases, backend_runs(spark, sf_dir, name)).withColumn("backend", F.lit(name)))
-    summary = evaluation.summarize_checks(parts[0].unionByName(parts[1]), ["backend"])
+    return parts[0].unionByName(parts[1])
+
+
+def backend_compare(spark, sf_dir):
+    summary = evaluation.summarize_checks(_checked_backends(spark, sf_dir), ["backend"])
     return summary.select("backend", "total_cases", "n_passed", *[F.round(c, 6).alias(c) for c in ("pass_rate", "first_chunk_pass_rate", "negative_chunk_pass_rate")])
 
 
+def disagreements(spark, sf_dir):
+    found = evaluation.disagreements(_checked_backends(spark, sf_dir))
+    return found.select("case_id", F.array_join(F.transform("results", lambda r: F.concat_ws(":", r["backend"], r["passed"].cast("string"))), "|").alias("results"))
+
+
+def failure_diagnosis(spark, sf_dir):
+    checked = evaluation.check_cases(benchmark_cases(spark, sf_dir), backend_runs(spark, sf_dir, "lexical_v0"))
+    return evaluation.diagnose_failures(checked).select("case_id", F.array_join("failed", "|").alias("failed"))
+
+
+def one_case(spark, sf_dir):
+    cases = evaluation.filter_cases(benchmark_cases(spark, sf_dir), "7")
+    return cases.select("case_id", "expected_first_chunk_id", F.array_join("expected_chunk_ids_any", "|").alias("expected"))
+
+
+def timed_runs(spark, sf_dir):
+    """Turns as cases, each answered by itself or, every third, by another."""
+    turn, none = F.concat_ws("-", "conv_id", "turn"), F.array().cast("array<string>")
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max(F.length("text")).alias("n"))
+    cases = rows.select(turn.alias("case_id"), turn.alias("expected_first_chunk_id"), none.alias("expected_chunk_ids_any"), none.alias("expected_issue_types"), none.alias("expected_answer_contains_any"), F.array(F.lit("other")).alias("negative_chunk_ids"))
+    runs = rows.select(turn.alias("case_id"), F.array(F.when(F.col("n") % 3 == 0, "other").otherwise(turn)).alias("selected_chunk_ids"), none.alias("inferred_issues"), (F.col("n") % 70).cast("double").alias("latency_ms"), F.concat(F.lit("backend "), (F.col("conv_id") % 2).cast("string")).alias("backend"))
+    checked = evaluation.check_cases(cases, runs).join(runs.select("case_id", "backend"), "case_id")
+    summary = evaluation.summarize_checks(checked, ["backend"])
+    return summary.select("backend", "total_cases", "n_passed", *[F.round(c, 6).alias(c) for c in ("pass_rate", "first_chunk_pass_rate", "negative_chunk_pass_rate", "avg_latency_ms")])
+
+
+def request_statuses(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"), (F.col("turn") * 3).cast("int").alias("top_k"), (F.length("text") % 5 != 4).alias("ready"), (F.col("conv_id") % 3 == 0).alias("failed"))
+    return requests.validate_requests(rows).select("conv_id", "turn", "status")
+
+
 def request_validation(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"), (F.col("turn") * 3).cast("int").alias("top_k"))
     return requests.validate_requests(rows).select("conv_id", "turn", "top_k", "status")
@@ -453,9 +586,9 @@ def rate_limit_admitted(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        normalize_documents, token_counts, slugs, previews, date_checks, natural_order, time_contexts, frontmatter, chunk_lines, chunk_merge, chunks_per_doc, annotate_tags, tag_frequency, policy_tags, policy_issues, policy_selection, policy_pruning,
-        cross_references, link_references, link_support, external_nodes, isolated_references, reference_edges, document_nodes, tag_nodes, tag_edges, graph_summary, chunks_by_tag, two_hop_bonus,
-        lexical_topk, lexical_filtered, lexical_bonus, bm25_topk, issue_inference, answer_templates, select_sources, prune_sources, multi_issue_union, raw_ranking, citation_numbers, answers,
-        active_documents, current_notices, missing_notice, registry_validation, document_priority, passage_matches, eval_checks, ir_metrics, backend_compare,
-        request_validation, rate_window, rate_limit_admitted,
+        normalize_documents, token_counts, slugs, previews, date_checks, natural_order, time_contexts, frontmatter, chunk_lines, regulation_chunks, chunk_merge, chunks_per_doc, annotate_tags, tag_frequency, policy_tags, policy_issues, policy_selection, policy_pruning,
+        cross_references, reference_targets, link_references, link_support, external_nodes, isolated_references, reference_edges, document_nodes, chunk_nodes, node_index, tag_nodes, tag_edges, graph_summary, chunks_by_tag, two_hop_bonus, active_tags, graph_bonus,
+        lexical_topk, lexical_filtered, lexical_bonus, bm25_topk, issue_inference, answer_templates, missing_information, select_sources, prune_sources, multi_issue_union, raw_ranking, citation_numbers, answers, graph_sources, answer_metadata,
+        active_documents, current_notices, missing_notice, notice_alerts, registry_validation, document_priority, passage_matches, eval_checks, ir_metrics, backend_compare, disagreements, failure_diagnosis, one_case, timed_runs,
+        request_validation, request_statuses, rate_window, rate_limit_admitted,
     )}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.temporal import asks_about_current_term
+from docloom.functions.temporal import asks_about_current_term, requires_current_notice
 from docloom.functions.text import preview, score_text
 from docloom.operators.graph import graph_bonus
 from docloom.operators.issues import answer_texts, infer_issues, number_citations
@@ -35,6 +35,25 @@ def retrieve_sources(
     return prune_sources(selected, max_sources, profile.selection) if prune else selected.drop("survives")
 
 
+def answer_metadata(questions: DataFrame, chunks: DataFrame, domain_id: str, backend: str | None = None, uses_graph: bool = False, uses_registry: bool = True) -> DataFrame:
+    """What an answer says of itself, one row for each question: domain_id,
+    chunks_loaded, uses_document_registry, uses_graph, retrieval_backend and
+    is_time_sensitive."""
+    loaded = F.broadcast(chunks.agg(F.count("*").alias("chunks_loaded")))  # one row
+    named = questions.select(
+        "question_id", F.lit(domain_id).alias("domain_id"), F.lit(uses_registry).alias("uses_document_registry"), F.lit(uses_graph).alias("uses_graph"),
+        F.lit(backend or "lexical_v0").alias("retrieval_backend"), requires_current_notice(F.col("question")).alias("is_time_sensitive"),
+    )
+    return named.join(loaded, F.lit(True))
+
+
+def health(chunks: DataFrame, *others: DataFrame) -> DataFrame:
+    """One row: status ok if there are chunks and none of the other tables is
+    empty, and how many chunks."""
+    ready = all(not t.isEmpty() for t in others)
+    return chunks.agg(F.count("*").alias("chunks_loaded")).withColumn("status", F.when(F.lit(ready) & (F.col("chunks_loaded") > 0), "ok").otherwise("unavailable"))
+
+
 def answer_questions(
     questions: DataFrame, chunks: DataFrame, backend: str | None = None, k: int = 5, graph: tuple[DataFrame, DataFrame] | None = None, registry: DataFrame | None = None,
     as_of: str | None = None, profile: Profile = POLICY, show_text: bool = False, override: dict[str, str] | None = None,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import strip
 
-KEY = "^([A-Za-z_][A-Za-z0-9_]*):\\s*(.*)"
+# An entry: a key, its value, and the lines that continue it.
+ENTRY = "(?dm)^([A-Za-z_][A-Za-z0-9_]*):[^\\S\\n]*([^\\n]*)((?:\\n(?:  |\\t)[^\\n]*)*)"
 
 
 def _unquoted(value: Column) -> Column:
@@ -22,30 +23,23 @@ def parse_frontmatter(df: DataFrame, text_col: str = "text") -> DataFrame:
     the whole text. Lines that begin with two spaces or a tab continue the key
     before; any other line ends it; the last of equal keys wins.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    closing = F.array_position(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), strip), "---")
-    has = (strip(F.element_at(lines, 1)) == "---") & (closing > 0)
-    head = F.slice(lines, F.lit(2), F.when(has, closing.cast("int") - 1).otherwise(0))
-
-    # Fold lines into entries; key null: the lines that follow belong to none.
-    entry = "array<struct<key:string,value:string>>"
-    start = F.struct(F.array().cast(entry).alias("done"), F.lit(None).cast("string").alias("key"), F.lit("").alias("value"))
-
-    def closed(acc: Column) -> Column:
-        own = F.array(F.struct(acc["key"].alias("key"), _unquoted(strip(acc["value"])).alias("value")))
-        return F.when(acc["key"].isNotNull(), F.concat(acc["done"], own)).otherwise(acc["done"])
-
-    def step(acc: Column, line: Column) -> Column:
-        key = F.regexp_extract(line, KEY, 1)
-        more = acc["key"].isNotNull() & (line.startswith("  ") | line.startswith("\t"))
-        fresh = F.struct(closed(acc).alias("done"), key.alias("key"), F.regexp_extract(line, KEY, 2).alias("value"))
-        longer = F.struct(acc["done"].alias("done"), acc["key"].alias("key"), F.concat(acc["value"], F.lit(" "), strip(line)).alias("value"))
-        ended = F.struct(closed(acc).alias("done"), F.lit(None).cast("string").alias("key"), F.lit("").alias("value"))
-        return F.when(key != "", fresh).when(more, longer).otherwise(ended)
-
-    entries = F.aggregate(head, start, step, closed)
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    last = F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value")))
-    body = F.when(has, F.array_join(F.slice(lines, (closing + 2).cast("int"), F.size(lines)), "\n")).otherwise(text)
-    return df.withColumn("metadata", F.map_from_entries(last)).withColumn("body", body)
+    # Each step is a column that the next ones use more than once; so it is
+    # computed once a row and not put in place of its name.
+    def rule(line: Column) -> Column:
+        return line.contains("---") & (strip(line) == "---")
+
+    lines, closing, entries = F.col("_lines"), F.col("_closing"), F.col("_entries")
+    rows = df.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
+    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    found = F.when(rule(F.element_at(lines, 1)), F.array_position(F.transform(rest, rule), True))
+    rows = rows.withColumn("_closing", F.coalesce(found, F.lit(0)).cast("int"))
+    block = F.when(closing > 1, F.array_join(F.slice(lines, F.lit(2), closing - 1), "\n")).otherwise("")
+    rows = rows.withColumn("_block", block)
+    keys, values, more = (F.regexp_extract_all("_block", F.lit(ENTRY), F.lit(n)) for n in (1, 2, 3))
+    whole = F.zip_with(values, more, lambda v, m: strip(F.concat(v, F.array_join(F.transform(F.split(m, "\n", -1), strip), " "))))
+    pairs = F.zip_with(keys, F.transform(whole, _unquoted), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    rows = rows.withColumn("_entries", pairs)
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    last = F.transform(names, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value")))
+    body = F.when(closing > 0, F.array_join(F.slice(lines, closing + 2, F.size(lines)), "\n")).otherwise(F.coalesce(F.col(text_col), F.lit("")))
+    return rows.withColumn("metadata", F.map_from_entries(last)).withColumn("body", body).drop("_lines", "_closing", "_block", "_entries")
