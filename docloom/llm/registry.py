@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import chats, embedding_dedup, html_extract, language_id, manifest, media, mixing, near_dedup, packing, secret_scan, toxicity
+from docloom.llm import chats, divergence, embedding_dedup, html_extract, language_id, manifest, media, mixing, near_dedup, packing, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": mixing.op8_source_mix,
         "op9_pattern_packing": packing.op9_pattern_packing,
         "op10_chat_snapshots": chats.op10_chat_snapshots,
+        "op11_source_divergence": divergence.op11_source_divergence,
         "op13_merkle_proofs": manifest.op13_merkle_proofs,
     }
 
@@ -31,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_subspace_pigeonhole": embedding_dedup.OP5_SQL,
         "op8_source_mix": mixing.OP8_SQL,
         "op10_chat_snapshots": chats.OP10_SQL,
+        "op11_source_divergence": divergence.OP11_SQL,
         "op13_merkle_proofs": manifest.OP13_SQL,
     }
