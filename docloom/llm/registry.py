@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import chats, divergence, embedding_dedup, html_extract, language_id, manifest, media, mixing, near_dedup, packing, secret_scan, toxicity
+from docloom.llm import chats, divergence, embedding_dedup, html_extract, language_id, license_scan, manifest, media, mixing, near_dedup, packing, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pattern_packing": packing.op9_pattern_packing,
         "op10_chat_snapshots": chats.op10_chat_snapshots,
         "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_license_signatures": license_scan.op12_license_signatures,
         "op13_merkle_proofs": manifest.op13_merkle_proofs,
     }
 
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_source_mix": mixing.OP8_SQL,
         "op10_chat_snapshots": chats.OP10_SQL,
         "op11_source_divergence": divergence.OP11_SQL,
+        "op12_license_signatures": license_scan.OP12_SQL,
         "op13_merkle_proofs": manifest.OP13_SQL,
     }
