@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from docloom.llm.common import materialize, row_key, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Before lower-casing A-Z, and after.
-WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+# Letters and digits of ASCII, and all beyond it: what is left between are the
+# other ones, after A-Z are lower-cased.
+WORD = "[\\p{Alnum}[^\\p{ASCII}]]+"
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 # The base phrases and their labels.
@@ -166,8 +167,8 @@ HINTS = (
 )
 
 
-def keyword(template: str) -> str:
-    """The longest word that every match of a template has, '' if none has."""
+def plain_word(template: str) -> str:
+    """The longest word that stands outside of all groups, '' if none does."""
     bare, was = re.sub(r"\\.|\[[^]]*\]\??|\.\{[^}]*\}", "*", template), None
     while was != bare:
         was, bare = bare, re.sub(r" ?\(\?:[^()]*\)\??", " * ", bare)
@@ -175,6 +176,31 @@ def keyword(template: str) -> str:
     return max((w for w in bare.split() if re.fullmatch("[a-z0-9]+", w)), key=len, default="")
 
 
+def keyword(template: str) -> str:
+    """Words of which every match of a template has one, parted by |; '' if
+    there are none. Where all words are in groups, each choice of an outer group
+    has a word of its own."""
+    word = plain_word(template)
+    if word:
+        return word
+    depth, start, cuts = 0, 0, []
+    for k, c in enumerate(template):
+        if c == "(":
+            depth += 1
+            if depth == 1:
+                start, cuts = k + 3, []
+        elif c == "|" and depth == 1:
+            cuts.append(k)
+        elif c == ")":
+            depth -= 1
+            if depth == 0 and template[k + 1 : k + 2] != "?":
+                ends = [start, *[x + 1 for x in cuts]], [*cuts, k]
+                words = [plain_word(template[x:y]) for x, y in zip(*ends, strict=True)]
+                if all(words):
+                    return "|".join(dict.fromkeys(words))
+    return ""
+
+
 def rules() -> list[tuple[str, int, str, str]]:
     """(label, priority, keyword, template) in order."""
     out = [(label, NOTICE, keyword(phrase), phrase) for phrase, label in BASE]
@@ -193,13 +219,23 @@ def rules() -> list[tuple[str, int, str, str]]:
 
 
 RULES = rules()
-#: What every text with a match has, in any case; tested before anything else.
-_SEP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-GATE = (
-    "(?i)licen|copyleft|spdx|gpl|cddl|eupl|wtfpl|cecill|odbl|pddl|mulan|mozilla|eclipse|creative|cc0|permission is hereby|permission to use|rights reserved|confidential|redistribution and|"
-    "to endorse|advertising materials|plainly marked|opensource|openssl|eric young|a beer in|not evil|unicode|cdla|is provided|unencumbered|written permission|option any later|joinup|glassfish|mariadb|vimdoc|x consortium|"
-    f"(?:gnu|sil|project){_SEP}org|w3{_SEP}org|(?:public|domain){_SEP}domain|by{_SEP}the{_SEP}openssl|built{_SEP}with|nasa{_SEP}open|(?:cc|ms|odc|epl|mpl|apl|asl|cpl|osl|afl){_SEP}(?:by|zero|pl|rl|v|[0-9])"
-)
+#: Of these every text with a match has one, in lower case: plain words, looked
+#: for one after the other, and pairs whose first word alone is no hint.
+GATE_WORDS = (
+    "licen", "copyleft", "spdx", "gpl", "cddl", "eupl", "wtfpl", "cecill", "odbl", "pddl", "mulan", "mozilla", "eclipse", "creative", "cc0", "permission is hereby", "permission to use", "rights reserved", "confidential",
+    "redistribution and", "to endorse", "advertising materials", "plainly marked", "opensource", "openssl", "eric young", "not evil", "unicode", "cdla", "is provided", "unencumbered", "written permission",
+    "option any later", "joinup", "glassfish", "mariadb", "vimdoc", "x consortium",
+)
+GATE_PAIRS = "(?:c(?:c|pl)|m(?:s|pl)|o(?:dc|sl)|epl|a(?:pl|sl|fl)|gnu|sil|project|w3|public|domain|built|nasa|beer)" + BETWEEN + "(?:by|zero|pl|rl|v|[0-9]|org|domain|with|open|in)"
+
+
+def gate(low: Column) -> Column:
+    """A cheap look at a text in lower case. Words of a pair, and those of a
+    plain hint, may be parted by whatever stands between words."""
+    found = low.contains(GATE_WORDS[0])
+    for word in GATE_WORDS[1:]:
+        found = found | (low.contains(word) if " " not in word else low.contains(max(word.split(), key=len)))
+    return found | low.rlike(GATE_PAIRS)
 
 
 def pattern(template: str) -> str:
@@ -229,8 +265,8 @@ def base_places(form: Column, n_words: Column, phrase: str) -> Column:
 def rule_matches(form: Column) -> Column:
     """array<struct<rule, i, before, size>>: of every rule its matches, their
     number, the words since the match before, and their words."""
-    listed = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(f" {need} " if need else " ").alias("need"), F.lit(pattern(t)).alias("pattern")) for k, (_, _, need, t) in enumerate(RULES)])
-    wanted = F.filter(listed, lambda r: form.contains(r["need"]))
+    listed = F.array(*[F.struct(F.lit(k).alias("rule"), F.array(*[F.lit(f" {w} " if w else " ") for w in need.split("|")]).alias("needs"), F.lit(pattern(t)).alias("pattern")) for k, (_, _, need, t) in enumerate(RULES)])
+    wanted = F.filter(listed, lambda r: F.exists(r["needs"], lambda w: form.contains(w)))
 
     def of_rule(r: Column) -> Column:
         size = F.transform(F.regexp_extract_all(form, r["pattern"], F.lit(0)), words_in)
@@ -247,9 +283,11 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     n_words = F.regexp_count(text, F.lit(WORD)).cast("long")
     rows = df.select(F.col(id_col).alias("id"), text.alias("text"), n_words.alias("n_words"))
-    # Inside a lambda, so that the form is made once.
+    # Inside lambdas, so that the form and the text in lower case are made once.
     looked = F.transform(F.array(word_form(F.col("text"))), lambda form: F.struct(F.array(*[base_places(form, F.col("n_words"), p) for p, _ in BASE]).alias("base"), rule_matches(form).alias("found")))[0]
-    rows = rows.withColumn("seen", F.when(F.col("text").rlike(GATE), looked))
+    # Letters beyond A-Z that fold into them only let more texts pass.
+    passes = F.transform(F.array(F.lower("text")), gate)[0]
+    rows = rows.withColumn("seen", F.when(passes, looked))
     key = F.when(F.size("seen.found") > 0, row_key(F.col("id"), F.col("text")))
     return rows.select("id", key.alias("row_key"), "n_words", F.col("seen.base").alias("base"), F.col("seen.found").alias("found"))
 
@@ -300,18 +338,18 @@ def op12_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op12_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    values = ",\n  ".join(f"({k}, {quoted(label)}, {p}, {quoted(f' {need} ' if need else ' ')}, {quoted(pattern(t))})" for k, (label, p, need, t) in enumerate(RULES))
+    values = ",\n  ".join(f"({k}, {quoted(label)}, {p}, [{', '.join(quoted(f' {w} ' if w else ' ') for w in need.split('|'))}], {quoted(pattern(t))})" for k, (label, p, need, t) in enumerate(RULES))
     phrases = ", ".join(f"({k}, {quoted(pattern(p))}, {quoted(label)}, {len(p.split())})" for k, (p, label) in enumerate(BASE))
     weights = " ".join(f"WHEN {p} THEN {w}::DOUBLE" for p, w in WEIGHTS.items())
     words = lambda x: f"CAST((length({x}) - length(replace({x}, ' ', ''))) / 2 AS BIGINT)"
     return rf"""WITH low AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 d AS (SELECT rid, doc_id, len(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS n_words, ' ' || trim(regexp_replace(t, '{BETWEEN}', '  ', 'g'), ' ') || ' ' AS form FROM low),
-rule(rule, label, priority, need, pattern) AS (VALUES
+rule(rule, label, priority, needs, pattern) AS (VALUES
   {values}),
 ph(k, phrase, label, size) AS (VALUES {phrases}),
 b AS (SELECT rid, label, string_split(form, phrase) AS pieces, size, n_words FROM d, ph WHERE contains(form, phrase)),
 bn AS (SELECT rid, sum(len(pieces) - 1) AS n, min({words("pieces[1]")}) AS first_word, max(n_words - {words("pieces[len(pieces)]")} - size) AS last_word, list(DISTINCT label) AS labels FROM b GROUP BY rid),
-m AS (SELECT rid, rule, label, priority, regexp_extract_all(form, pattern) AS whole, string_split_regex(form, pattern) AS gaps FROM d, rule WHERE contains(form, need) AND regexp_matches(form, pattern)),
+m AS (SELECT rid, rule, label, priority, regexp_extract_all(form, pattern) AS whole, string_split_regex(form, pattern) AS gaps FROM d, rule WHERE len(list_filter(needs, lambda w: contains(form, w))) > 0 AND regexp_matches(form, pattern)),
 u AS (SELECT rid, rule, label, priority, unnest(whole) AS w, unnest(gaps[1:len(whole)]) AS g, unnest(generate_series(1, len(whole))) AS i FROM m),
 e AS (SELECT rid, rule, label, priority, CAST(sum({words("g")} + {words("w")}) OVER (PARTITION BY rid, rule ORDER BY i) AS BIGINT) AS e, {words("w")} AS n FROM u),
 s AS (SELECT rid, rule, label, priority, e - n AS s, e FROM e),
