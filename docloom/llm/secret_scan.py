@@ -114,7 +114,10 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A token overlaps a base span if one that starts before it ends in it or
     # beyond, or if the next one starts in it.
     order, base = Window.partitionBy("row_key").orderBy("start", "kind"), F.col("kind") < 3
-    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # What comes later is what comes earlier in the opposite order: a frame that
+    # only grows costs one step a row, one that only shrinks is made anew.
+    before = Window.unboundedPreceding
+    earlier, later = order.rowsBetween(before, -1), Window.partitionBy("row_key").orderBy(F.col("start").desc(), F.col("kind").desc()).rowsBetween(before, -1)
     around = hits.withColumn("base_end", F.max(F.when(base, F.col("end"))).over(earlier)).withColumn("base_start", F.min(F.when(base, F.col("start"))).over(later))
     clear = (F.coalesce("base_end", F.lit(0)) <= F.col("start")) & (F.col("base_start").isNull() | (F.col("base_start") >= F.col("end")))
     free = around.where(base | clear).withColumn("reach", F.coalesce(F.max("end").over(earlier), F.lit(0)))

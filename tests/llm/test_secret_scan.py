@@ -123,3 +123,17 @@ def test_time_is_linear_in_the_text(spark):
     got = {r.doc_id: r.text for r in S.redact(df).collect()}
     assert time.perf_counter() - began < 30
     assert got[1] == words[:-80] + "[SECRET]" and got[2] == " ".join(["[SECRET]"] * 20_000)
+
+
+def test_time_is_linear_in_the_spans(spark):
+    """Twice the spans in one text take at most about twice the time."""
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(f"token=abc{i:06d} Zx9Kq2Lm8Vb4Nc7Rt{i:06d}" for i in range(n // 2)), "s")], "doc_id long, text string, source string")
+        began = time.perf_counter()
+        (r,) = S.find_secrets(df).collect()
+        assert len(r.spans) == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 2 * seconds(40_000) + 1
