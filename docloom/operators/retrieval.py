@@ -141,10 +141,10 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, bonus: DataFrame | Non
     return (_only_filtered(scored, chunks, queries) if filtered or bonus is not None else scored).where("score > 0")
 
 
-def _only_filtered(scores: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def _only_filtered(scores: DataFrame, chunks: DataFrame, queries: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Scores of known chunks that pass their query's filters."""
     tags = chunks.select("chunk_id", *[f for f in dict.fromkeys(FILTERS.values()) if f in chunks.columns])
-    return scores.join(queries.select(*KEY, *_filters(queries)), KEY).join(tags, "chunk_id").where(passes(tags)).select(*KEY, "chunk_id", "score")
+    return scores.join(queries.select(*KEY, *_filters(queries)), KEY).join(tags, "chunk_id").where(passes(tags)).select(*(columns or [*KEY, "chunk_id", "score"]))
 
 
 def filtered_chunks(rows: DataFrame, filters: DataFrame) -> DataFrame:
@@ -168,26 +168,33 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, bonus: DataFrame | None =
     are those of the chunks that pass the query's own filter, so they are
     counted for each distinct filter."""
     queries = with_filters(queries)
-    filters = queries.select(*_filters(queries)).distinct().withColumn("filter_id", F.xxhash64(*[F.coalesce(F.col(f"f_{f}"), F.lit("\\0")) for f in FILTERS]))
+    asked = query_tokens(queries)
     words = tokens(F.concat_ws("\n", "section_title", "chapter_title", "text"))
     fields = [f for f in dict.fromkeys(FILTERS.values()) if f in chunks.columns]
     bags = chunks.select("chunk_id", *fields, words.alias("words"))
-    lengths = filtered_chunks(bags.select("chunk_id", *fields, F.size("words").alias("dl")), filters)
+    each = asked_only(bags.select("chunk_id", F.explode("words").alias("token")), asked)
+    tf = each.groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
+    scores = bm25_from_terms(bags.select("chunk_id", *fields, F.size("words").alias("dl")), tf, asked, queries, k1, b)
+    # Rounded, so that equal texts tie whatever the order of summation.
+    scores = _bonus(scores, queries, bonus)
+    return (scores if bonus is None else _only_filtered(scores, chunks, queries)).where("score > 0")
+
+
+def bm25_from_terms(chunks: DataFrame, tf: DataFrame, asked: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(keys, chunk_id, score) from chunks (chunk_id, dl, tags) and tf
+    (chunk_id, token, tf) of the asked tokens."""
+    filters = queries.select(*_filters(queries)).distinct().withColumn("filter_id", F.xxhash64(*[F.coalesce(F.col(f"f_{f}"), F.lit("\\0")) for f in FILTERS]))
+    fields = [f for f in dict.fromkeys(FILTERS.values()) if f in chunks.columns]
+    lengths = filtered_chunks(chunks.select("chunk_id", *fields, "dl"), filters)
     stats = lengths.groupBy("filter_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = query_tokens(queries)
-    each = asked_only(bags.select("chunk_id", F.size("words").alias("dl"), *fields, F.explode("words").alias("token")), asked)
-    tf = each.groupBy("chunk_id", "dl", "token", *fields).agg(F.count("*").alias("tf"))
-    placed = filtered_chunks(tf, filters)
+    placed = filtered_chunks(tf.join(chunks.select("chunk_id", "dl", *fields), "chunk_id"), filters)
     df = placed.groupBy("filter_id", "token").agg(F.count("*").alias("df"))
     weighed = placed.join(stats, "filter_id").join(df, ["filter_id", "token"])
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     weighed = weighed.select("filter_id", "token", "chunk_id", (idf * norm).alias("w"))
     keyed = queries.select(*KEY, F.xxhash64(*[F.coalesce(F.col(f), F.lit("\\0")) for f in FILTERS]).alias("filter_id"))
-    scores = asked.join(keyed, KEY).join(weighed, ["filter_id", "token"]).groupBy(*KEY, "chunk_id").agg(F.round(F.sum(F.col("qn") * F.col("w")), 9).alias("score"))
-    # Rounded, so that equal texts tie whatever the order of summation.
-    scores = _bonus(scores, queries, bonus)
-    return (scores if bonus is None else _only_filtered(scores, chunks, queries)).where("score > 0")
+    return asked.join(keyed, KEY).join(weighed, ["filter_id", "token"]).groupBy(*KEY, "chunk_id").agg(F.round(F.sum(F.col("qn") * F.col("w")), 9).alias("score"))
 
 
 def top_k(scores: DataFrame, chunks: DataFrame, k: int = 5, partition: list[str] | None = None) -> DataFrame:

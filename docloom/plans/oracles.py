@@ -205,11 +205,11 @@ sel AS (SELECT * FROM sel0 WHERE rank <= 3)"""
 
 SOURCES = f"""
 {ISSUES}, {CHUNKS}, {TERMS},
-{lexical("SELECT DISTINCT query AS question_id, query, CAST(NULL AS VARCHAR) AS wanted FROM iss WHERE issue_type <> 'generic'", k=8)},
+{lexical("SELECT DISTINCT query AS question_id, query, CAST(NULL AS VARCHAR) AS wanted FROM iss", k=8)},
 cand AS (
   SELECT i.question_id, i.issue_idx, i.issue_type, i.query, b.chunk_id, c.doc_id, c.section_number AS sec, {norm("c.section_title")} AS title,
     CASE c.lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' ELSE c.lang END AS area, b.score, b.rank
-  FROM iss i JOIN best b ON b.question_id = i.query JOIN chunks c USING (chunk_id) WHERE i.issue_type <> 'generic'),
+  FROM iss i JOIN best b ON b.question_id = i.query JOIN chunks c USING (chunk_id)),
 {SELECTED}"""
 
 # Passages as questions, and the sources of their issues; bonus: SQL added to a score.
@@ -467,6 +467,9 @@ def oracle_sql() -> dict[str, str]:
         "lexical_filtered": f"WITH {CHUNKS}, {TERMS}, {lexical(BY_LANG)} {TOP}",
         "lexical_bonus": f"WITH {CHUNKS}, {TERMS}, {lexical(PLAIN, '+ CASE WHEN f.doc_id = p.question_id THEN 500 ELSE 0 END', 3)} {TOP}",
         "bm25_topk": f"WITH {CHUNKS}, {bm25(BY_LANG)} SELECT question_id, chunk_id, round(score, 6) AS score, rank FROM best",
+        "index_topk": f"WITH {CHUNKS}, {TERMS}, {lexical(PLAIN)} {TOP}",
+        "index_filtered": f"WITH {CHUNKS}, {TERMS}, {lexical(BY_LANG)} {TOP}",
+        "index_bm25": f"WITH {CHUNKS}, {bm25(BY_LANG)} SELECT question_id, chunk_id, round(score, 6) AS score, rank FROM best",
         "issue_inference": f"WITH {ISSUES} SELECT question_id, issue_idx, issue_type, policy_area, query, label FROM iss",
         "answer_templates": f"WITH {ISSUES} SELECT question_id, issue_type, {TEMPLATE} AS answer FROM iss",
         "missing_information": f"""WITH {ISSUES}, ak(issue_type, position, ask) AS (VALUES ('english', 0, 'Which source?'), ('english', 1, 'Which year?'), ('german', 0, 'Which state?')) SELECT question_id, issue_idx, CAST(position AS BIGINT) AS position, ask FROM iss JOIN ak USING (issue_type)""",

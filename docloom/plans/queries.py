@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from docloom.functions import temporal, text
 from docloom.operators import annotation, chunking, evaluation, graph, issues, references, registry, requests, retrieval, selection
 from docloom.plans.profile import POLICY_ISSUES, POLICY_SELECTION, POLICY_TAGS, TAG_FIELDS, Issue, Profile, Selection, TagGroup, TagRule, When
+from docloom.operators.term_index import TermIndex, fingerprint
 from docloom.plans.service import answer_metadata as metadata_of, answer_questions, retrieve_sources
 from docloom.sources.frontmatter import parse_frontmatter
+from docloom.sources.store import application_folder
 
 AS_OF = "1998-06-15"
 # The document whose sections the tag rules name.
@@ -53,6 +55,16 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> TermIndex:
+    """The stored index of the documents, built by the first query that asks for
+    it in two appends, English documents first; when the files of documents are
+    others, another index."""
+    version = fingerprint(table(spark, sf_dir, "documents"))
+    index, chunks = TermIndex(spark, f"{application_folder(spark)}/index-{version}"), document_chunks(spark, sf_dir)
+    english = F.coalesce(F.col("policy_area")[0] == "en", F.lit(False))
+    return index if index.version else index.append(chunks.where(english), version).append(chunks.where(~english), version)
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.lit(0).alias("issue_idx"), F.col("text").alias("query"))
 
@@ -166,12 +178,13 @@ def backend_runs(spark: SparkSession, sf_dir: str, backend: str) -> DataFrame:
 def ranked_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieved chunks of every issue of every user question, as candidates.
     Distinct queries are few; they are scored once and given to all questions."""
-    asked = issues.infer_issues(user_questions(spark, sf_dir), ISSUES).where("issue_type <> 'generic'")
+    asked = issues.infer_issues(user_questions(spark, sf_dir), ISSUES)
     plans = asked.select("issue_type", "query", "policy_area").distinct().withColumn("question_id", F.concat_ws("|", "issue_type", "query")).withColumn("issue_idx", F.lit(0))
-    chunks = document_chunks(spark, sf_dir)
-    # No filter, so that documents of other areas show in the selection.
-    ranked = retrieval.top_k(retrieval.lexical_scores(chunks, plans.select("question_id", "issue_idx", "query")), chunks, 8)
-    found = ranked.join(chunks.select("chunk_id", "doc_id", "section_number", "section_title", "policy_area"), "chunk_id").withColumnRenamed("question_id", "plan").drop("issue_idx")
+    # Generic questions are their own queries, so these are many: they are asked of
+    # the index. No filter, so that documents of other areas show in the selection.
+    index = document_index(spark, sf_dir)
+    ranked = index.top_k(plans.select("question_id", "issue_idx", "query"), 8)
+    found = ranked.join(index.chunks.select("chunk_id", "doc_id", "section_number", "section_title", "policy_area"), "chunk_id").withColumnRenamed("question_id", "plan").drop("issue_idx")
     # The area of a chunk is told by the issue type that asks for it.
     names = F.create_map(*[F.lit(x) for i in ISSUES if i.policy_area for x in (i.policy_area, i.issue_type)])
     found = found.withColumn("policy_area", F.transform("policy_area", lambda a: F.coalesce(F.element_at(names, a), a)))
@@ -425,6 +438,18 @@ def bm25_topk(spark, sf_dir):
     return retrieval.top_k(retrieval.bm25_scores(chunks, filtered_queries(spark, sf_dir)), chunks, 5).select("question_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def index_topk(spark, sf_dir):
+    return document_index(spark, sf_dir).top_k(benchmark_queries(spark, sf_dir), 5).select("question_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def index_filtered(spark, sf_dir):
+    return document_index(spark, sf_dir).top_k(filtered_queries(spark, sf_dir), 5).select("question_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def index_bm25(spark, sf_dir):
+    return document_index(spark, sf_dir).bm25_top_k(filtered_queries(spark, sf_dir), 5).select("question_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def issue_inference(spark, sf_dir):
     return issues.infer_issues(user_questions(spark, sf_dir), ISSUES).withColumn("issue_idx", F.col("issue_idx").cast("long"))
 
@@ -588,7 +613,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         normalize_documents, token_counts, slugs, previews, date_checks, natural_order, time_contexts, frontmatter, chunk_lines, regulation_chunks, chunk_merge, chunks_per_doc, annotate_tags, tag_frequency, policy_tags, policy_issues, policy_selection, policy_pruning,
         cross_references, reference_targets, link_references, link_support, external_nodes, isolated_references, reference_edges, document_nodes, chunk_nodes, node_index, tag_nodes, tag_edges, graph_summary, chunks_by_tag, two_hop_bonus, active_tags, graph_bonus,
-        lexical_topk, lexical_filtered, lexical_bonus, bm25_topk, issue_inference, answer_templates, missing_information, select_sources, prune_sources, multi_issue_union, raw_ranking, citation_numbers, answers, graph_sources, answer_metadata,
+        lexical_topk, lexical_filtered, lexical_bonus, bm25_topk, index_topk, index_filtered, index_bm25, issue_inference, answer_templates, missing_information, select_sources, prune_sources, multi_issue_union, raw_ranking, citation_numbers, answers, graph_sources, answer_metadata,
         active_documents, current_notices, missing_notice, notice_alerts, registry_validation, document_priority, passage_matches, eval_checks, ir_metrics, backend_compare, disagreements, failure_diagnosis, one_case, timed_runs,
         request_validation, request_statuses, rate_window, rate_limit_admitted,
     )}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.temporal import asks_about_current_term, requires_current_notice
@@ -10,25 +10,32 @@ from docloom.functions.text import preview, score_text
 from docloom.operators.graph import graph_bonus
 from docloom.operators.issues import answer_texts, infer_issues, number_citations
 from docloom.operators.registry import missing_notice
-from docloom.operators.retrieval import KEY, get_backend, top_k
-from docloom.operators.selection import prune_sources, select_sources, union_issues
+from docloom.operators.retrieval import KEY, bm25_scores, get_backend, lexical_scores, top_k
+from docloom.operators.selection import prune_sources, select_sources
+from docloom.operators.term_index import TermIndex
 from docloom.plans.profile import POLICY, Profile
+from docloom.sources.store import materialize
 
 NO_EVIDENCE = "Chưa tìm thấy quy định nào phù hợp."
 
 
 def retrieve_sources(
     chunks: DataFrame, issues: DataFrame, backend: str | None = None, k: int = 5, max_sources: int = 3, graph: tuple[DataFrame, DataFrame] | None = None, questions: DataFrame | None = None,
-    override: dict[str, str] | None = None, profile: Profile = POLICY, prune: bool = True,
+    override: dict[str, str] | None = None, profile: Profile = POLICY, prune: bool = True, index: TermIndex | None = None,
 ) -> DataFrame:
     """Selected sources of every issue: keys, chunk_id, score, rank, and the
     chunk's doc_id, section_number, section_title. The filter of an issue is its
-    policy area unless overridden. graph: (nodes, edges) for the bonus."""
+    policy area unless overridden. graph: (nodes, edges) for the bonus. index: a
+    stored one of the chunks, read in their place by the two built-in backends."""
     override = override or {}
     area = F.lit(override["policy_area"]) if override.get("policy_area") else F.col("policy_area")
     queries = issues.select(*KEY, "query", area.alias("policy_area"), *[F.lit(override[f]).alias(f) for f in ("action_tag", "requirement_tag", "risk_tag") if override.get(f)])
     bonus = graph_bonus(*graph, questions) if graph is not None and questions is not None else None
-    ranked = top_k(get_backend(backend)(chunks, queries, bonus), chunks, k)
+    ranked = None
+    if index is not None:
+        ranked = {lexical_scores: index.top_k, bm25_scores: index.bm25_top_k}.get(get_backend(backend))
+        chunks = chunks if ranked is None else index.chunks
+    ranked = top_k(get_backend(backend)(chunks, queries, bonus), chunks, k) if ranked is None else ranked(queries, k, bonus)
     named = ranked.join(chunks.select("chunk_id", "doc_id", "section_number", "section_title", F.col("policy_area")), "chunk_id")
     rows = named.join(issues.select(*KEY, "issue_type", "query"), KEY)
     selected = select_sources(rows, max_sources, profile.selection)
@@ -56,36 +63,40 @@ def health(chunks: DataFrame, *others: DataFrame) -> DataFrame:
 
 def answer_questions(
     questions: DataFrame, chunks: DataFrame, backend: str | None = None, k: int = 5, graph: tuple[DataFrame, DataFrame] | None = None, registry: DataFrame | None = None,
-    as_of: str | None = None, profile: Profile = POLICY, show_text: bool = False, override: dict[str, str] | None = None,
+    as_of: str | None = None, profile: Profile = POLICY, show_text: bool = False, override: dict[str, str] | None = None, index: TermIndex | None = None,
 ) -> DataFrame:
     """One row per question: answer, inferred_issues, selected_chunk_ids (in
-    order of issues, each once), warn_missing_notice, backend, uses_graph."""
+    order of issues, each once), warn_missing_notice, backend, uses_graph. The
+    selected sources, at most 3 an issue, are written once; citations, details
+    and the union are made of them in one pass for each question."""
     issues = infer_issues(questions, profile.issues)
-    sources = number_citations(retrieve_sources(chunks, issues, backend, k, min(3, k), graph, questions, override, profile))
-    texts = answer_texts(issues, profile.issues)
+    sources = materialize(retrieve_sources(chunks, issues, backend, k, min(3, k), graph, questions, override, profile, index=index).drop("policy_area"), "selected-sources")
+    # Few rows, whose chunks are the only ones that are looked at again.
     shown = F.coalesce("text", F.lit("")) if show_text else preview(F.col("text"), cut_first=True)
-    detail = sources.join(chunks.select("chunk_id", "text", "source_pdf"), "chunk_id")
-    title = F.coalesce(F.nullif(F.col("section_title"), F.lit("")), F.col("chunk_id"))
-    doc = F.col("doc_id").cast("string")
-    cite = F.concat(F.lit("* ["), F.col("citation").cast("string"), F.lit("] "), title, F.lit(" — "), doc, F.lit(" — score "), score_text(F.col("score")))
+    named = chunks.select("chunk_id", shown.alias("shown"), F.coalesce(F.nullif(F.col("source_pdf"), F.lit("")), F.lit("N/A")).alias("pdf"))
+    detail = number_citations(sources).join(named, "chunk_id")
+    title, doc = F.coalesce(F.nullif(F.col("section_title"), F.lit("")), F.col("chunk_id")), F.col("doc_id").cast("string")
+    mark = F.concat(F.lit("["), F.col("citation").cast("string"), F.lit("] "), title)
+    cite = F.concat(F.lit("* "), mark, F.lit(" — "), doc, F.lit(" — score "), score_text(F.col("score")))
     block = F.concat(
-        F.lit("["), F.col("citation").cast("string"), F.lit("] "), title, F.lit("\n* chunk_id: "), F.col("chunk_id"), F.lit("\n* doc_id: "), doc,
-        F.lit("\n* source_pdf: "), F.coalesce(F.nullif(F.col("source_pdf"), F.lit("")), F.lit("N/A")), F.lit("\n* score: "), score_text(F.col("score")), F.lit("\n* preview: "), shown, F.lit("\n"),
+        mark, F.lit("\n* chunk_id: "), F.col("chunk_id"), F.lit("\n* doc_id: "), doc,
+        F.lit("\n* source_pdf: "), F.col("pdf"), F.lit("\n* score: "), score_text(F.col("score")), F.lit("\n* preview: "), F.col("shown"), F.lit("\n"),
     )
-    detail = detail.select(*KEY, "rank", "citation", "chunk_id", cite.alias("cite"), block.alias("block"))
+    used = F.struct("issue_idx", "rank", "citation", "chunk_id", cite.alias("cite"), block.alias("block"))
+    uses = detail.groupBy("question_id").agg(F.sort_array(F.collect_list(used)).alias("uses"))
+    # A citation is numbered by its first use, which gives its score and preview.
+    firsts = F.filter("uses", lambda u, i: ~F.exists(F.slice(F.col("uses"), F.lit(1), i), lambda v: v["citation"] == u["citation"]))
+    named = answer_texts(issues, profile.issues).groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("issue_idx", "issue_type", "label", "policy_area", "answer"))).alias("all_issues"))
+    rows = questions.select("question_id", "question").join(named, "question_id").join(uses, "question_id", "left").withColumn("firsts", firsts)
 
-    def lines(name: str):
-        return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", name))), lambda x: x[name]), "\n")
+    def section(i: Column) -> Column:
+        """The part of an issue, null without sources."""
+        own = F.filter("uses", lambda u: u["issue_idx"] == i["issue_idx"])
+        cites = F.array_join(F.transform(own, lambda u: u["cite"]), "\n")
+        return F.when(F.size(own) > 0, F.concat(F.lit("## "), (i["issue_idx"] + 1).cast("string"), F.lit(". "), i["label"], F.lit("\n\n"), i["answer"], F.lit("\n\nCăn cứ chính:\n"), cites, F.lit("\n")))
 
-    per_issue = detail.groupBy(*KEY).agg(lines("cite").alias("cites")).join(texts, KEY)
-    head = F.concat(F.lit("## "), (F.col("issue_idx") + 1).cast("string"), F.lit(". "), F.col("label"), F.lit("\n\n"), F.col("answer"), F.lit("\n\nCăn cứ chính:\n"), F.col("cites"), F.lit("\n"))
-    sections = per_issue.groupBy("question_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("issue_idx", head.alias("s")))), lambda x: x["s"]), "\n").alias("sections"))
-    # The first use of a source gives its score and preview.
-    first = detail.groupBy("question_id", "citation").agg(F.min_by("block", F.struct("issue_idx", "rank")).alias("block"))
-    details = first.groupBy("question_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("citation", "block"))), lambda x: x["block"]), "\n").alias("details"))
-    named = issues.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("issue_idx", "issue_type", "label", "policy_area"))).alias("all_issues"))
-    chosen = union_issues(sources).groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "chunk_id"))), lambda x: x["chunk_id"]).alias("selected_chunk_ids"))
-    rows = questions.select("question_id", "question").join(named, "question_id").join(sections, "question_id", "left").join(details, "question_id", "left").join(chosen, "question_id", "left")
+    rows = rows.withColumn("sections", F.when(F.col("uses").isNotNull(), F.array_join(F.transform("all_issues", section), "\n")))
+    rows = rows.withColumn("details", F.array_join(F.transform("firsts", lambda u: u["block"]), "\n")).withColumn("selected_chunk_ids", F.transform("firsts", lambda u: u["chunk_id"]))
     if registry is not None and as_of is not None:
         asked = rows.select("question_id", "question", F.col("all_issues")[0]["policy_area"].alias("policy_area"))
         rows = rows.join(missing_notice(asked, registry, chunks, as_of).select("question_id", F.col("warn").alias("warn_missing_notice")), "question_id")
