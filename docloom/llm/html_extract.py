@@ -11,16 +11,18 @@ layout that only some pages of a host have is a class below the root. Text
 blocks of a class of elements that come once a page are constant text.
 
 What is left between the tokens of the template are slots. `deduce` follows the
-slots from the root to those that hold the main text: a nested container that is
-mostly links is a menu, one that holds little beside its neighbours is a side
-slot, constant text counts for nothing, and the search goes on in every
-container that holds a fair share, down to the elements whose own slots hold the
-text. Layouts are compared on their own pages, so each is followed. Elements
-whose tag, role or class declares a menu, header, footer, sidebar, notice,
-advert, form, script or comment are never main text. Tags that declare content
-(article, main) decide only where no template speaks: on the single page of a
-host, on a page without any main slot of its host, and on hosts whose pages are
-all copies.
+slots from the root to those that hold the main text. The page as a whole, and an
+element without text of its own beside its containers, are followed into every
+container that holds a fair share; what is mostly links is a menu, and constant
+text counts for nothing. An element with varying text of its own is a main slot,
+and all that it holds is kept: headings, leads, small parts, lists of links, lines
+that recur. Only constant text goes that stands in an element of a class of its
+own which never holds anything else, or in the page outside of all containers.
+Layouts are compared on their own pages, so each is followed. Elements whose tag,
+role or class declares a menu, header, footer, sidebar, notice, advert, form,
+script or comment are never main text. Declared content (article, main) is main
+text wherever it stands, and no plan drops anything in it; where a page has
+neither a main slot nor declared content, all that is not declared noise is kept.
 
 Vectors are never built: the fingerprint of a vector is the sum of a hash of
 (page, count) over pages, where the page is the hash of its html and not an id;
@@ -66,6 +68,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table div article section main body".split())
 CONTENT = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements that hold others, and may be a slot of their own.
 CONTAINERS = frozenset("html body main article section div center table tbody tr td header footer nav aside ul ol dl form fieldset".split())
 
@@ -83,10 +86,7 @@ LEAST_PAGES = 2
 SUPPORT = 0.01
 #: Containers with a smaller share of what surrounds them are side slots.
 SIDE = 0.1
-#: Constant text inside a main slot goes where so many pages show it.
-CONSTANT_PAGES = 10
-
-CONTAINER, DECLARED_NOISE, TOP, HEADING = 1, 2, 4, 8
+CONTAINER, DECLARED_NOISE, TOP, HEADING, CLASSED = 1, 2, 4, 8, 16
 
 
 @dataclass
@@ -227,7 +227,7 @@ def parse(source: str) -> Page:
             label += "!"  # a role or an id may declare it: a path of its own
         page.parent.append(around)
         page.token.append(_tokens[page.token[around], label])
-        page.flags.append(CONTAINER * (tag in CONTAINERS) | DECLARED_NOISE * declared | TOP * (tag in ("html", "body")) | HEADING * (tag == "h1"))
+        page.flags.append(CONTAINER * (tag in CONTAINERS) | DECLARED_NOISE * declared | TOP * (tag in ("html", "body")) | HEADING * (tag in HEADINGS) | CLASSED * ("." in label))
         page.noise.append(noisy or declared)
         page.inside.append(inside or tag in CONTENT)
         stack.append((tag, len(page.parent) - 1))
@@ -375,29 +375,38 @@ def deduce(tokens: list[Token]) -> tuple[list[int], list[int], list[int]]:
     def menu(e: Token) -> bool:
         return bool(e.flags & DECLARED_NOISE) or 2 * e.links >= e.chars
 
-    todo = [(template[0], False)]
+    todo = [template[0]]
     while todo:
-        e, found = todo.pop()
-        slots = [k for k in children[e.token] if k.flags & CONTAINER and k.n == k.pages and k.chars]
-        noise += [k.token for k in slots if menu(k)]
-        slots = [k for k in slots if not menu(k) and weight[k.token]]
-        if found:  # inside a main slot only menus go
-            todo += [(k, True) for k in slots]
-            continue
+        e = todo.pop()
+        parts_ = [k for k in children[e.token] if k.flags & CONTAINER and k.n == k.pages and k.chars]
+        slots = [k for k in parts_ if not menu(k) and weight[k.token]]
         large = [k for k in slots if average(k) >= SIDE * average(e)]
-        own = weight[e.token] - sum(weight[k.token] for k in children[e.token] if k.flags & CONTAINER and k.n == k.pages)
-        if not large or own >= SIDE * weight[e.token]:
-            # Its own slot holds text. Beside a page's text small containers are
-            # side slots; those of an inner element are parts of its text.
+        own, top = weight[e.token] - sum(weight[k.token] for k in parts_), bool(e.flags & TOP)
+        if not large or (own >= SIDE * weight[e.token] if top else own > 0):
+            # It has text of its own beside its containers, so all that it holds
+            # is main text, small parts and lists of links too; only the page as
+            # a whole holds side slots.
             if weight[e.token]:
                 main.append(e.token)
-            beside = large if e.flags & TOP and large else slots
-            noise += {k.token for k in slots} - {k.token for k in beside}
-            todo += [(k, True) for k in beside]
+            noise += [k.token for k in parts_ if top and k not in large]
         else:
             main += [k.token for k in children[e.token] if k.flags & HEADING]
-            todo += [(k, False) for k in large]
-    return sorted(main), sorted(noise), sorted(t.token for t in constant if t.pages >= CONSTANT_PAGES) if main else []
+            todo += large
+
+    chosen = set(main)
+
+    def template_text(t: Token) -> bool:
+        """Whether a constant text stands in an element of a class of its own
+        that never holds anything else, or in no main slot but the page itself.
+        A plain paragraph of a main slot that recurs is text."""
+        at = t.around
+        if at in template and template[at].flags & CLASSED and not weight[at] and at not in chosen:
+            return True
+        while at in template and at not in chosen and at:
+            at = template[at].around
+        return at in chosen and bool(template[at].flags & TOP)
+
+    return sorted(main), sorted(noise), sorted(t.token for t in constant if template_text(t)) if main else []
 
 
 PLANS = "host string, main array<long>, noise array<long>, constant array<long>"
@@ -416,18 +425,19 @@ def host_plans(valid: DataFrame) -> DataFrame:
 
 
 def extract_text(source: str, main: Iterable[int] | None = None, noise: Iterable[int] | None = None, constant: Iterable[int] | None = None) -> str:
-    """The text of the main slots of a page, or of its declared content."""
+    """The text of the main slots of a page and of its declared content, in
+    which no plan drops anything; all text that is not noise where a page has
+    neither."""
     page = parse(source)
     main, noise, constant = set(main or ()), set(noise or ()), set(constant or ())
     state = [False] * len(page.parent)  # in a main slot
     dropped = [False] * len(page.parent)
     for i, (parent, token) in enumerate(zip(page.parent, page.token, strict=True)):
-        dropped[i] = page.noise[i] or token in noise or (i > 0 and dropped[parent])
-        state[i] = not dropped[i] and (token in main or (i > 0 and state[parent]))
-    kept = [text for element, text, _ in page.blocks if state[element] and not (constant and text_token(page.token[element], text) in constant)]
+        dropped[i] = page.noise[i] or not page.inside[i] and (token in noise or (i > 0 and dropped[parent]))
+        state[i] = not dropped[i] and (page.inside[i] or token in main or (i > 0 and state[parent]))
+    kept = [text for element, text, _ in page.blocks if state[element] and (page.inside[element] or not constant or text_token(page.token[element], text) not in constant)]
     if not kept:
-        free = [(element, text) for element, text, _ in page.blocks if not page.noise[element]]
-        kept = [text for element, text in free if page.inside[element]] or [text for _, text in free]
+        kept = [text for element, text, _ in page.blocks if not page.noise[element]]
     return " ".join(kept)
 
 

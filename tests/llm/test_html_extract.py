@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 from collections import Counter, defaultdict
 
@@ -148,3 +149,25 @@ def test_time_is_linear_in_the_source(source):
 def test_deep_pages(spark):
     got = extracted(spark, [(k, "http://h.example/", "<div>x" * 20_000 + str(k)) for k in range(3)])
     assert got == {k: f"x{k}" for k in range(3)}  # all else is constant text around the one slot
+
+
+LAYOUTS = {
+    "heading, lead, content": "<h2>{title}</h2><p class='lead'>{lead}</p><div class='content'><p>{a}</p><p>{b}</p></div>",
+    "lead in a box": "<h1>{title}</h1><div class='lead'>{lead}</div><div class='content'><p>{a}</p><p>{b}</p></div>",
+    "list of links": "<h1>{title}</h1><p>{a}</p><ul class='refs'><li><a href='/x'>{lead}</a></li><li><a href='/y'>{title} two</a></li></ul><p>{b}</p>",
+    "line that recurs": "<h1>{title}</h1><div class='content'><p>{a}</p><p>{b}</p></div><p>Thanks for reading this journal.</p>",
+}
+
+
+@pytest.mark.parametrize("around", ["article", "div class='q'"])
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("pages", [9, 12, 60])
+def test_nothing_of_an_article_is_lost(spark, around, layout, pages):
+    rng, rows, want = random.Random(layout), [], {}
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    for k in range(pages):
+        inner = LAYOUTS[layout].format(title=text(4), lead=text(8), a=text(rng.randint(30, 90)), b=text(rng.randint(30, 90)))
+        body = f"<{around}>{inner}</{around.split()[0]}>"
+        rows.append((k, "http://h.example/" + str(k), f"<html><body><div class='t'><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul></div>{body}<div class='z'>Imprint of the site</div></body></html>"))
+        want[k] = " ".join(re.sub("<[^>]*>", "\n", inner).split())
+    assert {k: v.split() for k, v in extracted(spark, rows).items()} == {k: v.split() for k, v in want.items()}
