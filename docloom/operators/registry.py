@@ -68,6 +68,33 @@ def current_notices(records: DataFrame, as_of: str) -> DataFrame:
     return records.where(F.col("document_type").isin(*NOTICES) & is_active(as_of)).select("doc_id", area_list(F.col("policy_area"), kind).alias("areas"))
 
 
+def active_on_days(questions: DataFrame, records: DataFrame) -> DataFrame:
+    """questions (question_id, day, policy_area) with active_documents and
+    active_notices: those in force on the question's own day, ends included, of
+    its area or of all where it has none.
+
+    Each period adds one on its first day and takes one off after its last; the
+    sums of these changes, one for each area and day, are what is in force. So
+    the work is that of counting days, not of pairs, and open ends need no
+    bins: what has no first day is there before all others. A question without
+    a day has nulls."""
+    kind = records.schema["policy_area"].dataType
+    begin, end = date_or_null(F.col("effective_from")), date_or_null(F.col("effective_to"))
+    periods = records.where((F.col("status") == "active") & (begin.isNull() | end.isNull() | (begin <= end)))
+    # Each record counts once for each of its areas, and once for no area.
+    areas = F.array_distinct(F.concat(F.coalesce(area_list(F.col("policy_area"), kind), F.array().cast("array<string>")), F.array(F.lit(None).cast("string"))))
+    notice = F.col("document_type").isin(*NOTICES).cast("long")
+    changes = F.array(F.struct(F.coalesce(begin, F.to_date(F.lit("0001-01-01"))).alias("day"), F.lit(1).cast("long").alias("sign")), F.struct(F.date_add(end, 1).alias("day"), F.lit(-1).cast("long").alias("sign")))
+    steps = periods.select(notice.alias("notice"), F.explode(areas).alias("area"), changes.alias("changes")).select("notice", "area", F.explode("changes").alias("c")).where("c.day is not null")
+    steps = steps.groupBy("area", F.col("c.day").alias("day")).agg(F.sum("c.sign").alias("n"), F.sum(F.col("c.sign") * F.coalesce("notice", F.lit(0))).alias("m"))
+    days = questions.where("day is not null").select(F.col("policy_area").alias("area"), "day").distinct()
+    zero = F.lit(0).cast("long")
+    both = steps.unionByName(days.select("area", "day", zero.alias("n"), zero.alias("m"))).groupBy("area", "day").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    running = Window.partitionBy("area").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # days, not records
+    force = both.select(F.col("area").alias("_area"), F.col("day").alias("_day"), F.sum("n").over(running).alias("active_documents"), F.sum("m").over(running).alias("active_notices"))
+    return questions.join(force, (F.col("day") == F.col("_day")) & F.col("policy_area").eqNullSafe(F.col("_area")), "left").drop("_area", "_day")
+
+
 def missing_notice(questions: DataFrame, records: DataFrame, chunks: DataFrame, as_of: str) -> DataFrame:
     """questions (question_id, question, policy_area) with needs_notice,
     active_notices, covered_notices (with a chunk) and warn: a notice is needed

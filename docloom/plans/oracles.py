@@ -489,6 +489,10 @@ def oracle_sql() -> dict[str, str]:
         "answer_metadata": f"""WITH {QUESTIONS} SELECT question_id, 'tables' AS domain_id, (SELECT count(*) FROM documents) AS chunks_loaded, true AS uses_document_registry, false AS uses_graph, 'lexical_v0' AS retrieval_backend,
               {has(norm("question"), "hoc ky nay", "deadline", "thoi han", "khi nao", "bao gio", "lich thi", "ke hoach")} AS is_time_sensitive FROM uq""",
         "active_documents": f"WITH {RECORDS} SELECT ord, doc_id, document_type FROM act",
+        "validity_by_day": f"""WITH {RECORDS}, a AS (SELECT document_type IN ('semester_notice', 'annual_notice') AS notice, areas, coalesce(TRY_CAST(effective_from AS DATE), DATE '0001-01-01') AS b, coalesce(TRY_CAST(effective_to AS DATE), DATE '9999-12-31') AS e FROM rec WHERE status = 'active'),
+            q AS (SELECT l_orderkey || '-' || l_linenumber AS question_id, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_linenumber < 6 THEN CAST(l_linenumber AS VARCHAR) END AS area FROM lineitem), k AS (SELECT DISTINCT day, area FROM q),
+            c AS (SELECT k.day, k.area, count(a.b) AS n, count(a.b) FILTER (notice) AS m FROM k LEFT JOIN a ON k.day BETWEEN a.b AND a.e AND (k.area IS NULL OR list_contains(a.areas, k.area)) GROUP BY ALL)
+            SELECT question_id, strftime(q.day, '%Y-%m-%d') AS day, n AS active_documents, m AS active_notices FROM q JOIN c ON c.day = q.day AND c.area IS NOT DISTINCT FROM q.area""",
         "current_notices": f"WITH {RECORDS} SELECT doc_id, array_to_string(areas, '|') AS areas FROM act WHERE document_type IN ('semester_notice', 'annual_notice')",
         "missing_notice": f"""WITH {RECORDS}, {QUESTIONS}, nt AS (SELECT doc_id, areas, doc_id IN (SELECT doc_id FROM rec WHERE ord IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) AS held FROM act WHERE document_type IN ('semester_notice', 'annual_notice')),
             pa AS (SELECT area, count(*) AS n, sum(held::INT) AS m FROM (SELECT DISTINCT unnest(areas) AS area, doc_id, held FROM nt) GROUP BY area), tot AS (SELECT count(*) AS n, coalesce(sum(held::INT), 0) AS m FROM nt),

@@ -507,6 +507,14 @@ def active_documents(spark, sf_dir):
     return registry.active_documents(registry_records(spark, sf_dir), AS_OF).select("ord", "doc_id", "document_type")
 
 
+def validity_by_day(spark, sf_dir):
+    """Each order line asks on the day it was shipped, of one area or of all."""
+    area = F.when(F.col("l_linenumber") < 6, F.col("l_linenumber").cast("string"))
+    asked = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("question_id"), F.to_date("l_shipdate").alias("day"), area.alias("policy_area"))
+    found = registry.active_on_days(asked, registry_records(spark, sf_dir))
+    return found.select("question_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "active_documents", "active_notices")
+
+
 def current_notices(spark, sf_dir):
     return registry.current_notices(registry_records(spark, sf_dir), AS_OF).select("doc_id", F.array_join("areas", "|").alias("areas"))
 
@@ -614,6 +622,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         normalize_documents, token_counts, slugs, previews, date_checks, natural_order, time_contexts, frontmatter, chunk_lines, regulation_chunks, chunk_merge, chunks_per_doc, annotate_tags, tag_frequency, policy_tags, policy_issues, policy_selection, policy_pruning,
         cross_references, reference_targets, link_references, link_support, external_nodes, isolated_references, reference_edges, document_nodes, chunk_nodes, node_index, tag_nodes, tag_edges, graph_summary, chunks_by_tag, two_hop_bonus, active_tags, graph_bonus,
         lexical_topk, lexical_filtered, lexical_bonus, bm25_topk, index_topk, index_filtered, index_bm25, issue_inference, answer_templates, missing_information, select_sources, prune_sources, multi_issue_union, raw_ranking, citation_numbers, answers, graph_sources, answer_metadata,
-        active_documents, current_notices, missing_notice, notice_alerts, registry_validation, document_priority, passage_matches, eval_checks, ir_metrics, backend_compare, disagreements, failure_diagnosis, one_case, timed_runs,
+        active_documents, validity_by_day, current_notices, missing_notice, notice_alerts, registry_validation, document_priority, passage_matches, eval_checks, ir_metrics, backend_compare, disagreements, failure_diagnosis, one_case, timed_runs,
         request_validation, request_statuses, rate_window, rate_limit_admitted,
     )}
