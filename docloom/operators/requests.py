@@ -35,9 +35,13 @@ def window_counts(events: DataFrame, client: str, ts: str, seconds: int) -> Data
 def admit(events: DataFrame, client: str, ts: str, key: str, limit: int = 30, seconds: int = 60) -> DataFrame:
     """(client, key, ts, admitted, retry_after): an event is admitted if fewer
     than `limit` admitted ones lie in the window before it; rejected events do
-    not count. Rows without a time are no events and are left out. Sequential for each client: rows come in order and only the
-    admitted times of one client's window are held, whatever its number of
-    events."""
+    not count. Rows without a time are no events and are left out.
+
+    Time is cut into bins of one window. Where a client has an empty bin, what
+    comes after cannot depend on what came before, so a client is dealt to tasks
+    by its runs of filled bins. Within a run rows come in order, and only the
+    admitted times of one window are held. A client without a pause of a bin is
+    one run."""
     fields = events.select(F.col(client).alias("client"), F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
     kinds = {f.name: f.dataType.simpleString() for f in fields.schema.fields}
     span = seconds * 1_000_000
@@ -46,7 +50,7 @@ def admit(events: DataFrame, client: str, ts: str, key: str, limit: int = 30, se
         now, held = object(), deque()
         for batch in batches:
             admitted, wait = [], []
-            for who, at in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for *who, at in zip(*(batch.column(k).to_pylist() for k in (0, 4, 3)), strict=True):
                 if who != now:
                     now, held = who, deque()
                 while held and held[0] <= at - span:
@@ -57,5 +61,13 @@ def admit(events: DataFrame, client: str, ts: str, key: str, limit: int = 30, se
                     held.append(at)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(admitted, pa.bool_()), pa.array(wait, pa.int64())], ["client", "key", "ts", "admitted", "retry_after"])
 
-    ordered = fields.where("at is not null").repartition("client").sortWithinPartitions("client", "at", "key")
+    binned = fields.where("at is not null").withColumn("bin", F.expr(f"(at - pmod(at, {span})) div {span}"))
+    bins = binned.select("client", "bin").distinct()
+    # Over the bins of a client, however many events they have.
+    order = Window.partitionBy("client").orderBy("bin")
+    starts = F.coalesce(F.col("bin") - F.lag("bin").over(order) > 1, F.lit(True))
+    runs = bins.withColumn("_starts", starts.cast("int")).withColumn("run", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.select(F.col("client").alias("_client"), F.col("bin").alias("_bin"), "run")
+    placed = binned.join(runs, F.col("client").eqNullSafe(F.col("_client")) & (F.col("bin") == F.col("_bin")))
+    ordered = placed.select("client", "key", "ts", "at", "run").repartition("client", "run").sortWithinPartitions("client", "run", "at", "key")
     return ordered.mapInArrow(run, f"client {kinds['client']}, key {kinds['key']}, ts {kinds['ts']}, admitted boolean, retry_after long")
