@@ -1,10 +1,11 @@
-"""Section chunks: line states by windows, short sections merged upwards."""
+"""Section chunks: lines, sections and the merge of short ones within a row."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import char_count, slugify, strip, word_count
@@ -46,45 +47,94 @@ PROSE = Headings(
     chapter="^(.{1,12})$", appendix="^(Annex .*)$", sub="^(Table .*)$", article="^()(.{13,40})()$", number=3, title=2, appendix_label="^Annex ([0-9]+)", article_word="Section"
 )
 
+# The output columns of chunks.
 CHUNK_COLUMNS = (
     "chunk_id", "doc_id", "title", "decision_no", "issued_date", "institution", "education_mode", "chapter_title",
     "section_title", "section_number", "chunk_type", "source_path", "source_pdf", "text", "char_count", "word_count",
 )
 
 
-def line_segments(docs: DataFrame, headings: Headings = REGULATION) -> DataFrame:
-    """(doc_id, seg_id, chunk_type, heading, chapter_title, appendix_label,
-    appendix_sub, text) from docs (doc_id, body). Empty segments are dropped."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _counts(letters: Column, mark: str) -> Column:
+    """For each letter of a string the number of marks up to and with it."""
+    parts = F.regexp_extract_all(F.concat(F.lit(mark), letters), F.lit(f"{mark}[^{mark}]*"), F.lit(0))
+    # The leading mark is not of the string: it opens the part before the first.
+    return F.flatten(F.transform(parts, lambda p, i: F.array_repeat(i, F.length(p) - F.when(i == 0, 1).otherwise(0))))
+
+
+# One letter for each kind of line.
+KINDS = {"c": "chapter_header", "a": "appendix", "d": "dieu", "s": "appendix_sub", "-": "preamble"}
+
+
+def section_array(body: Column, headings: Headings = REGULATION) -> Column:
+    """The sections of a text as an array of structs (seg_id, chunk_type, heading,
+    chapter_title, appendix_label, appendix_sub, text) in order, empty ones left
+    out; null for null. Everything happens within the row: a kind for each line,
+    cuts at headings, and what holds from the last chapter or appendix by
+    numbering them. Work is linear in the lines."""
     h = headings
-    lines = docs.select("doc_id", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
-    s = strip(F.col("line"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.select("doc_id", "pos", "line", s.alias("s")).select(
-        "*", F.when(F.col("s").rlike(h.chapter), "chapter_header").when(F.col("s").rlike(h.appendix), "appendix").when(F.col("s").rlike(h.article), "dieu").alias("main")
+
+    def label(s: Column) -> Column:
+        name = F.regexp_extract(s, h.appendix, 1)
+        return _let(F.regexp_extract(name, h.appendix_label, 1), lambda n: F.when(n != "", n).otherwise(slugify(strip(name))))
+
+    def inside(main: Column) -> Column:
+        """Whether the last chapter, appendix or article before a line is an
+        appendix; place 0 is of an invented line before the first."""
+        parts = F.regexp_extract_all(F.concat(F.lit("x"), F.array_join(main, "")), F.lit("[xcad]-*"), F.lit(0))
+        after = lambda p: F.startswith(p, F.lit("a"))
+        return _let(
+            parts,
+            lambda ps: F.flatten(F.transform(ps, lambda p, i: F.concat(F.array(F.coalesce(after(F.get(ps, i - 1)), F.lit(False))), F.array_repeat(after(p), F.length(p) - 1)))),
+        )
+
+    def kinds(bare: Column) -> Column:
+        main = F.transform(bare, lambda s: F.when(s.rlike(h.chapter), "c").when(s.rlike(h.appendix), "a").when(s.rlike(h.article), "d").otherwise("-"))
+        sub = lambda s, k, within: within & k.isin("-", "d") & s.rlike(h.sub)
+        return _let(main, lambda m: _let(inside(m), lambda w: F.transform(bare, lambda s, i: F.when(sub(s, m[i], w[i + 1]), "s").otherwise(m[i]))))
+
+    def sections(lines: Column, bare: Column, kind: Column, starts: Column) -> Column:
+        letters = F.array_join(F.transform(starts, lambda i: kind[i]), "")
+        titles = F.transform(F.filter(bare, lambda s, i: kind[i] == "c"), lambda s: strip(F.regexp_extract(s, h.chapter, 1)))
+        labels = F.transform(F.filter(bare, lambda s, i: kind[i] == "a"), label)
+
+        def section(at: Column, j: Column, chapter: Column, appendix: Column, title: Column, name: Column) -> Column:
+            k, s = kind[at], bare[at]
+            until = F.coalesce(F.get(starts, j + 1), F.size(lines))
+            kept = F.concat(F.array(F.when(k == "-", lines[at]).otherwise(s)), F.slice(lines, at + 2, until - at - 1))
+            of = F.lit(KINDS["-"])
+            for letter, word in KINDS.items():
+                of = F.when(k == letter, word).otherwise(of)
+            return F.struct(
+                (j + F.when(kind[0] == "-", 0).otherwise(1)).cast("long").alias("seg_id"), of.alias("chunk_type"), F.when(k == "-", "").otherwise(s).alias("heading"),
+                F.coalesce(F.get(title, chapter[j] - 1), F.lit("")).alias("chapter_title"), F.coalesce(F.get(name, appendix[j] - 1), F.lit("")).alias("appendix_label"),
+                F.when(k == "s", strip(F.regexp_extract(s, h.sub, 1))).alias("appendix_sub"), strip(F.array_join(kept, "\n")).alias("text"),
+            )
+
+        return _let(
+            F.struct(_counts(letters, "c").alias("c"), _counts(letters, "a").alias("a"), titles.alias("t"), labels.alias("l")),
+            lambda v: F.transform(starts, lambda at, j: section(at, j, v["c"], v["a"], v["t"], v["l"])),
+        )
+
+    def starts_of(kind: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(kind) - 1), lambda i: (i == 0) | (kind[i] != "-"))
+
+    found = _let(
+        F.split(body, "\n", -1),
+        lambda lines: _let(F.transform(lines, strip), lambda bare: _let(kinds(bare), lambda kind: _let(starts_of(kind), lambda starts: sections(lines, bare, kind, starts)))),
     )
-    # Only chapters, appendices and articles change whether a line is in one.
-    inside = F.coalesce(F.last(F.col("main") == "appendix", ignorenulls=True).over(before), F.lit(False))
-    sub = inside & F.col("s").rlike(h.sub) & (F.col("main").isNull() | (F.col("main") == "dieu"))
-    lines = lines.withColumn("kind", F.when(sub, "appendix_sub").otherwise(F.col("main")))
-    label = F.regexp_extract(F.regexp_extract("s", h.appendix, 1), h.appendix_label, 1)
-    label = F.when(label != "", label).otherwise(slugify(strip(F.regexp_extract("s", h.appendix, 1))))
-    kind = F.col("kind")
-    lines = lines.select(
-        "doc_id", "pos", kind,
-        F.when(kind.isNotNull(), F.col("s")).otherwise(F.col("line")).alias("kept"),
-        F.sum(F.when(kind.isNotNull(), 1).otherwise(0)).over(upto).alias("seg_id"),
-        F.coalesce(F.last(F.when(kind == "chapter_header", strip(F.regexp_extract("s", h.chapter, 1))), ignorenulls=True).over(upto), F.lit("")).alias("chapter_title"),
-        F.coalesce(F.last(F.when(kind == "appendix", label), ignorenulls=True).over(upto), F.lit("")).alias("appendix_label"),
-        F.when(kind == "appendix_sub", strip(F.regexp_extract("s", h.sub, 1))).alias("appendix_sub"),
-        F.when(kind.isNotNull(), F.col("s")).alias("heading"),
-    )
-    grouped = lines.groupBy("doc_id", "seg_id").agg(
-        F.coalesce(F.max("kind"), F.lit("preamble")).alias("chunk_type"), F.coalesce(F.max("heading"), F.lit("")).alias("heading"), F.max("chapter_title").alias("chapter_title"),
-        F.max("appendix_label").alias("appendix_label"), F.max("appendix_sub").alias("appendix_sub"), F.sort_array(F.collect_list(F.struct("pos", "kept"))).alias("lines"),
-    )
-    text = strip(F.array_join(F.transform("lines", lambda x: x["kept"]), "\n"))
-    return grouped.withColumn("text", text).drop("lines").where("text <> ''")
+    return F.when(body.isNotNull(), F.filter(found, lambda x: x["text"] != ""))
+
+
+def line_segments(docs: DataFrame, headings: Headings = REGULATION) -> DataFrame:
+    """section_array of docs (doc_id, body) as rows, other columns kept."""
+    rest = [c for c in docs.columns if c != "body"]
+    # The outer form, whose plan doesn't compute the array once more to see whether it is empty.
+    return docs.select(*rest, F.inline_outer(section_array(F.col("body"), headings))).where("text is not null")
 
 
 def name_sections(segments: DataFrame, headings: Headings = REGULATION) -> DataFrame:
@@ -107,19 +157,44 @@ def name_sections(segments: DataFrame, headings: Headings = REGULATION) -> DataF
     return named.withColumn("chunk_id", chunk_id)
 
 
+def merge_array(sections: Column, fields: Sequence[str], min_chars: int = 80) -> Column:
+    """Chunks of an array of sections (fields, among them text) in order: those
+    below min_chars are appended to the chunk before them, the first always
+    starts one. Each gives chunk_no from 1, the fields of its first section and
+    the joined text."""
+
+    def chunk(all_: Column, starts: Column, at: Column, j: Column) -> Column:
+        size = F.coalesce(F.get(starts, j + 1), F.size(all_)) - at
+        text = F.array_join(F.transform(F.slice(all_, at + 1, size), lambda x: x["text"]), "\n\n")
+        return F.struct((j + 1).cast("long").alias("chunk_no"), *[all_[at][c].alias(c) for c in fields if c != "text"], text.alias("text"))
+
+    def starts_of(all_: Column) -> Column:
+        return F.filter(F.transform(all_, lambda x, i: F.when((i == 0) | (F.length(x["text"]) >= min_chars), i)), lambda i: i.isNotNull())
+
+    return _let(sections, lambda all_: _let(starts_of(all_), lambda starts: F.transform(starts, lambda at, j: chunk(all_, starts, at, j))))
+
+
+SECTION_FIELDS = ("seg_id", "chunk_type", "heading", "chapter_title", "appendix_label", "appendix_sub", "text")
+
+
+def _counted(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("char_count", char_count(F.col("text"))).withColumn("word_count", word_count(F.col("text")))
+
+
+def merged_sections(docs: DataFrame, headings: Headings = REGULATION, min_chars: int = 80) -> DataFrame:
+    """Named chunks of docs (doc_id, body), other columns kept. A document is one
+    row throughout, so nothing is shuffled."""
+    rest = [c for c in docs.columns if c != "body"]
+    merged = merge_array(section_array(F.col("body"), headings), SECTION_FIELDS, min_chars)
+    return _counted(name_sections(docs.select(*rest, F.inline_outer(merged)).where("chunk_no is not null"), headings))
+
+
 def merge_short(segments: DataFrame, min_chars: int = 80) -> DataFrame:
-    """Appends segments below min_chars to the chunk before them in their
-    document; the first segment always starts a chunk. Whether a segment starts
-    one depends on its own length alone, so this is a running sum."""
-    order = Window.partitionBy("doc_id").orderBy("seg_id")
-    starts = (F.length("text") >= min_chars) | (F.row_number().over(order) == 1)
-    marked = segments.withColumn("starts", starts)
-    marked = marked.withColumn("chunk_no", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    others = [c for c in segments.columns if c not in ("doc_id", "text")]
-    merged = marked.groupBy("doc_id", "chunk_no").agg(
-        *[F.min_by(c, "seg_id").alias(c) for c in others], F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_id", "text"))), lambda x: x["text"]), "\n\n").alias("text")
-    )
-    return merged.withColumn("char_count", char_count(F.col("text"))).withColumn("word_count", word_count(F.col("text")))
+    """merge_array for sections that are rows already (doc_id, seg_id, text and
+    other orderable columns): one shuffle brings those of a document together."""
+    fields = ["seg_id", *[c for c in segments.columns if c not in ("doc_id", "seg_id")]]
+    rows = segments.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("sections"))
+    return _counted(rows.select("doc_id", F.inline_outer(merge_array(F.col("sections"), fields, min_chars))))
 
 
 def document_fields(docs: DataFrame) -> DataFrame:
@@ -138,9 +213,7 @@ def document_fields(docs: DataFrame) -> DataFrame:
 
 def build_chunks(docs: DataFrame, min_chars: int = 80, headings: Headings = REGULATION) -> DataFrame:
     """Chunks of docs (path, text): the 16 chunk columns and chunk_no."""
-    fields = document_fields(docs)
-    chunks = merge_short(name_sections(line_segments(fields.select("doc_id", "body"), headings), headings), min_chars)
-    return chunks.join(fields.drop("body"), "doc_id").select(*CHUNK_COLUMNS, "chunk_no")
+    return merged_sections(document_fields(docs), headings, min_chars).select(*CHUNK_COLUMNS, "chunk_no")
 
 
 def chunks_per_document(chunks: DataFrame) -> DataFrame:

@@ -12,10 +12,8 @@ POINT = "đi[eể]m\\s+([a-zđ])\\s*,?\\s*"
 CLAUSE = "kho[aả]n\\s+(\\d+[a-zđ]?)\\s*,?\\s*"
 ARTICLE = "đi[eề]u\\s+(\\d+|n[aà]y)"
 PLAIN = "đi[eề]u\\s+(\\d+)"
-DEEP = f"(?iu){POINT}{CLAUSE}{ARTICLE}"
-MIDDLE = f"(?iu){CLAUSE}{ARTICLE}"
-BASE = f"(?iu){PLAIN}"
-ANY = f"(?iu)(?:(?:{POINT})?{CLAUSE}{ARTICLE}|{PLAIN})"
+# Every form begins with one of two letters, in either case (k has a third form).
+ANY = f"(?iu)(?=[đĐkK\u212a])(?:(?:{POINT})?{CLAUSE}{ARTICLE}|{PLAIN})"
 
 
 def cross_references(chunks: DataFrame) -> DataFrame:
@@ -26,16 +24,18 @@ def cross_references(chunks: DataFrame) -> DataFrame:
     'this article' is the chunk's own number, or nothing if it has none. level
     and pos give the order: deep, middle, base, each as in the text.
     """
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), "(?mU)^\\s*[#|].*$", " ")
-    found = chunks.select("chunk_id", "doc_id", "section_number", F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("pos", "cite"))
-    cite = F.col("cite")
-    level = F.when(cite.rlike(DEEP), 0).when(cite.rlike(MIDDLE), 1).otherwise(2)
-    article = F.when(level == 2, F.regexp_extract(cite, BASE, 1)).otherwise(F.regexp_extract(cite, MIDDLE, 2))
+    text = F.coalesce("text", F.lit(""))
+    # Only lines with a mark of a heading or table are looked at.
+    text = F.when(text.rlike("[#|]"), F.regexp_replace(text, "(?mU)^\\s*[#|].*$", " ")).otherwise(text)
     number = strip(F.coalesce("section_number", F.lit("")))
     own = F.when(number.rlike("^[0-9]+$"), number)
-    dieu = F.when(article.rlike("^[0-9]+$"), article).otherwise(own)
-    khoan = F.when(level < 2, F.regexp_extract(cite, MIDDLE, 1))
-    diem = F.when(level == 0, F.regexp_extract(cite, DEEP, 1))
+    # A citation has no control characters, so its four groups can be told apart by one.
+    cites = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda c: F.split(F.regexp_replace(c, ANY, "$1\u0001$2\u0001$3\u0001$4"), "\u0001", -1))
+    found = chunks.select("chunk_id", "doc_id", own.alias("own"), F.posexplode(cites).alias("pos", "cite"))
+    diem, khoan, deep, plain = (F.nullif(F.col("cite")[i], F.lit("")) for i in range(4))
+    level = F.when(diem.isNotNull(), 0).when(khoan.isNotNull(), 1).otherwise(2)
+    article = F.coalesce(deep, plain)
+    dieu = F.when(F.substring(article, 1, 1).between("0", "9"), article).otherwise(F.col("own"))
     return found.select("chunk_id", "doc_id", level.alias("level"), "pos", diem.alias("diem"), khoan.alias("khoan"), dieu.alias("dieu")).where("dieu is not null")
 
 

@@ -272,13 +272,12 @@ def frontmatter(spark, sf_dir):
     return rows.select("conv_id", F.col("turn"), m["role"].alias("role"), m["turn"].alias("turn_text"), m["note"].alias("note"), F.size(m).cast("long").alias("n_keys"), "body")
 
 
-def _segments(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    return chunking.name_sections(chunking.line_segments(docs, chunking.PROSE), chunking.PROSE)
+def _bodies(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
 
 
 def chunk_lines(spark, sf_dir):
-    return _segments(spark, sf_dir).select("doc_id", F.col("seg_id").cast("long").alias("seg_id"), "chunk_type", "chapter_title", "section_title", "text")
+    return chunking.name_sections(chunking.line_segments(_bodies(spark, sf_dir), chunking.PROSE), chunking.PROSE).select("doc_id", F.col("seg_id").cast("long").alias("seg_id"), "chunk_type", "chapter_title", "section_title", "text")
 
 
 def regulation_chunks(spark, sf_dir):
@@ -288,12 +287,12 @@ def regulation_chunks(spark, sf_dir):
 
 
 def chunk_merge(spark, sf_dir):
-    merged = chunking.merge_short(_segments(spark, sf_dir), 80)
+    merged = chunking.merged_sections(_bodies(spark, sf_dir), chunking.PROSE, 80)
     return merged.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk_type", "text", F.col("char_count").cast("long").alias("char_count"), F.col("word_count").cast("long").alias("word_count"))
 
 
 def chunks_per_doc(spark, sf_dir):
-    return chunking.chunks_per_document(chunking.merge_short(_segments(spark, sf_dir), 80))
+    return chunking.chunks_per_document(chunking.merged_sections(_bodies(spark, sf_dir), chunking.PROSE, 80))
 
 
 def annotate_tags(spark, sf_dir):
