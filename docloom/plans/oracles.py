@@ -4,7 +4,7 @@ rather than from the Spark plans."""
 from __future__ import annotations
 
 from docloom.plans.profile import POLICY_ISSUES, POLICY_SELECTION, POLICY_TAGS, TAG_FIELDS, When
-from docloom.plans.queries import POLICY_DOCUMENT, rule_phrases
+from docloom.plans.queries import CONFIG_TEXT, POLICY_DOCUMENT, rule_phrases
 
 NL = "chr(10)"
 
@@ -155,6 +155,26 @@ CITED = """WITH l AS (SELECT l_orderkey || '-' || l_linenumber AS chunk_id, CASE
             SELECT chunk_id, l_orderkey, 1, 1, NULL, '3', own FROM l WHERE own IS NOT NULL UNION ALL SELECT chunk_id, l_orderkey, 0, 2, 'b', '2', CAST(l_partkey % 7 AS VARCHAR) FROM l UNION ALL
             SELECT chunk_id, l_orderkey, 2, 3, NULL, NULL, CAST(l_orderkey % 5 AS VARCHAR) FROM l)"""
 
+# Faults of configurations, key by key.
+CONFIGS = f"""WITH raw AS (SELECT o_orderkey AS path, {CONFIG_TEXT} AS t FROM orders), c AS (SELECT path, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM raw),
+top AS (SELECT path, j, unnest(['domain_id', 'domain_name', 'version', 'language', 'institution', 'fallback_scope_disclaimer', 'current_semester_missing_notice_message', 'certificate_keywords',
+  'current_semester_keywords', 'document_types', 'issue_definitions']) AS k FROM c WHERE j IS NOT NULL),
+defs AS (SELECT path, unnest(json_extract(j, '$.issue_definitions[*]')) AS d, unnest(generate_series(0, CAST(json_array_length(j, '$.issue_definitions') AS BIGINT) - 1)) AS i FROM c WHERE json_type(j, '$.issue_definitions') = 'ARRAY'),
+typed AS (SELECT *, '$.issue_definitions[' || i || ']' AS place, row_number() OVER (PARTITION BY path, d ->> '$.issue_type' ORDER BY i) AS nth FROM defs),
+keys AS (SELECT path, d, place, unnest(['issue_type', 'label', 'keywords', 'query_default', 'answer_template']) AS k FROM typed WHERE json_type(d) = 'OBJECT'),
+conds AS (SELECT path, place, unnest(json_extract(d, '$.query_when[*]')) AS w, unnest(generate_series(0, CAST(json_array_length(d, '$.query_when') AS BIGINT) - 1)) AS n FROM typed WHERE json_type(d, '$.query_when') = 'ARRAY'),
+placed AS (SELECT path, w, place || '.query_when[' || n || ']' AS place FROM conds)
+SELECT path, '$' AS place, 'not JSON' AS error FROM c WHERE j IS NULL
+UNION ALL SELECT path, '$.' || k, 'missing' FROM top WHERE json_type(j, '$.' || k) IS NULL
+UNION ALL SELECT path, '$.' || k, 'not a list' FROM top WHERE k IN ('certificate_keywords', 'current_semester_keywords', 'document_types', 'issue_definitions') AND json_type(j, '$.' || k) <> 'ARRAY'
+UNION ALL SELECT path, place, 'not an object' FROM typed WHERE json_type(d) <> 'OBJECT'
+UNION ALL SELECT path, place || '.issue_type', 'repeated' FROM typed WHERE json_type(d, '$.issue_type') IS NOT NULL AND nth > 1
+UNION ALL SELECT path, place || '.' || k, 'missing' FROM keys WHERE json_type(d, '$.' || k) IS NULL
+UNION ALL SELECT path, place || '.keywords', 'not a list' FROM typed WHERE json_type(d, '$.keywords') <> 'ARRAY'
+UNION ALL SELECT path, place || '.query_when', 'not a list' FROM typed WHERE json_type(d, '$.query_when') <> 'ARRAY'
+UNION ALL SELECT path, place, 'not an object' FROM placed WHERE json_type(w) <> 'OBJECT'
+UNION ALL SELECT path, place || '.' || k, 'missing' FROM (SELECT path, w, place, unnest(['condition_keywords', 'query']) AS k FROM placed WHERE json_type(w) = 'OBJECT') WHERE json_type(w, '$.' || k) IS NULL"""
+
 # Links of pages.
 LINKS = """
 raw AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS ls FROM pages),
@@ -426,6 +446,7 @@ def oracle_sql() -> dict[str, str]:
               CAST(CASE WHEN regexp_matches(q, '\b(hk|hoc ky)\s*1\b') THEN 1 WHEN regexp_matches(q, '\b(hk|hoc ky)\s*2\b') THEN 2 WHEN regexp_matches(q, '\b(hk|hoc ky)\s*3\b') THEN 3 END AS INTEGER) AS semester,
               '2024-2025' AS academic_year, {has("q", "tion", "sch")} AS has_deadline_intent, {has("n", " die ", "tion", "eau")} AS needs_notice, {has("n", "ing ", "heit")} AS asks_now FROM t""",
         "frontmatter": "SELECT conv_id, turn, upper(role) AS role, CAST(turn AS VARCHAR) AS turn_text, 'a b' AS note, CAST(3 AS BIGINT) AS n_keys, text AS body FROM conversations",
+        "config_validation": CONFIGS,
         "chunk_lines": f"WITH {LINES} SELECT doc_id, seg_id, chunk_type, chapter_title, section_title, text FROM segs",
         "regulation_chunks": regulation_sql(),
         "chunk_merge": f"WITH {LINES}, {MERGED} SELECT doc_id, chunk_no, chunk_type, text, length(text) AS char_count, {words('text')} AS word_count FROM merged",

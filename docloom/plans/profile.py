@@ -309,23 +309,3 @@ def from_config(config: dict) -> tuple[Issue, ...]:
             )
         )
     return tuple(found)
-
-
-REQUIRED_KEYS = ("domain_id", "domain_name", "version", "language", "institution", "issue_definitions")
-
-
-def config_errors(config: dict) -> list[str]:
-    """What is wrong with a domain configuration; empty if nothing is."""
-    errors = [f"missing key: {k}" for k in REQUIRED_KEYS if not config.get(k)]
-    seen = set()
-    for i, d in enumerate(config.get("issue_definitions") or []):
-        if not isinstance(d, dict):
-            errors.append(f"issue {i} is not an object")
-            continue
-        name = d.get("issue_type")
-        errors += [f"issue {i}: missing {k}" for k in ("issue_type", "label") if not d.get(k)]
-        if name in seen:
-            errors.append(f"issue {i}: repeats {name}")
-        seen.add(name)
-        errors += [f"issue {i}: {k} is not a list" for k in ("keywords", "query_when", "answer_template_override") if not isinstance(d.get(k, []), list)]
-    return errors

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import temporal, text
-from docloom.operators import annotation, chunking, evaluation, graph, issues, references, registry, requests, retrieval, selection
+from docloom.operators import annotation, chunking, configuration, evaluation, graph, issues, references, registry, requests, retrieval, selection
 from docloom.plans.profile import POLICY_ISSUES, POLICY_SELECTION, POLICY_TAGS, TAG_FIELDS, Issue, Profile, Selection, TagGroup, TagRule, When
 from docloom.operators.term_index import TermIndex, fingerprint
 from docloom.plans.service import answer_metadata as metadata_of, answer_questions, retrieve_sources
@@ -596,6 +596,25 @@ def timed_runs(spark, sf_dir):
     return summary.select("backend", "total_cases", "n_passed", *[F.round(c, 6).alias(c) for c in ("pass_rate", "first_chunk_pass_rate", "negative_chunk_pass_rate", "avg_latency_ms")])
 
 
+# Orders as domain configurations with faults, in SQL that both engines read.
+CONFIG_TEXT = """'{"domain_id": ' || CAST(o_orderkey AS STRING) || ', "version": "' || o_orderpriority || '", "language": null, "institution": "x"'
+  || CASE WHEN o_orderkey % 7 <> 0 THEN ', "domain_name": "' || o_orderpriority || '"' ELSE '' END
+  || CASE WHEN o_custkey % 3 <> 0 THEN ', "fallback_scope_disclaimer": "", "current_semester_missing_notice_message": ""' ELSE '' END
+  || CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN ', "certificate_keywords": "a"' ELSE ', "certificate_keywords": []' END
+  || CASE o_orderstatus WHEN 'O' THEN ', "current_semester_keywords": null, "document_types": ["a"]' ELSE ', "current_semester_keywords": ["a", 1], "document_types": {}' END
+  || CASE WHEN o_orderkey % 11 = 0 THEN ', "issue_definitions": {}' WHEN o_orderkey % 13 = 0 THEN '' ELSE ', "issue_definitions": [{"issue_type": "' || o_orderstatus || '", "label": "a", "keywords": '
+    || CASE WHEN o_custkey % 5 = 0 THEN '"k"' ELSE '["k"]' END || ', "query_default": "", "answer_template": "", "query_when": '
+    || CASE o_orderkey % 3 WHEN 0 THEN '"w"' WHEN 1 THEN '[{"condition_keywords": []}, 5]' ELSE '[{"condition_keywords": ["c"], "query": "q"}]' END
+    || '}, {"issue_type": "' || CASE WHEN o_orderkey % 5 < 3 THEN 'O' ELSE 'new' END || '", "keywords": ["' || o_orderpriority || '"]}' || CASE WHEN o_custkey % 2 = 0 THEN ', 7' ELSE '' END || ']' END
+  || CASE WHEN o_orderkey % 29 = 0 THEN '' ELSE '}' END"""
+
+
+def config_validation(spark, sf_dir):
+    """A twenty-ninth of the configurations is cut off, as a fault of its own."""
+    texts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.expr(CONFIG_TEXT).alias("text"))
+    return configuration.config_errors(texts)
+
+
 def request_statuses(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"), (F.col("turn") * 3).cast("int").alias("top_k"), (F.length("text") % 5 != 4).alias("ready"), (F.col("conv_id") % 3 == 0).alias("failed"))
     return requests.validate_requests(rows).select("conv_id", "turn", "status")
@@ -622,5 +641,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         cross_references, reference_targets, link_references, link_support, external_nodes, isolated_references, reference_edges, document_nodes, chunk_nodes, node_index, tag_nodes, tag_edges, graph_summary, chunks_by_tag, two_hop_bonus, active_tags, graph_bonus,
         lexical_topk, lexical_filtered, lexical_bonus, bm25_topk, index_topk, index_filtered, index_bm25, issue_inference, answer_templates, missing_information, select_sources, prune_sources, multi_issue_union, raw_ranking, citation_numbers, answers, graph_sources, answer_metadata,
         active_documents, validity_by_day, current_notices, missing_notice, notice_alerts, registry_validation, document_priority, passage_matches, eval_checks, ir_metrics, backend_compare, disagreements, failure_diagnosis, one_case, timed_runs,
-        request_validation, request_statuses, rate_window, rate_limit_admitted,
+        config_validation, request_validation, request_statuses, rate_window, rate_limit_admitted,
     )}
