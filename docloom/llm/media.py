@@ -12,7 +12,7 @@ payloads give equal files.
 Nulls and odd rows: a null container has no tracks and error `null`; one that is
 cut off or malformed keeps the tracks that could be read and an error. Boxes of
 size 0 reach to the end, 64-bit sizes are read, unknown boxes are skipped, and
-nesting is bounded. Repeated rows give equal results. Other columns are kept by
+boxes may be nested to any depth. Repeated rows give equal results. Other columns are kept by
 `probe_column` and not read by the query.
 """
 
@@ -39,7 +39,6 @@ TIMESCALE = 25
 # Boxes that hold boxes, and what stands before the first.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"mfra": 0}
 OF_TRACKS = frozenset([b"tkhd", b"mdhd", b"stsd", b"stts", b"stsc", b"stss", b"stsz", b"stco", b"co64", b"trun"])
-MAX_DEPTH = 16
 LARGEST = 2**63 - 1
 
 
@@ -134,26 +133,33 @@ class Parser:
         self.run_end = 0
 
     def parse(self) -> None:
-        self.walk(0, len(self.data), 0)
-
-    def walk(self, begin: int, end: int, depth: int) -> None:
-        if depth > MAX_DEPTH:
-            raise Malformed("boxes are nested too deeply")
-        for kind, at, stop, header in boxes(self.data, begin, end):
-            if kind == b"trak":
-                self.now = Track()
-                self.tracks.append(self.now)
-            elif kind == b"moof":
-                self.moof = self.run_end = header
-            if kind in CONTAINERS:
-                self.walk(at, stop, depth + 1)
-            elif (read := getattr(self, "read_" + kind.decode("latin-1"), None)) is not None:
-                if self.now is None and kind in OF_TRACKS:
-                    raise Malformed(f"box {kind!r} outside of a track")
-                try:
-                    read(at, stop)
-                except (struct.error, ValueError, IndexError, OverflowError) as e:
-                    raise e if isinstance(e, Malformed) else Malformed(f"box {kind!r}: {e}") from e
+        """Boxes in file order, those of a container before what follows it. Open
+        containers are a stack of ours, so nesting may be of any depth."""
+        opened = [boxes(self.data, 0, len(self.data))]
+        while opened:
+            box = next(opened[-1], None)
+            if box is None:
+                opened.pop()
+            elif self.enter(*box):
+                opened.append(boxes(self.data, box[1], box[2]))
+
+    def enter(self, kind: bytes, at: int, stop: int, header: int) -> bool:
+        """Reads a box; whether it holds boxes."""
+        if kind == b"trak":
+            self.now = Track()
+            self.tracks.append(self.now)
+        elif kind == b"moof":
+            self.moof = self.run_end = header
+        if kind in CONTAINERS:
+            return True
+        if (read := getattr(self, "read_" + kind.decode("latin-1"), None)) is not None:
+            if self.now is None and kind in OF_TRACKS:
+                raise Malformed(f"box {kind!r} outside of a track")
+            try:
+                read(at, stop)
+            except (struct.error, ValueError, IndexError, OverflowError) as e:
+                raise e if isinstance(e, Malformed) else Malformed(f"box {kind!r}: {e}") from e
+        return False
 
     def of(self, form: str, at: int) -> tuple:
         return struct.unpack_from(">" + form, self.data, at)

@@ -131,3 +131,14 @@ def test_long_header_of_a_fragment():
     trun = M.full(b"trun", struct.pack(">IiI", 1, 64, 0), struct.pack(">I", 30), flags=0x205)
     moof = long(b"moof", M.box(b"traf", M.full(b"tfhd", struct.pack(">I", 7), flags=0x20000), trun))
     assert M.probe(moov + moof + M.box(b"mdat", bytes(80)))["tracks"][0]["keyframes"] == [{"offset": len(moov) + 64, "size": 30}]
+
+
+def test_any_depth():
+    deep = b""
+    for _ in range(3000):
+        deep = M.box(b"udta", deep)
+    stored = M.mux_grey(M.pad(b"text"))
+    found = M.probe(deep + stored[: stored.index(b"mdat") - 4])
+    assert found["error"] is None
+    moved = M.probe(stored + M.box(b"moov", deep) + M.box(b"moov", M.box(b"trak", M.full(b"tkhd", struct.pack(">IIIII", 0, 0, 7, 0, 0), bytes(60)))))
+    assert moved["error"] is None and len(moved["tracks"]) == 2 and M.read_track(stored, moved) == M.pad(b"text")
