@@ -446,6 +446,9 @@ def oracle_sql() -> dict[str, str]:
               CAST(CASE WHEN regexp_matches(q, '\b(hk|hoc ky)\s*1\b') THEN 1 WHEN regexp_matches(q, '\b(hk|hoc ky)\s*2\b') THEN 2 WHEN regexp_matches(q, '\b(hk|hoc ky)\s*3\b') THEN 3 END AS INTEGER) AS semester,
               '2024-2025' AS academic_year, {has("q", "tion", "sch")} AS has_deadline_intent, {has("n", " die ", "tion", "eau")} AS needs_notice, {has("n", "ing ", "heit")} AS asks_now FROM t""",
         "frontmatter": "SELECT conv_id, turn, upper(role) AS role, CAST(turn AS VARCHAR) AS turn_text, 'a b' AS note, CAST(3 AS BIGINT) AS n_keys, text AS body FROM conversations",
+        "ingested_documents": """WITH c AS (SELECT 'order-' || l_orderkey AS path, l_shipdate AS day_at, CASE WHEN l_returnflag <> 'R' THEN 'part ' || l_partkey || chr(10) || 'supplier ' || l_suppkey END AS text FROM lineitem),
+            r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY day_at DESC, coalesce(sha256(text), '') DESC) AS n FROM c)
+            SELECT path, strftime(day_at, '%Y-%m-%d') AS day, sha256(text) AS content_hash, CASE WHEN text IS NULL THEN 0 ELSE 1 END AS n_chunks, coalesce(length(text), 0) AS chars FROM r WHERE n = 1""",
         "config_validation": CONFIGS,
         "chunk_lines": f"WITH {LINES} SELECT doc_id, seg_id, chunk_type, chapter_title, section_title, text FROM segs",
         "regulation_chunks": regulation_sql(),

@@ -5,6 +5,7 @@ registry records, `events` and `conversations` as requests."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from docloom.operators.term_index import TermIndex, fingerprint
 from docloom.plans.service import answer_metadata as metadata_of, answer_questions, retrieve_sources
 from docloom.sources.frontmatter import parse_frontmatter
 from docloom.sources.store import application_folder
+from docloom.streaming.ingest import DocumentStore
 
 AS_OF = "1998-06-15"
 # The document whose sections the tag rules name.
@@ -609,6 +611,23 @@ CONFIG_TEXT = """'{"domain_id": ' || CAST(o_orderkey AS STRING) || ', "version":
   || CASE WHEN o_orderkey % 29 = 0 THEN '' ELSE '}' END"""
 
 
+def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order as changes of its document: a returned one removes it."""
+    words = F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit("\nsupplier "), F.col("l_suppkey").cast("string"))
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("path"), F.col("l_shipdate").alias("at"), F.when(F.col("l_returnflag") != "R", words).alias("text"), "l_returnflag")
+
+
+def ingested_documents(spark, sf_dir):
+    """The state of a store that takes all lines in as three feeds, which are
+    not in the order of their days."""
+    store, changes = DocumentStore(spark, f"{application_folder(spark)}/store-{uuid.uuid4().hex}", buckets=16), order_changes(spark, sf_dir)
+    for flags in (["N"], ["R"], ["A"]):
+        store.apply(changes.where(F.col("l_returnflag").isin(flags)).drop("l_returnflag"))
+    sizes = store.chunks.groupBy(F.col("source_path").alias("path")).agg(F.count("*").alias("n_chunks"), F.sum("char_count").cast("long").alias("chars"))
+    return store.documents.join(sizes, "path", "left").select("path", F.date_format("at", "yyyy-MM-dd").alias("day"), "content_hash", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("chars", F.lit(0)).alias("chars"))
+
+
 def config_validation(spark, sf_dir):
     """A twenty-ninth of the configurations is cut off, as a fault of its own."""
     texts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.expr(CONFIG_TEXT).alias("text"))
@@ -641,5 +660,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         cross_references, reference_targets, link_references, link_support, external_nodes, isolated_references, reference_edges, document_nodes, chunk_nodes, node_index, tag_nodes, tag_edges, graph_summary, chunks_by_tag, two_hop_bonus, active_tags, graph_bonus,
         lexical_topk, lexical_filtered, lexical_bonus, bm25_topk, index_topk, index_filtered, index_bm25, issue_inference, answer_templates, missing_information, select_sources, prune_sources, multi_issue_union, raw_ranking, citation_numbers, answers, graph_sources, answer_metadata,
         active_documents, validity_by_day, current_notices, missing_notice, notice_alerts, registry_validation, document_priority, passage_matches, eval_checks, ir_metrics, backend_compare, disagreements, failure_diagnosis, one_case, timed_runs,
-        config_validation, request_validation, request_statuses, rate_window, rate_limit_admitted,
+        ingested_documents, config_validation, request_validation, request_statuses, rate_window, rate_limit_admitted,
     )}
