@@ -1,9 +1,15 @@
 from __future__ import annotations
 
 import random
+import re
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
 
 import corpus_pipeline as P
+from docloom.llm import packing
 from tests.llm.test_packing import verify
 
 
@@ -92,3 +98,96 @@ def test_clashing_columns_are_dropped(spark, tmp_path):
     for _, stage in P.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert out.count() > 0 and not set(names) & set(out.columns)
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def plain_targets(sizes, share=Fraction(3, 2), weights=(5, 2, 1)):
+    """{source: target}: by weight, none above twice its size, the rest again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    target, left, full = {}, share * sum(sizes.values()), set()
+    while True:
+        free = [s for s in order if s not in full]
+        total = sum(weight[s] for s in free)
+        target |= {s: left * weight[s] / total for s in free}
+        above = [s for s in free if target[s] > 2 * sizes[s]]
+        if not above:
+            return target
+        for s in above:
+            target[s] = Fraction(2 * sizes[s])
+            left -= target[s]
+            full.add(s)
+
+
+def test_whole_run_against_brute_force(spark, tmp_path):
+    """All five stages at once: which documents survive, their redacted texts,
+    the words taken of each source, and the ids of every packed piece."""
+    r = random.Random(11)
+    pools = {"en": "the of and to in that was with from this".split(), "de": "der die und ist nicht ein mit auf für das".split()}
+    rows = []
+    for i in range(36):
+        lang = ("en", "de")[i % 2]
+        words = r.choices(pools[lang], k=30) + [f"w{r.randrange(10**6)}" for _ in range(r.randrange(20, 60))]
+        r.shuffle(words)
+        if i % 6 == 0:
+            words[10:10] = [f"password=hunter{i}abc"]
+        rows.append((i, " ".join(words), lang if i % 5 else None, ("a", "b", "c", "d", None)[r.choice((0, 0, 1, 1, 2, 3, 4))]))
+    rows += [(100 + i, rows[i][1], rows[i][2], "b") for i in range(0, 12, 2)]
+    rows += [(200 + i, rows[i][1] + f" added{i}", rows[i][2], "c") for i in range(1, 20, 3)]
+    rows += [(300, rows[7][1].replace(" ", "  ", 3), "en", "a"), (301, None, "en", "a"), (302, "12 34", "de", "b"), (303, "", None, None)]
+    docs = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    # By hand: rejects go, of texts linked by 0.8 or more the smallest id stays.
+    lettered = sorted((x for x in rows if x[1] and any(c.isalpha() for c in x[1])), key=lambda x: x[0])
+    sets = [shingle_set(x[1]) for x in lettered]
+    root = list(range(len(lettered)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(lettered)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    kept = {x[0]: (re.sub(r"password=\w+", "[SECRET]", x[1]), x[3]) for i, x in enumerate(lettered) if find(i) == i}
+    assert set(kept) == set(range(36))
+    size = {i: len(t.split()) for i, (t, _) in kept.items()}
+    sizes = defaultdict(int)
+    for i, (_, source) in kept.items():
+        sizes[source] += size[i]
+
+    # The only texts a row may hold: a kept document, whole or its first words.
+    tokenizer, texts = packing.Encoder(packing.default_tokenizer()[0]).tokenizer, {}
+    for i, (t, _) in kept.items():
+        for k in range(1, size[i] + 1):
+            ids = [*tokenizer.encode(t if k == size[i] else " ".join(t.split()[:k]), add_special_tokens=False).ids, 0]
+            texts[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] = k
+    got, words, sequences = P.run(spark, str(tmp_path)).collect(), defaultdict(int), defaultdict(list)
+    for x in got:
+        assert (x.piece, x.start) == (0, 0)
+        words[x.doc_id] += texts[x.doc_id, x.length, x.ids_crc32]
+        sequences[x.sequence_id].append((x.offset, x.length))
+    assert all(n <= 2 * size[i] for i, n in words.items())
+    taken = defaultdict(int)
+    for i, n in words.items():
+        taken[kept[i][1]] += n
+    target = plain_targets(sizes)
+    assert set(target) == {"a", "b", "c", "d", None} and all(0 <= target[s] - taken[s] < 1 for s in target)
+    # Nothing is taken in part but the document on which a source ends.
+    parts = defaultdict(int)
+    for i, n in words.items():
+        parts[kept[i][1]] += n % size[i] > 0
+    assert all(n <= 1 for n in parts.values())
+    for places in sequences.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+    assert len(sequences) == -(-sum(x.length for x in got) // 2048)
