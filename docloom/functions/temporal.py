@@ -12,9 +12,10 @@ CURRENT_SEMESTER = ("hoc ky nay", "hoc ky hien tai", "nam hoc nay", "han dang ky
 DEADLINE = ("deadline", "thoi han", "han chot", "khi nao", "bao gio", "lich thi", "lich hoc", "ngay thi", "ngay nop", "thoi gian")
 NOTICE = ("lich nop", "thoi khoa bieu", "lich thi", "lich hoc", "ke hoach")
 NO_REGISTRY = ("hoc ky nay", "hoc ky hien tai", "deadline", "thoi han", "han chot", "khi nao", "bao gio", "lich thi", "lich hoc")
+TERM, YEAR = "hk|hoc ky", "nam hoc"
 
 
-def time_context(question: Column, current: tuple[str, ...] = CURRENT_SEMESTER, deadline: tuple[str, ...] = DEADLINE, term: str = "hk|hoc ky", year: str = "nam hoc") -> Column:
+def time_context(question: Column, current: tuple[str, ...] = CURRENT_SEMESTER, deadline: tuple[str, ...] = DEADLINE, term: str = TERM, year: str = YEAR) -> Column:
     """struct<current_semester, semester, academic_year, has_deadline_intent>.
     Of several semesters named, the smallest counts."""
     q = normalize_text(question)
