@@ -10,7 +10,7 @@ from docloom.functions.text import preview, score_text
 from docloom.operators.graph import graph_bonus
 from docloom.operators.issues import answer_texts, infer_issues, number_citations
 from docloom.operators.registry import missing_notice
-from docloom.operators.retrieval import KEY, bm25_scores, get_backend, lexical_scores, top_k
+from docloom.operators.retrieval import KEY, bm25_scores, get_backend, lexical_scores, rank
 from docloom.operators.selection import prune_sources, select_sources
 from docloom.operators.term_index import TermIndex
 from docloom.plans.profile import POLICY, Profile
@@ -35,7 +35,7 @@ def retrieve_sources(
     if index is not None:
         ranked = {lexical_scores: index.top_k, bm25_scores: index.bm25_top_k}.get(get_backend(backend))
         chunks = chunks if ranked is None else index.chunks
-    ranked = top_k(get_backend(backend)(chunks, queries, bonus), chunks, k) if ranked is None else ranked(queries, k, bonus)
+    ranked = rank(chunks, queries, k, bonus, backend) if ranked is None else ranked(queries, k, bonus)
     named = ranked.join(chunks.select("chunk_id", "doc_id", "section_number", "section_title", F.col("policy_area")), "chunk_id")
     rows = named.join(issues.select(*KEY, "issue_type", "query"), KEY)
     selected = select_sources(rows, max_sources, profile.selection)
