@@ -6,6 +6,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import evaluation, issues, registry, requests, retrieval, selection
 from docloom.plans import profile
@@ -160,3 +161,16 @@ def test_requests(spark):
     assert [got[k][0] for k in range(34)] == [True] * 30 + [False, False, True, True] and got[30][1] == 60 and got[31][1] == 1 and got[100][0]
     counts = {r.key: r.in_window for r in requests.window_counts(e, "client", "ts", 60).collect()}
     assert counts[0] == counts[30] == 31 and counts[32] == 2
+
+
+def test_selection_moves_a_candidate_once_and_without_its_title(spark):
+    """One exchange by question, whether issue_idx is a column or a constant."""
+    r = candidates(spark, "course_exemption", "ho so xin mien giam mon hoc", [E4, E5])
+    for rows in (r, r.withColumn("issue_idx", F.lit(0))):
+        s = selection.prune_sources(selection.select_sources(rows, 3), 3).select("question_id", "chunk_id", "rank")
+        plan = s._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange" in line]
+        assert len(moved) == 1 and "hashpartitioning(question_id" in moved[0], plan
+        below = next(line for line in plan[plan.index(moved[0]) + len(moved[0]) :].splitlines() if "Project [" in line)
+        assert "section_title" not in below.split(" AS priority")[0], plan
+        assert chosen(s) == ["e5", "e4"]
