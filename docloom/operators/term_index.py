@@ -1,23 +1,17 @@
-"""A stored inverted index with positions: batches of questions read no text.
+"""A stored index of chunks: batches of questions read no text.
 
 An index is a folder of segments. `append` adds the chunks that came since; a
 chunk that comes again replaces the older one. Each segment has
 
-- postings (bucket, token, block, chunk_id, weight, tf, title, body): the summed
-  field weight of a token in a chunk, how often it stands in title, chapter and
-  text, and its places in title and text; files are parted by a hash of the
-  token, so few questions read few of them;
-- chunks: the columns that ranking and filters need, the number of tokens dl;
-- bounds (token, block, most, n): the largest weight of a token in a block;
-- vocabulary (token).
+- packs (block, and the columns of ranking.pack): some hundred chunks of about
+  one length a row, their distinct tokens with weights and counts, and their
+  folded titles and texts for phrases;
+- chunks: the columns that ranking and filters need;
+- replaced (chunk_id, old): which chunks of older segments it replaces.
 
-A block is some BLOCK chunks of about one length, as long chunks get the high
-scores. A question is scored in the block that its bounds rank first; the k-th
-score found there is beaten or met by every result, so blocks (and chunks) whose
-bound stays below it are not scored at all. The result is exact.
-
-A phrase that begins or ends within a token is found by the places of its inner
-tokens, and by the tokens of the vocabulary that end or begin like its ends.
+Texts are split once, when they are appended. Questions are scored where packs
+are read (ranking.best_pairs), so nothing is moved for a pair of question and
+chunk, whatever the filters leave. The result is exact.
 
 A segment counts once its row stands in `versions`, which is written last; what
 a lost job has left is never read.
@@ -25,75 +19,17 @@ a lost job has left is never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
-from docloom.operators import retrieval
-from docloom.operators.retrieval import FILTERS, KEY, SCORED_TAGS, TEXT_PHRASE, TITLE_PHRASE
+from docloom.operators import ranking, retrieval
+from docloom.operators.retrieval import FILTERS, KEY, TEXT_PHRASE, TITLE_PHRASE
 from docloom.sources.store import materialize
 
-BUCKETS, BLOCK = 16, 64
-#: Chunks that are put in order at once.
-PART = 1000
-#: Letters of the end of a token by which phrase ends meet the vocabulary.
-END = 3
 VERSION = "segment int, fingerprint string, n_chunks long, replaced long"
 
 
-def bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
-
-
-def postings_of(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, block, token, weight, tf, title, body); chunks with block.
-    Tokens are made by Spark; their places are put in order in numpy, in parts
-    of some chunks, so that nothing moves before it is counted."""
-    fields = [("section_title", retrieval.TITLE), ("chapter_title", retrieval.CHAPTER), ("text", retrieval.TEXT)]
-    words = [tokens(F.col(f)) for f, _ in fields]
-    words.append(F.flatten(F.array(*[tokens(F.array_join(f, " ")) for f in SCORED_TAGS if f in chunks.columns] or [F.array().cast("array<string>")])))
-    weights = np.array([w for _, w in fields] + [retrieval.TAGS])
-    split = chunks.select("chunk_id", "block", *[w.alias(f"_{k}") for k, w in enumerate(words)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, PART):
-                yield count_places(batch.slice(start, PART), weights)
-
-    return split.mapInArrow(run, "chunk_id string, block long, token string, weight double, tf int, title array<int>, body array<int>")
-
-
-def count_places(batch: pa.RecordBatch, weights: np.ndarray) -> pa.RecordBatch:
-    """The postings of some chunks (chunk_id, block, the tokens of each field)."""
-    lists = [batch.column(2 + k) for k in range(len(weights))]
-    sizes = [np.asarray(pc.fill_null(pc.list_value_length(x), 0)).astype(np.int64) for x in lists]
-    row = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in sizes])
-    field = np.concatenate([np.full(int(n.sum()), k) for k, n in enumerate(sizes)])
-    place = np.concatenate([np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) for n in sizes])
-    coded = pa.concat_arrays([x.flatten().cast(pa.string()) for x in lists]).dictionary_encode()
-    word = np.asarray(coded.indices).astype(np.int64)
-    key = row * max(len(coded.dictionary), 1) + word
-    order = np.lexsort((place, field, key))
-    key, field, place = key[order], field[order], place[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-
-    def summed(values: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values, first) if len(first) else values
-
-    def places(k: int) -> pa.Array:
-        ends = np.concatenate([[0], np.cumsum(summed((field == k).astype(np.int64)))])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[field == k], pa.int32()))
-
-    at = pa.array(row[order][first])
-    columns = [batch.column(0).take(at).cast(pa.string()), batch.column(1).take(at).cast(pa.int64()), coded.dictionary.take(pa.array(word[order][first])), pa.array(summed(weights[field])), pa.array(summed((field < 3).astype(np.int64)), pa.int32()), places(0), places(2)]
-    return pa.RecordBatch.from_arrays(columns, ["chunk_id", "block", "token", "weight", "tf", "title", "body"])
-
-
 class TermIndex:
     """The committed segments of an index folder."""
 
@@ -122,38 +58,39 @@ class TermIndex:
     def chunks(self) -> DataFrame:
         return self._table("chunks")
 
+    @property
+    def packs(self) -> DataFrame:
+        """With stale, the chunks of a pack that a later segment has replaced, if any are."""
+        packs = self._table("packs", False)
+        if not any(v[3] for v in self.versions):
+            return packs
+        old = self._table("replaced", False).select("chunk_id", F.col("old").alias("segment"))
+        stale = packs.select("segment", "block", F.explode("chunk_id").alias("chunk_id")).join(old, ["chunk_id", "segment"], "left_semi")
+        return packs.join(stale.groupBy("block").agg(F.collect_set("chunk_id").alias("stale")), "block", "left")
+
     @property
     def postings(self) -> DataFrame:
-        return self._table("postings")
+        """(token, block, chunk_id, weight); those of replaced chunks stay."""
+        at = F.flatten(F.transform("sizes", lambda n, i: F.array_repeat(i, n)))
+        lists = F.arrays_zip(F.transform("word", lambda w: F.col("words")[w]).alias("token"), F.transform(at, lambda i: F.col("chunk_id")[i]).alias("chunk_id"), F.col("weight"))
+        return self._table("packs", False).select("block", F.inline(lists))
 
     @property
     def bounds(self) -> DataFrame:
-        """Those of replaced chunks stay bounds."""
-        return self._table("bounds", False)
+        """(token, block, most, n): the largest weight of a token in a pack."""
+        return self.postings.groupBy("token", "block").agg(F.max("weight").alias("most"), F.count("*").alias("n"))
 
     def append(self, chunks: DataFrame, fingerprint: str = "") -> TermIndex:
         """The index with chunks (as of retrieval) added or replaced."""
         n = max((v[0] for v in self.versions), default=-1) + 1
-        size = F.floor(F.log2(F.length(F.coalesce("text", F.lit(""))) + 1) * 4).cast("int")
-        # At most some 120 rows: the number of chunks of each class of length.
-        classes = {r["size"]: r["count"] for r in chunks.groupBy(size.alias("size")).count().collect()}
-        if not classes:
+        if chunks.isEmpty():
             return self
-        blocks, first = [], n << 32
-        for k in sorted(classes):
-            count = -(-classes[k] // BLOCK)
-            blocks += [F.lit(k), F.struct(F.lit(first).alias("first"), F.lit(count).alias("count"))]
-            first += count
-        placed = chunks.withColumn("_at", F.element_at(F.create_map(*blocks), size))
-        placed = placed.withColumn("block", F.col("_at.first") + F.pmod(F.xxhash64("chunk_id"), F.col("_at.count"))).drop("_at")
         kept = [c for c in dict.fromkeys(["doc_id", "section_number", "section_title", "policy_area", *FILTERS.values()]) if c in chunks.columns]
-        dl = F.size(tokens(F.concat_ws("\n", "section_title", "chapter_title", "text")))
-        placed.select("chunk_id", *kept, dl.alias("dl"), "block").write.mode("overwrite").parquet(f"{self.path}/chunks/segment={n}")
-        found = postings_of(placed).withColumn("bucket", bucket(F.col("token")))
-        found.repartition(BUCKETS, "bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("bucket", "token", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={n}")
-        written = self.spark.read.parquet(f"{self.path}/postings/segment={n}")
-        written.groupBy("token", "block").agg(F.max("weight").alias("most"), F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.path}/bounds/segment={n}")
-        written.select("token").distinct().write.mode("overwrite").parquet(f"{self.path}/vocabulary/segment={n}")
+        chunks.where("chunk_id is not null").select("chunk_id", *kept).write.mode("overwrite").parquet(f"{self.path}/chunks/segment={n}")
+        # Long chunks get the high scores, so lengths are not mixed.
+        size = F.floor(F.log2(F.length(F.coalesce("text", F.lit(""))) + 1) / 2)
+        packs = ranking.pack(chunks, retrieval.fields_of(chunks), retrieval._tagged(chunks), phrases=True, blocks=2, kind=size)
+        packs.drop("n_bonus", "bonus_question", "bonus").withColumn("block", F.expr("uuid()")).write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{self.path}/packs/segment={n}")
         new = self.spark.read.parquet(f"{self.path}/chunks/segment={n}")
         old = self.chunks.join(new.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", F.col("segment").alias("old")) if self.versions else new.select("chunk_id", F.lit(0).alias("old")).limit(0)
         old.write.mode("overwrite").parquet(f"{self.path}/replaced/segment={n}")
@@ -164,134 +101,49 @@ class TermIndex:
 
     # --- questions ------------------------------------------------------------
 
-    def _terms(self, asked: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-        """(keys, token, qn, chunk_id, block, weight) of the postings of asked
-        tokens, in the given (keys, block) only."""
-        wanted = asked.withColumn("bucket", bucket(F.col("token")))
-        if blocks is None:
-            return wanted.join(self.postings, ["bucket", "token"])
-        # Only blocks that hold the token; written, so that its size is known.
-        wanted = wanted.join(blocks, KEY).join(self.bounds.select("token", "block").distinct(), ["token", "block"])
-        return materialize(wanted, "wanted").join(self.postings, ["bucket", "token", "block"])
-
-    def _vocabulary(self) -> DataFrame:
-        return self._table("vocabulary", False).select("token").distinct()
-
-    def _ends(self, phrases: DataFrame, single: bool) -> DataFrame:
-        """(keys, j, token): tokens that may stand at the first and the last
-        place of a phrase. phrases: keys, words, n. single: whether phrases of
-        one word are among them."""
-        first, last, n = F.col("words")[0], F.element_at("words", -1), F.col("n")
-        ends = phrases.select(*KEY, F.explode(F.when(n == 1, F.array(F.struct(F.lit(0).alias("j"), first.alias("w"), F.lit("in").alias("how")))).otherwise(F.array(
-            F.struct(F.lit(0).alias("j"), first.alias("w"), F.lit("end").alias("how")), F.struct((n - 1).alias("j"), last.alias("w"), F.lit("start").alias("how"))))).alias("e")).select(*KEY, "e.*")
-        piece = F.when(F.col("how") == "end", F.right("w", F.lit(END))).otherwise(F.left("w", F.lit(END)))
-        word = F.col("token")
-        sizes = [F.lit(k) for k in range(1, END + 1)]
-
-        def tagged(how: str, found: Column) -> Column:
-            return F.transform(F.array_distinct(found), lambda p: F.struct(F.lit(how).alias("how"), p.alias("piece")))
-
-        keys = F.concat(tagged("start", F.array(*[F.left(word, k) for k in sizes])), tagged("end", F.array(*[F.right(word, k) for k in sizes])), *([tagged("in", retrieval.pieces(word))] if single else []))
-        keyed = self._vocabulary().select("token", F.explode(keys).alias("p")).select("token", "p.*")
-        met = keyed.join(ends.withColumn("piece", piece), ["how", "piece"])
-        holds = F.when(F.col("how") == "end", word.endswith(F.col("w"))).when(F.col("how") == "start", word.startswith(F.col("w"))).otherwise(word.contains(F.col("w")))
-        return met.where(holds).select(*KEY, "j", "token")
-
-    def _placed(self, items: DataFrame, pairs: DataFrame | None) -> DataFrame:
-        """(keys, chunk_id, in_title, start, j): where a phrase would start if
-        its word j is the one found. items: keys, j, token."""
-        wanted = items.withColumn("bucket", bucket(F.col("token")))
-        found = wanted.join(self.postings, ["bucket", "token"]) if pairs is None else materialize(wanted.join(pairs, KEY), "wanted").join(self.postings, ["bucket", "token", "block", "chunk_id"])
-        at = lambda name, t: F.transform(name, lambda p: F.struct(F.lit(t).alias("in_title"), p.alias("p")))
-        return found.select(*KEY, "chunk_id", "block", "j", F.explode(F.concat(at("title", True), at("body", False))).alias("a")).select(*KEY, "chunk_id", "block", "a.in_title", (F.col("a.p") - F.col("j")).alias("start"), "j")
-
-    def _phrases(self, phrases: DataFrame, pairs: DataFrame) -> DataFrame:
-        """(keys, chunk_id, block, extra) of chunks that hold a phrase. pairs: (keys,
-        chunk_id, block) to look at for phrases of three tokens or more; shorter
-        ones are looked for everywhere."""
-        spot = [*KEY, "chunk_id", "block", "in_title", "start"]
-        long, short = phrases.where("n >= 3"), phrases.where("n < 3")
-        inner = long.select(*KEY, "n", F.posexplode("words").alias("j", "token")).where("j > 0 and j < n - 1")
-        sized = long.select(*KEY, "n")
-        spots = self._placed(inner.drop("n"), pairs).groupBy(*spot).agg(F.count("*").alias("c")).join(sized, KEY).where("c = n - 2")
-        spots = materialize(spots.select(*spot), "phrase-spots")
-        # Only where the inner words stand are the ends looked up.
-        met = materialize(long.join(spots.select(*KEY).distinct(), KEY, "left_semi"), "phrases-met")
-        around = self._placed(self._ends(met, False), spots.select(*KEY, "chunk_id", "block").distinct()).join(spots, spot, "left_semi")
-        whole = around.groupBy(*spot).agg(F.count_distinct("j").alias("c")).where("c = 2").select(*spot)
-        if short.limit(1).count():
-            brief = self._placed(self._ends(short, True), None).groupBy(*spot).agg(F.count_distinct("j").alias("c")).join(short.select(*KEY, "n"), KEY).where("c = n")
-            whole = whole.unionByName(brief.select(*spot))
-        extra = F.max(F.when(F.col("in_title"), TITLE_PHRASE).otherwise(0.0)) + F.max(F.when(~F.col("in_title"), TEXT_PHRASE).otherwise(0.0))
-        return whole.groupBy(*KEY, "chunk_id", "block").agg(extra.alias("extra"))
-
-    def _passing(self, rows: DataFrame, queries: DataFrame, filtered: bool) -> DataFrame:
-        return retrieval._only_filtered(rows, self.chunks, queries, rows.columns) if filtered else rows
-
-    def _plan(self, queries: DataFrame, k: int, filtered: bool, most_bonus: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(asked tokens, phrases, kept (keys, block, theta) with the k-th score theta)."""
-        words = tokens(F.col("query"))
-        asked = materialize(retrieval.query_tokens(queries), "asked")
-        phrases = queries.select(*KEY, words.alias("words"), F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("distinct")).where("n > 0")
-        phrases = materialize(phrases, "asked-phrases")
-        bound = asked.join(self.bounds, "token").groupBy(*KEY, "block").agg(F.sum(F.col("qn") * F.col("most")).alias("most"), F.count("*").alias("matched"), F.sum("n").alias("size"))
-        bound = bound.join(phrases.select(*KEY, "n", "distinct"), KEY)
-        # Without the inner words in the block there is no phrase.
-        bound = bound.withColumn("bound", F.col("most") + F.when(F.col("matched") >= F.col("distinct") - 2, TITLE_PHRASE + TEXT_PHRASE).otherwise(0.0))
-        if most_bonus is not None:
-            bound = bound.join(most_bonus, "question_id", "left").withColumn("bound", F.col("bound") + F.coalesce("most_bonus", F.lit(0.0))).drop("most_bonus")
-        bound = materialize(bound, "block-bounds")
-        best = Window.partitionBy(*KEY).orderBy(F.col("most").desc(), "block")
-        seeds = bound.withColumn("_n", F.row_number().over(best)).where("_n <= 2").select(*KEY, "block")
-        scored = self._terms(asked, seeds).groupBy(*KEY, "chunk_id").agg(F.sum(F.col("qn") * F.col("weight")).alias("score"))
-        ranked = self._passing(scored, queries, filtered).withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("score").desc())))
-        theta = ranked.where(F.col("_n") == k).select(*KEY, F.col("score").alias("theta"))
-        kept = bound.join(theta, KEY, "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)))
-        # Short phrases may stand in chunks that share no token.
-        return asked, phrases, materialize(kept.withColumn("kept", (F.col("bound") >= F.col("theta")) | (F.col("n") < 3)).select(*KEY, "block", "theta", "size", "kept"), "kept-blocks")
+    def _given(self, bonus: DataFrame | None) -> DataFrame:
+        """The packs with the bonus of (question_id, chunk_id)."""
+        packs, names = self.packs, ("bonus_chunk", "bonus_question", "bonus")
+        if bonus is None:
+            none = [F.array().cast(f"array<{kind}>").alias(name) for name, kind in zip(names, ("string", "string", "double"), strict=True)]
+            return packs.select("*", *none)
+        given = bonus.where("question_id is not null").select("chunk_id", F.struct(F.col("chunk_id").alias("c"), F.col("question_id").cast("string").alias("q"), F.col("bonus").cast("double").alias("b")).alias("one"))
+        by_block = packs.select("block", F.explode("chunk_id").alias("chunk_id")).join(given, "chunk_id").groupBy("block").agg(F.collect_list("one").alias("all"))
+        return packs.join(by_block, "block", "left").select(*packs.columns, *[F.col(f"all.{short}").alias(name) for short, name in zip("cqb", names, strict=True)])
+
+    def _ranked(self, best, queries: DataFrame, k: int, bonus: DataFrame | None) -> DataFrame:
+        if not self.versions:
+            return retrieval.with_filters(queries).select(*KEY, F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return retrieval.top_k(best(self.chunks, queries, k, packs=self._given(bonus).drop("block", "segment")), self.chunks, k)
 
     def top_k(self, queries: DataFrame, k: int = 5, bonus: DataFrame | None = None) -> DataFrame:
         """(keys, chunk_id, score, rank): as retrieval.top_k of lexical_scores."""
-        filtered = any(f in queries.columns for f in FILTERS)
-        queries = retrieval.with_filters(queries)
-        if not self.versions:
-            return queries.select(*KEY, F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-        bonus = None if bonus is None else materialize(bonus.select("question_id", "chunk_id", "bonus"), "bonus")
-        most = None if bonus is None else bonus.groupBy("question_id").agg(F.max("bonus").alias("most_bonus"))
-        asked, phrases, plan = self._plan(queries, k, filtered, most)
-        kept = plan.where("kept").select(*KEY, "block", "theta")
-        hits = self._terms(asked, kept).groupBy(*KEY, "chunk_id", "block").agg(F.sum(F.col("qn") * F.col("weight")).alias("hits"), F.count("*").alias("matched"), F.first("theta").alias("theta"))
-        hits = hits.join(phrases.select(*KEY, "distinct"), KEY)
-        may = F.col("matched") >= F.col("distinct") - 2
-        room = F.when(may, TITLE_PHRASE + TEXT_PHRASE).otherwise(0.0)
-        if most is not None:
-            hits = hits.join(most, "question_id", "left")
-            room = room + F.coalesce("most_bonus", F.lit(0.0))
-        hits = hits.where((F.col("hits") + room >= F.col("theta"))).select(*KEY, "chunk_id", "block", "hits", may.alias("may"))
-        hits = materialize(self._passing(hits, queries, filtered), "index-hits")
-        extra = self._phrases(phrases, hits.where("may").select(*KEY, "chunk_id", "block")).select(*KEY, "chunk_id", "extra")
-        scores = hits.select(*KEY, "chunk_id", "hits").join(extra, [*KEY, "chunk_id"], "full")
-        scores = scores.select(*KEY, "chunk_id", (F.coalesce("hits", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0))).alias("score"))
-        scores = retrieval._bonus(scores, queries, bonus)
-        # What a short phrase or a bonus adds must exist and pass, too.
-        return retrieval.top_k(self._passing(scores, queries, True).where("score > 0"), self.chunks, k)
-
-    def skipped(self, queries: DataFrame, k: int = 5) -> DataFrame:
-        """(keys, blocks, skipped_blocks, postings, skipped_postings) of each
-        question: what the bounds leave unread."""
-        filtered = any(f in queries.columns for f in FILTERS)
-        _, _, plan = self._plan(retrieval.with_filters(queries), k, filtered, None)
-        out = F.col("kept").cast("int")
-        return plan.groupBy(*KEY).agg(F.count("*").alias("blocks"), F.sum(1 - out).alias("skipped_blocks"), F.sum("size").alias("postings"), F.sum(F.col("size") * (1 - out)).alias("skipped_postings"))
+        return self._ranked(retrieval.lexical_best, queries, k, bonus)
 
     def bm25_top_k(self, queries: DataFrame, k: int = 5, bonus: DataFrame | None = None) -> DataFrame:
         """(keys, chunk_id, score, rank): as retrieval.top_k of bm25_scores."""
+        return self._ranked(retrieval.bm25_best, queries, k, bonus)
+
+    def skipped(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """(keys, blocks, skipped_blocks, postings, skipped_postings) of each
+        question without filters: packs that can't hold a result, as the largest
+        weights of their tokens stay below the k-th score of the two best packs.
+        A figure of the index; top_k scores all packs, which costs less than to
+        choose among them by joins."""
         queries = retrieval.with_filters(queries)
+        words, bounds = tokens(F.col("query")), materialize(self.bounds, "bounds")
         asked = materialize(retrieval.query_tokens(queries), "asked")
-        wanted = retrieval.asked_only(self.postings.where("tf > 0").select("token", "chunk_id", F.col("tf").cast("long").alias("tf")), asked)
-        scores = retrieval.bm25_from_terms(self.chunks, wanted, asked, queries)
-        scores = retrieval._bonus(scores, queries, bonus)
-        return retrieval.top_k((scores if bonus is None else retrieval._only_filtered(scores, self.chunks, queries)).where("score > 0"), self.chunks, k)
+        sizes = queries.select(*KEY, F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("distinct"))
+        bound = asked.join(bounds, "token").groupBy(*KEY, "block").agg(F.sum(F.col("qn") * F.col("most")).alias("most"), F.count("*").alias("matched"), F.sum(bounds["n"]).alias("size")).join(sizes, KEY)
+        # Without the inner words in the pack there is no phrase.
+        bound = materialize(bound.withColumn("bound", F.col("most") + F.when(F.col("matched") >= F.col("distinct") - 2, TITLE_PHRASE + TEXT_PHRASE).otherwise(0.0)), "block-bounds")
+        seeds = bound.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("most").desc(), "block"))).where("_n <= 2").select(*KEY, "block")
+        scored = asked.join(seeds, KEY).join(self.postings, ["token", "block"]).groupBy(*KEY, "chunk_id").agg(F.sum(F.col("qn") * F.col("weight")).alias("score"))
+        ranked = scored.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("score").desc())))
+        theta = ranked.where(F.col("_n") == k).select(*KEY, F.col("score").alias("theta"))
+        # Short phrases may stand in chunks that share no token.
+        out = ((F.col("bound") < F.coalesce("theta", F.lit(0.0))) & (F.col("n") >= 3)).cast("int")
+        return bound.join(theta, KEY, "left").groupBy(*KEY).agg(F.count("*").alias("blocks"), F.sum(out).alias("skipped_blocks"), F.sum("size").alias("postings"), F.sum(F.col("size") * out).alias("skipped_postings"))
 
 
 def fingerprint(df: DataFrame) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import retrieval
 from docloom.operators.term_index import TermIndex
@@ -77,3 +78,13 @@ def test_a_second_batch_reads_the_index_alone(spark, index):
 def test_empty_index(spark, tmp_path):
     assert TermIndex(spark, str(tmp_path)).top_k(questions(spark)).count() == 0
     assert TermIndex(spark, str(tmp_path)).append(spark.createDataFrame([], CHUNK)).top_k(questions(spark)).count() == 0
+
+
+def test_few_rows_leave_the_packs(spark, index):
+    """Not one for each question and chunk, also where two packs hold none that passes the filter."""
+    asked = questions(spark).withColumn("policy_area", F.lit("x"))
+    pairs = retrieval.lexical_scores(spark.createDataFrame(rows(400, 3), CHUNK), asked).count()
+    packs = index.packs.count()
+    for best in (retrieval.lexical_best, retrieval.bm25_best):
+        moved = best(index.chunks, asked, 1, packs=index._given(None).drop("block", "segment")).count()
+        assert 0 < moved <= 47 * packs < pairs
