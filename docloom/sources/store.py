@@ -42,6 +42,13 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df spread over all cores by some columns, before work that takes long for
+    each of its small rows. A file of a hundred megabytes holds millions of such
+    rows, which a few tasks or one would work through."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read again.
 

@@ -6,7 +6,9 @@ import json
 
 import pytest
 
+from docloom.plans import queries
 from docloom.sources import files
+from docloom.sources.store import dealt
 from docloom.streaming import rate_limit, request_log
 
 
@@ -49,3 +51,13 @@ def test_log_is_off_by_default(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("DOCLOOM_REQUEST_LOG", "1")
     request_log.append_log(df, f"{tmp_path}/log")
     assert spark.read.json(f"{tmp_path}/log").count() == 1
+
+
+def test_heavy_rows_are_dealt_to_all_cores(spark):
+    """The given tables are one task each, however many rows they have."""
+    for name in ("cross_references", "reference_targets", "regulation_chunks", "policy_tags"):
+        scan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in scan and f", {4 * spark.sparkContext.defaultParallelism}" in scan, name
+    rows = dealt(spark.range(0, 4000, 1, 1), "id")
+    sizes = rows.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+    assert sum(sizes) == 4000 and len(sizes) == 4 * spark.sparkContext.defaultParallelism and max(sizes) < 500
