@@ -8,11 +8,16 @@ from pyspark.sql.types import ArrayType
 
 from docloom.functions.temporal import requires_current_notice
 from docloom.functions.text import date_or_null, valid_date
+from docloom.sources.store import materialize
 
 # Required fields, date fields and notice types of a registry.
 REQUIRED = ("doc_id", "title", "document_type", "status", "temporal_scope", "update_cadence")
 DATES = ("issued_date", "effective_from", "effective_to")
 NOTICES = ("semester_notice", "annual_notice")
+# Notices that a question meets in one row before they become rows of their own,
+# and rows that a task makes of them about: a file's writer holds what it writes.
+NOTICE_BLOCK = 256
+ALERT_ROWS = 16_000_000
 
 
 def area_list(area: Column, kind=None) -> Column:
@@ -123,10 +128,27 @@ def notice_alerts(questions: DataFrame, records: DataFrame, chunks: DataFrame, a
     """(question_id, doc_id): for a question that warns although its area has
     active notices, each of those notices; none of them has a chunk. A question
     without an area has the notices of all."""
-    warned = missing_notice(questions, records, chunks, as_of).where("warn and active_notices > 0").select("question_id", "policy_area")
+    warned = missing_notice(questions, records, chunks, as_of).where("warn and active_notices > 0")
     areas = F.filter(F.coalesce("areas", F.array().cast("array<string>")), lambda a: a.isNotNull())
     silent = unavailable_notices(records, chunks, as_of).select("doc_id", F.explode(F.concat(areas, F.array(F.lit(None).cast("string")))).alias("area")).distinct()
-    return warned.join(silent, F.col("policy_area").eqNullSafe(F.col("area"))).select("question_id", "doc_id")
+
+    def key(area: str) -> Column:
+        return F.when(F.col(area).isNull(), "").otherwise(F.concat(F.lit("="), area)).alias("key")
+
+    # Both are small beside their product, whose rows are counted first.
+    warned, silent = materialize(warned.select("question_id", key("policy_area")), "warned"), materialize(silent.select("doc_id", key("area")), "silent")
+    rows = warned.groupBy("key").agg(F.count("*").alias("n")).join(silent.groupBy("key").agg(F.count("*").alias("m")), "key").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+    slots = max(4 * records.sparkSession.sparkContext.defaultParallelism, -(-rows // ALERT_ROWS))
+    # Areas are few, so the notices of an area are dealt to slots, and each slot gets
+    # the area's questions. Within it each question meets a block of notices at a
+    # time: rows that lie together hold few ids in turns, which files keep in a
+    # fraction of the space.
+    dealt = silent.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")).repartition(slots, "key", "slot")
+    place = F.row_number().over(Window.partitionBy("key", "slot").orderBy("doc_id")) - 1
+    blocks = dealt.withColumn("block", F.floor(place / NOTICE_BLOCK)).groupBy("key", "slot", "block").agg(F.collect_list(F.struct("doc_id")).alias("docs"))
+    asked = warned.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).repartition(slots, "key", "slot")
+    # By merging, whose outer loop is that of the blocks.
+    return blocks.join(asked.hint("merge"), ["key", "slot"]).select("question_id", F.inline("docs"))
 
 
 def prioritize_documents(records: DataFrame, question_is_timely: Column | bool, policy_area: str | None, as_of: str, order_col: str = "ord") -> DataFrame:

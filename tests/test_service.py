@@ -76,6 +76,18 @@ def test_notice_alerts(spark):
     assert {r.doc_id for r in every} == {"n1", "n2", "n3", "n5"}
 
 
+def test_notice_alerts_of_one_area_are_dealt_to_many_tasks(spark, tmp_path):
+    records = spark.range(3000).selectExpr("IF(id = 7, NULL, concat('n', id)) AS doc_id", "'annual_notice' AS document_type", "'active' AS status", "'x' AS policy_area", "'' AS effective_from", "'' AS effective_to")
+    asked = spark.range(400).selectExpr("id AS question_id", "'deadline?' AS question", "IF(id % 4 = 0, NULL, 'x') AS policy_area")
+    out = str(tmp_path / "out")
+    registry.notice_alerts(asked, records, spark.createDataFrame([], "doc_id string"), "2024-01-01").write.parquet(out)
+    found = spark.read.parquet(out)
+    # One row for each question and notice; one without an id counts, too.
+    assert found.count() == found.distinct().count() == 400 * 3000 and found.where("doc_id IS NULL").count() == 400
+    sizes = [f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")]
+    assert max(sizes) < sum(sizes) / 3 and sum(sizes) < 400 * 3000 / 2
+
+
 def test_missing_information(spark):
     config = {"issue_definitions": [{"issue_type": "g", "policy_area": "g", "label": "G", "keywords": ["tot nghiep"], "query_default": "q", "missing_information_questions": ["one?", "two?"]}, {"issue_type": "generic", "label": "other"}]}
     rules = from_config(config)
