@@ -17,7 +17,8 @@ class Headings:
     """Patterns of the heading lines, tested in this order on stripped lines.
 
     chapter, appendix and sub: group 1 is the title. sub counts inside an
-    appendix only. article: group `number` and group `title`.
+    appendix only. article: group `number` and group `title`. mark: what stands in
+    every heading line, so that a text without it has none; empty if unknown.
     """
 
     chapter: str
@@ -28,6 +29,7 @@ class Headings:
     title: int
     appendix_label: str
     article_word: str
+    mark: str = ""
 
 
 # Headings of Vietnamese regulations in markdown.
@@ -40,6 +42,7 @@ REGULATION = Headings(
     title=3,
     appendix_label="(?iu)Phụ lục\\s+([IVXLC\\d]+)",
     article_word="Điều",
+    mark="##",
 )
 
 # For running text without markup: a short line heads what follows.
@@ -75,7 +78,8 @@ def section_array(body: Column, headings: Headings = REGULATION) -> Column:
     chapter_title, appendix_label, appendix_sub, text) in order, empty ones left
     out; null for null. Everything happens within the row: a kind for each line,
     cuts at headings, and what holds from the last chapter or appendix by
-    numbering them. Work is linear in the lines."""
+    numbering them. Work is linear in the lines. A text without headings is one
+    section, which takes none of this."""
     h = headings
 
     def label(s: Column) -> Column:
@@ -127,7 +131,11 @@ def section_array(body: Column, headings: Headings = REGULATION) -> Column:
         F.split(body, "\n", -1),
         lambda lines: _let(F.transform(lines, strip), lambda bare: _let(kinds(bare), lambda kind: _let(starts_of(kind), lambda starts: sections(lines, bare, kind, starts)))),
     )
-    return F.when(body.isNotNull(), F.filter(found, lambda x: x["text"] != ""))
+    none = F.lit("")
+    plain = F.struct(
+        F.lit(0).cast("long").alias("seg_id"), F.lit(KINDS["-"]).alias("chunk_type"), none.alias("heading"), none.alias("chapter_title"), none.alias("appendix_label"), F.lit(None).cast("string").alias("appendix_sub"), strip(body).alias("text"),
+    )
+    return F.filter(F.when(body.contains(h.mark), found).when(body.isNotNull(), F.array(plain)), lambda x: x["text"] != "")
 
 
 def line_segments(docs: DataFrame, headings: Headings = REGULATION) -> DataFrame:

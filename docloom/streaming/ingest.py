@@ -24,6 +24,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from docloom.operators.chunking import REGULATION, Headings, build_chunks
 from docloom.sources.files import read_documents
@@ -68,7 +69,9 @@ class DocumentStore:
         """The rows of the versions that hold each bucket: a filter on partition
         columns, so no other file is read."""
         if self.version == 0:
-            return self.spark.createDataFrame([], f"{columns}, {PLACE}")
+            # Of no rows, as the optimizer sees: what joins it is not shuffled.
+            fields = StructType.fromDDL(f"{columns}, {PLACE}")
+            return self.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).limit(0)
         holder = F.element_at(F.array(*map(F.lit, self.held)), F.col("bucket") + 1)
         return self.spark.read.schema(f"{columns}, {PLACE}").parquet(f"{self.path}/{name}").where(F.col("version") == holder)
 

@@ -126,3 +126,10 @@ def test_only_new_texts_are_split(spark, tmp_path):
     assert store.apply(spark.createDataFrame([("a", day(3), "older")], SCHEMA)) == 2
     assert {r.version: r.changed for r in spark.read.json(f"{tmp_path}/s/commits").collect()} == {1: 1, 2: 0}
     assert rows(store.chunks) == rows(build_chunks(spark.createDataFrame([("a", text)], "path string, text string")))
+
+
+def test_a_new_store_joins_nothing(spark, tmp_path):
+    store = DocumentStore(spark, str(tmp_path / "s"), buckets=2)
+    given = spark.range(5).selectExpr("concat('p', id) AS path")
+    assert given.join(store.documents, "path", "left").count() == 5
+    assert "Join" not in given.join(store.documents, "path", "left")._jdf.queryExecution().optimizedPlan().toString()

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+from dataclasses import replace
+
+from pyspark.sql import functions as F
 
 from docloom.operators import chunking, references
 
@@ -83,3 +86,12 @@ def test_citations_share_no_part(spark):
     got = references.cross_references(df).collect()
     assert [(r.level, r.pos, r.diem, r.khoan, r.dieu) for r in got if r.chunk_id == "c"] == [(0, 0, "A", "2", "5"), (2, 2, None, None, "7"), (1, 3, None, "9đ", "1")]
     assert [(r.level, r.dieu) for r in got if r.chunk_id == "own"] == [(0, "5"), (1, "12"), (2, "7"), (1, "1")] and {r.chunk_id for r in got} == {"c", "own"}
+
+
+def test_texts_without_headings_are_one_section(spark):
+    texts = [None, "", " \n\u3000", "part 1\nsupplier 2", "  a\r\n\n b \t\n", "# Chương I. x\nb", "## Chương I. x\nb", "a\n \u00a0## Điều 3. y\nb", "x ## y\nz", "\n## Phụ lục II. Bảng\nc\n### Nơi cấp chứng chỉ\nd", "Phụ lục I\nĐiều 1. a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, body string")
+    every = replace(chunking.REGULATION, mark="")
+    quick, slow = (sorted((r.doc_id, r.sections) for r in docs.select("doc_id", chunking.section_array(F.col("body"), h).alias("sections")).collect()) for h in (chunking.REGULATION, every))
+    assert quick == slow and [len(s) if s is not None else None for _, s in quick] == [None, 0, 0, 1, 1, 1, 1, 2, 1, 2, 1]
+    assert sorted(chunking.merged_sections(docs).collect()) == sorted(chunking.merged_sections(docs, every).collect())
