@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import GRAM, normalize_text, pieces
 from docloom.operators.references import cross_references
+from docloom.sources.store import materialize
 
 # Tag fields with the prefix of their nodes, node type and edge type.
 TAG_KINDS = {
@@ -143,8 +144,10 @@ def isolated_references(split: DataFrame) -> DataFrame:
 
 def build_graph(chunks: DataFrame, min_support: int = 2) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of annotated chunks, ordered by id. Chunk nodes have
-    isolated_external_refs beside their properties."""
-    split = split_by_support(resolve_targets(cross_references(chunks), chunks), min_support)
+    isolated_external_refs beside their properties. Citations are read from the
+    texts once, as many parts of the graph need them."""
+    cited = materialize(cross_references(chunks), "citations")
+    split = split_by_support(resolve_targets(cited, chunks), min_support)
     isolated = isolated_references(split).select(F.concat(F.lit("chunk:"), "chunk_id").alias("node_id"), "isolated_external_refs")
     nodes = document_nodes(chunks).unionByName(chunk_nodes(chunks)).unionByName(tag_nodes(chunks)).unionByName(external_nodes(split, min_support))
     nodes = nodes.join(isolated, "node_id", "left").orderBy("node_id")
@@ -171,9 +174,11 @@ def chunks_by_tag(nodes: DataFrame, edges: DataFrame, tag_type: str, tag_value:
     prefixes = {k[0] for k in TAG_KINDS.values()} | set(TAG_KINDS)
     prefix = TAG_KINDS[tag_type][0] if tag_type in TAG_KINDS else tag_type
     hits = edges.where((F.col("target") == f"{prefix}:{tag_value}") & F.col("source").startswith("chunk:") & F.lit(tag_type in prefixes))
-    first = hits.groupBy("source").agg(F.min("edge_id").alias("edge_id"))
-    chunks = nodes.where("node_type = 'Chunk'").join(first, F.col("node_id") == F.col("source")).drop("source")
-    return chunks.orderBy("edge_id").limit(max(limit, 1)).drop("edge_id")
+    first = hits.groupBy(F.col("source").alias("node_id")).agg(F.min("edge_id").alias("edge_id"))
+    chunks, most = nodes.where("node_type = 'Chunk'"), max(limit, 1)
+    # Ids alone meet and are ordered, then the few are joined with their nodes.
+    kept = materialize(first.join(chunks.select("node_id"), "node_id", "left_semi").orderBy("edge_id").limit(most), "kept")
+    return chunks.join(kept, "node_id").orderBy("edge_id").limit(most).drop("edge_id")
 
 
 def active_tags(nodes: DataFrame, questions: DataFrame) -> DataFrame:

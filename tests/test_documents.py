@@ -99,6 +99,19 @@ def test_graph(spark):
     assert [h.node_id for h in hits] == ["chunk:reg__dieu_2"] and graph.chunks_by_tag(nodes, edges, "none", "graduation").count() == 0
 
 
+def test_citations_are_read_once_for_a_graph(spark):
+    made = annotation.annotate_chunks(chunks(spark))
+    nodes, edges = graph.build_graph(made)
+    for part in (nodes, edges):
+        assert references.PLAIN not in part._jdf.queryExecution().optimizedPlan().toString()
+    # Tags need no other edges, and the limit counts chunks that are nodes.
+    few = graph.chunks_by_tag(graph.chunk_nodes(made), graph.tag_edges(made), "policy_area", "graduation")
+    assert [tuple(r) for r in few.collect()] == [tuple(r) for r in graph.chunks_by_tag(nodes.select(*few.columns), edges, "policy_area", "graduation").collect()] != []
+    links = spark.range(6).selectExpr("concat('e', id) AS edge_id", "concat('chunk:', id) AS source", "'risk_tag:x' AS target")
+    held = spark.range(2, 6).selectExpr("concat('chunk:', id) AS node_id", "'Chunk' AS node_type")
+    assert [r.node_id for r in graph.chunks_by_tag(held, links, "risk_tags", "x", 2).collect()] == ["chunk:2", "chunk:3"]
+
+
 def test_external_support(spark):
     rows = [("c1", "d", 2, 0, None, None, "9"), ("c2", "d", 2, 0, None, None, "9"), ("c1", "d", 1, 0, None, "3", "9"), ("c2", "d", 2, 1, None, None, "1")]
     refs = spark.createDataFrame(rows, "chunk_id string, doc_id string, level int, pos int, diem string, khoan string, dieu string")
