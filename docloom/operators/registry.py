@@ -15,7 +15,7 @@ REQUIRED = ("doc_id", "title", "document_type", "status", "temporal_scope", "upd
 DATES = ("issued_date", "effective_from", "effective_to")
 NOTICES = ("semester_notice", "annual_notice")
 # Notices that a question meets in one row before they become rows of their own,
-# and rows that a task makes of them about: a file's writer holds what it writes.
+# and rows that a task makes of them, about.
 NOTICE_BLOCK = 256
 ALERT_ROWS = 16_000_000
 
