@@ -16,6 +16,32 @@ ROWS = 512
 BYTES = 4_000_000
 
 
+#: Keys that a Recent holds before the older ones may go.
+RECENT = 65_536
+
+
+class Recent(dict):
+    """Values by key, made where they are missing. A worker serves all stages of a
+    job, so what one stage keeps takes memory from the others: at most twice
+    RECENT keys stay, those that are asked again and again among them."""
+
+    def __init__(self) -> None:
+        self.older: dict = {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= RECENT:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most `rows` rows and about `size` bytes, one
     row at least. Parts share the memory of their batch."""

@@ -38,7 +38,7 @@ from docloom.llm.common import fold, table
 DIM = 512
 SEED = 20_011
 UNKNOWN = "und"
-SLICE = 2_000_000  # characters
+SLICE = 1_000_000  # characters
 
 
 @lru_cache(maxsize=1)
@@ -83,6 +83,10 @@ def _is_space(c: str) -> bool:
     return all(_letters()[ord(x)] == 32 for x in c.lower())
 
 
+#: Possible trigrams up to which they are numbered by a table of all.
+DENSE = 4_000_000
+
+
 def _trigrams(points: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document index, trigram number) of every trigram, and the code points
     of the trigrams by number, of shape (n, 3)."""
@@ -97,11 +101,11 @@ def _trigrams(points: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndar
     key = (c[:-2] * a + c[1:-1]) * a + c[2:]
     inside = docs[:-2] == docs[2:]
     key, docs = key[inside], docs[:-2][inside]
-    if a**3 <= 4_000_000:
+    if a**3 <= DENSE:
         there = np.zeros(a**3, dtype=bool)
         there[key] = True
         grams = np.flatnonzero(there)
-        place = np.zeros(a**3, dtype=np.int64)
+        place = np.zeros(a**3, dtype=np.int32)
         place[grams] = np.arange(len(grams))
         inverse = place[key]
     else:

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.batches import map_rows, parts, strings
+from docloom.llm.batches import Recent, map_rows, parts, strings
 from docloom.llm.common import materialize, table
 from docloom.llm.components import connected_components
 
@@ -79,14 +79,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> U(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-class Words(dict):
-    """64-bit hashes of words, bounded."""
+class Words(Recent):
+    """64-bit hashes of words."""
 
-    def __missing__(self, word: str) -> int:
-        found = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self) < 300_000:
-            self[word] = found
-        return found
+    def make(self, word: str) -> int:
+        return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
 _words = Words()

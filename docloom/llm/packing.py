@@ -43,16 +43,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.batches import parts, strings
+from docloom.llm.batches import Recent, parts, strings
 from docloom.llm.common import expand, materialize, table
 
 CAPACITY = 2048
 END_ID = 0
-CACHE = 300_000
+#: Texts that are encoded at a time.
+TEXTS = 128
 BUCKETS = 1024
 
 
-class Encoder(dict):
+class Encoder(Recent):
     """The ids of ' ' + chunk as little-endian 32-bit bytes, by chunk.
 
     ranks: the same vocabulary as a file of merge ranks. A chunk that is not
@@ -67,6 +68,7 @@ class Encoder(dict):
     def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -83,14 +85,10 @@ class Encoder(dict):
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def __missing__(self, chunk: str) -> bytes:
+    def make(self, chunk: str) -> bytes:
         if self.by_rank and (chunk.isascii() or max(chunk) < "\u0530"):
-            ids = np.array(self.by_rank(" " + chunk), dtype="<u4").tobytes()
-        else:
-            ids = self.encode([" " + chunk])[0]
-        if len(self) < CACHE:
-            self[chunk] = ids
-        return ids
+            return np.array(self.by_rank(" " + chunk), dtype="<u4").tobytes()
+        return self.encode([" " + chunk])[0]
 
     def split(self, text: str) -> list[str]:
         """What stands between single spaces that have no white space beside
@@ -125,7 +123,7 @@ def token_pieces(df: DataFrame, tokenizer: str | None = None, ranks: str | None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*(default_tokenizer() if tokenizer is None else (tokenizer, ranks)))
-        for batch in parts(batches):
+        for batch in parts(batches, TEXTS):
             out = defaultdict(list)
             for doc, ids in zip(strings(batch, "doc_id"), enc.ids(strings(batch, "text")), strict=True):
                 ids += end
@@ -279,7 +277,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = expand(ranked.withColumn("rank", F.col("rank") + F.col("before")), "n", "number", ["doc_id", "text_crc", "piece"], largest)
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("number"))
     rows = slots(plan_patterns(counts))
-    plan = spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], "length long, first_rank long, repeats long, first_sequence long, at long")
+    columns = np.array(rows or [(0, 0, 0, 0, 0)], dtype=np.int64).T
+    # From Arrow, as plain rows would start Python workers of another kind, which
+    # stay beside those that hold the tokenizer.
+    plan = spark.createDataFrame(pa.table(list(columns), names=["length", "first_rank", "repeats", "first_sequence", "at"]))
     plan = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first_rank", "repeats", "first_sequence", "at"))).alias("slots"))
     # One row for each length, some 40 bytes a slot.
     found = ranked.join(F.broadcast(plan) if len(rows) <= BROADCAST_SLOTS else plan.hint("shuffle_merge"), "length").withColumn(
