@@ -43,17 +43,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.batches import Recent, parts, strings
+from docloom.llm.batches import parts, strings
 from docloom.llm.common import expand, materialize, table
 
 CAPACITY = 2048
 END_ID = 0
-#: Texts that are encoded at a time.
-TEXTS = 128
+CACHE = 300_000
 BUCKETS = 1024
 
 
-class Encoder(Recent):
+class Encoder(dict):
     """The ids of ' ' + chunk as little-endian 32-bit bytes, by chunk.
 
     ranks: the same vocabulary as a file of merge ranks. A chunk that is not
@@ -68,7 +67,6 @@ class Encoder(Recent):
     def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -85,10 +83,14 @@ class Encoder(Recent):
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def make(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: str) -> bytes:
         if self.by_rank and (chunk.isascii() or max(chunk) < "\u0530"):
-            return np.array(self.by_rank(" " + chunk), dtype="<u4").tobytes()
-        return self.encode([" " + chunk])[0]
+            ids = np.array(self.by_rank(" " + chunk), dtype="<u4").tobytes()
+        else:
+            ids = self.encode([" " + chunk])[0]
+        if len(self) < CACHE:
+            self[chunk] = ids
+        return ids
 
     def split(self, text: str) -> list[str]:
         """What stands between single spaces that have no white space beside
@@ -123,7 +125,7 @@ def token_pieces(df: DataFrame, tokenizer: str | None = None, ranks: str | None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*(default_tokenizer() if tokenizer is None else (tokenizer, ranks)))
-        for batch in parts(batches, TEXTS):
+        for batch in parts(batches):
             out = defaultdict(list)
             for doc, ids in zip(strings(batch, "doc_id"), enc.ids(strings(batch, "text")), strict=True):
                 ids += end
