@@ -14,9 +14,10 @@ from docloom.sources.store import materialize
 REQUIRED = ("doc_id", "title", "document_type", "status", "temporal_scope", "update_cadence")
 DATES = ("issued_date", "effective_from", "effective_to")
 NOTICES = ("semester_notice", "annual_notice")
-# Notices that a question meets in one row before they become rows of their own,
-# and rows that a task makes of them, about.
+# Notices and questions that meet in one row before their pairs become rows of
+# their own, and rows that a task makes of them, about.
 NOTICE_BLOCK = 256
+QUESTION_BLOCK = 64
 ALERT_ROWS = 16_000_000
 
 
@@ -104,9 +105,17 @@ def missing_notice(questions: DataFrame, records: DataFrame, chunks: DataFrame,
     """questions (question_id, question, policy_area) with needs_notice,
     active_notices, covered_notices (with a chunk) and warn: a notice is needed
     and no active one of the area has a chunk."""
-    notices = current_notices(records, as_of)
+    return _missing(questions, held_notices(records, chunks, as_of))
+
+
+def held_notices(records: DataFrame, chunks: DataFrame, as_of: str) -> DataFrame:
+    """Active notices (doc_id, areas) with held, whether a chunk is there."""
     held = chunks.select("doc_id").distinct().withColumn("held", F.lit(True))
-    notices = notices.join(held, "doc_id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    return current_notices(records, as_of).join(held, "doc_id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+def _missing(questions: DataFrame, notices: DataFrame) -> DataFrame:
+    """missing_notice, of notices as held_notices gives them."""
     asked = questions.withColumn("needs_notice", requires_current_notice(F.col("question")))
     # Notices in force are few: one row for each area and all of them.
     by_area = notices.select(F.explode(F.coalesce("areas", F.array().cast("array<string>"))).alias("policy_area"), "doc_id", "held").distinct()
@@ -128,9 +137,10 @@ def notice_alerts(questions: DataFrame, records: DataFrame, chunks: DataFrame, a
     """(question_id, doc_id): for a question that warns although its area has
     active notices, each of those notices; none of them has a chunk. A question
     without an area has the notices of all."""
-    warned = missing_notice(questions, records, chunks, as_of).where("warn and active_notices > 0")
+    notices = materialize(held_notices(records, chunks, as_of), "notices")  # asked for twice
+    warned = _missing(questions, notices).where("warn and active_notices > 0")
     areas = F.filter(F.coalesce("areas", F.array().cast("array<string>")), lambda a: a.isNotNull())
-    silent = unavailable_notices(records, chunks, as_of).select("doc_id", F.explode(F.concat(areas, F.array(F.lit(None).cast("string")))).alias("area")).distinct()
+    silent = notices.where("not held").select("doc_id", F.explode(F.concat(areas, F.array(F.lit(None).cast("string")))).alias("area")).distinct()
 
     def key(area: str) -> Column:
         return F.when(F.col(area).isNull(), "").otherwise(F.concat(F.lit("="), area)).alias("key")
@@ -140,15 +150,20 @@ def notice_alerts(questions: DataFrame, records: DataFrame, chunks: DataFrame, a
     rows = warned.groupBy("key").agg(F.count("*").alias("n")).join(silent.groupBy("key").agg(F.count("*").alias("m")), "key").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
     slots = max(4 * records.sparkSession.sparkContext.defaultParallelism, -(-rows // ALERT_ROWS))
     # Areas are few, so the notices of an area are dealt to slots, and each slot gets
-    # the area's questions. Within it each question meets a block of notices at a
-    # time: rows that lie together hold few ids in turns, which files keep in a
+    # the area's questions. Within it a block of questions meets a block of notices at
+    # a time: rows that lie together hold few ids in turns, which files keep in a
     # fraction of the space.
     dealt = silent.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")).repartition(slots, "key", "slot")
     place = F.row_number().over(Window.partitionBy("key", "slot").orderBy("doc_id")) - 1
     blocks = dealt.withColumn("block", F.floor(place / NOTICE_BLOCK)).groupBy("key", "slot", "block").agg(F.collect_list(F.struct("doc_id")).alias("docs"))
-    asked = warned.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).repartition(slots, "key", "slot")
-    # By merging, whose outer loop is that of the blocks.
-    return blocks.join(asked.hint("merge"), ["key", "slot"]).select("question_id", F.inline("docs"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("question_id")) - 1
+    asked = warned.withColumn("part", F.floor(place / QUESTION_BLOCK)).groupBy("key", "part").agg(F.collect_list(F.struct("question_id")).alias("questions"))
+    asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).repartition(slots, "key", "slot")
+    # Generated code keeps all that a row of a join becomes before it hands on the
+    # first, here a block's rows for each question of the area. Sorting the few pairs
+    # of blocks comes between, so a task holds the rows of one pair.
+    met = blocks.join(asked.hint("merge"), ["key", "slot"]).sortWithinPartitions("key", "slot", "block", "part")
+    return met.select(F.inline("questions"), "docs").select("question_id", F.inline("docs"))
 
 
 def prioritize_documents(records: DataFrame, question_is_timely: Column | bool, policy_area: str | None, as_of: str, order_col: str = "ord") -> DataFrame:

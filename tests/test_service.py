@@ -88,6 +88,18 @@ def test_notice_alerts_of_one_area_are_dealt_to_many_tasks(spark, tmp_path):
     assert max(sizes) < sum(sizes) / 3 and sum(sizes) < 400 * 3000 / 2
 
 
+def test_no_task_holds_the_alerts_of_an_area(spark):
+    """A join's pairs are blocks and are sorted before they become rows: in one piece
+    of generated code with the join all rows of a block would be held at once."""
+    records = spark.range(300).selectExpr("concat('n', id) AS doc_id", "'annual_notice' AS document_type", "'active' AS status", "'x' AS policy_area", "'' AS effective_from", "'' AS effective_to")
+    asked = spark.range(1000).selectExpr("IF(id = 3, NULL, id) AS question_id", "'deadline?' AS question", "'x' AS policy_area")
+    alerts = registry.notice_alerts(asked, records, spark.createDataFrame([], "doc_id string"), "2024-01-01")
+    steps = [x.strip(" +-*()0123456789").split(" ")[0] for x in alerts._jdf.queryExecution().executedPlan().toString().split("\n")]
+    unfolded = max(i for i, x in enumerate(steps[: steps.index("SortMergeJoin")]) if x == "Generate")
+    assert "Sort" in steps[unfolded : steps.index("SortMergeJoin")]
+    assert alerts.count() == alerts.distinct().count() == 300_000 and alerts.where("question_id IS NULL").count() == 300
+
+
 def test_missing_information(spark):
     config = {"issue_definitions": [{"issue_type": "g", "policy_area": "g", "label": "G", "keywords": ["tot nghiep"], "query_default": "q", "missing_information_questions": ["one?", "two?"]}, {"issue_type": "generic", "label": "other"}]}
     rules = from_config(config)
